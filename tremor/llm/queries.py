@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe
+from . import bpe, chat, cnn, packing, sstable
 from .tokens import vocabulary
 
 
@@ -20,8 +20,37 @@ def op1_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(docs, vocabulary("byte_bpe_50k.json"), finish=bpe.digests, result="n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rendered maximal conversations."""
+    return chat.format_chats(_read(spark, sf_dir, "conversations"))
+
+
+def op4_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of every document, read back from the shards."""
+    docs = _read(spark, sf_dir, "documents")
+    manifest = sstable.write(docs, vocabulary("byte_bpe_50k.json"))
+    return sstable.read(manifest, finish=sstable.checksums, result="n_tokens long, ids_crc32 long")
+
+
+def op7_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document in sequences of at most 2048 ids."""
+    return packing.pack(_read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), digest=True)
+
+
+def op10_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted of every document."""
+    docs = _read(spark, sf_dir, "documents")
+    net = cnn.train(docs, _read(spark, sf_dir, "labels"))
+    scored = cnn.score(docs, net)
+    return scored.select("doc_id", cnn.in_fold("doc_id", keep=False).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_codec": op1_bpe_codec,
+    "op3_chat_format": op3_chat_format,
+    "op4_sstable": op4_sstable,
+    "op7_hilbert_packing": op7_hilbert_packing,
+    "op10_quality_cnn": op10_quality_cnn,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_chat_format": chat.ORACLE}
