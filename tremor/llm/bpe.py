@@ -21,12 +21,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import blocks as B, hashing as H
 from .tokens import Encoder, encoder
 
 WINDOW, MASK = 48, np.uint64(1023)
+BLOCK, SLAB = 8 << 20, 1 << 20  # bytes of text in a block, and hashed at once
 WIRE = "shard int, block long, meta binary, body binary"
 
 
@@ -49,32 +51,31 @@ def cut(batches: Iterator[pa.RecordBatch], n_shards: int) -> Iterator[pa.RecordB
     number = B.numbered()
     for batch in batches:
         raw_all, offs_all = B.flat(batch.column(1))
-        for lo, hi in B.cuts(offs_all):
+        for lo, hi in B.cuts(offs_all, BLOCK):
             raw, offsets = raw_all[offs_all[lo] : offs_all[hi]], offs_all[lo : hi + 1] - offs_all[lo]
             block, ids = number(), batch.column(0).slice(lo, hi - lo)
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, (one := pa.record_batch([ids], ["id"])).schema) as w:
                 w.write_batch(one)
             out = [(int(block % n_shards), block, b"", B.press(sink.getvalue().to_pybytes()))]
-            ends, rows = chunk_ends(raw, offsets)
+            found = [(*chunk_ends(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]), a) for a, b in B.cuts(offsets, SLAB)]
+            ends = np.concatenate([e + offsets[a] for e, _, a in found])
+            rows = np.concatenate([r + a for _, r, a in found])
             starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else ends
             # a text starts where the one before ends, so the ends alone give the starts
-            text, number_of, first = raw.tobytes(), {}, []
+            text, number_of = raw.tobytes(), {}
             which = np.zeros(len(ends), np.uint32)
             for i, (a, b) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
-                k = number_of.setdefault(text[a:b], len(first))
-                if k == len(first):
-                    first.append(i)
-                which[i] = k
-            at = np.array(first, np.int64)
-            to = (H.spans(H.prefixes(raw), starts[at], ends[at]) % np.uint64(n_shards)).astype(np.int64) if len(at) else at
-            chunks, used = list(number_of), to[which] if len(at) else to
+                which[i] = number_of.setdefault(text[a:b], len(number_of))
+            chunks = list(number_of)
+            to = np.array([xxhash.xxh3_64_intdigest(c) % n_shards for c in chunks], np.int64)
+            used = to[which]
             for shard in np.unique(to).tolist():
                 mine, refs = np.flatnonzero(to == shard), np.flatnonzero(used == shard)
                 local = np.searchsorted(mine, which[refs])
                 sizes = np.array([len(chunks[k]) for k in mine], np.uint32)
                 meta = np.concatenate([[len(mine)], sizes, rows[refs], refs, local]).astype(np.uint32)
-                out.append((shard, block, B.press(meta), B.press(b"".join([chunks[k] for k in mine]), 3)))
+                out.append((shard, block, B.press(meta), B.press(b"".join([chunks[k] for k in mine]), 6)))
             yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["shard", "block", "meta", "body"])
 
 
@@ -104,7 +105,7 @@ def encode_shard(table: pa.Table, path: str) -> pa.Table:
         m, chunks = x
         mine = [ids[known[c]] for c in chunks]
         metas.append(B.press(np.concatenate([m[:1], np.array([len(v) for v in mine], np.uint32), m[1 + len(chunks) :]])))
-        bodies.append(B.planes(np.concatenate(mine)))
+        bodies.append(B.press(np.concatenate(mine), 6))
     return pa.table([table["shard"], table["block"], pa.array(metas, pa.binary()), pa.array(bodies, pa.binary())], ["shard", "block", "meta", "body"])
 
 
@@ -145,7 +146,7 @@ def assemble(table: pa.Table, path: str, finish: Callable, schema: pa.Schema) ->
         if not meta:
             head = pa.ipc.open_stream(B.unpress(body)).read_all().column(0)
             continue
-        m, ids = B.unpress(meta, np.uint32), B.unplanes(body, enc.kind)
+        m, ids = B.unpress(meta, np.uint32), B.unpress(body, enc.kind)
         n = int(m[0])
         at = np.concatenate([[0], np.cumsum(m[1 : 1 + n], dtype=np.int64)])
         rows, pos, local = m[1 + n :].reshape(3, -1).astype(np.int64)
@@ -194,7 +195,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     path: vocabulary file of a byte-level tokenizer.  finish(ids, tokens, encoder) returns a table of the id column and
     the columns of ``result`` for the documents of a block.
     """
-    n = B.shards(docs.sparkSession)
+    n = B.shards(docs.sparkSession, 1)
     kind = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField(id_col, kind), *T.StructType.fromDDL(result)])
     arrow = pa.schema([pa.field(id_col, _arrow(kind)), *(pa.field(f.name, _arrow(f.dataType)) for f in schema[1:])])

@@ -15,7 +15,7 @@ import unicodedata
 import numpy as np
 
 #: Units, and pieces, in a worker's memo; beyond it the memo starts anew (speed changes, results don't).
-MEMO = 500_000
+MEMO = 150_000
 
 # The pre-token patterns of the two vocabularies.
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -46,6 +46,11 @@ class Encoder:
         self.pieces.no_truncation()
         self.pieces.no_padding()
         self.normalizer = self.whole.normalizer
+        if self.normalizer:
+            self.pieces = Tokenizer.from_file(path)
+            self.pieces.no_truncation()
+            self.pieces.no_padding()
+            self.pieces.normalizer = normalizers.Sequence([])
         self.specials = [x.content for x in self.whole.get_added_tokens_decoder().values()]
         self.kind = np.uint16 if self.whole.get_vocab_size() <= 1 << 16 else np.uint32
         self.memo: dict[str, bytes] = {}
