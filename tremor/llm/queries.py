@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, cnn, packing, sstable
+from . import bpe, caps, chat, cnn, packing, sstable, topk
 from .tokens import vocabulary
 
 
@@ -20,6 +20,11 @@ def op1_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(docs, vocabulary("byte_bpe_50k.json"), finish=bpe.digests, result="n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def op2_cover_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank, vec_id, score: the five best of each query."""
+    return topk.top_k(_read(spark, sf_dir, "embeddings"))
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rendered maximal conversations."""
     return chat.format_chats(_read(spark, sf_dir, "conversations"))
@@ -32,6 +37,11 @@ def op4_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.read(manifest, finish=sstable.checksums, result="n_tokens long, ids_crc32 long")
 
 
+def op6_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, n_links, component_id, kept of every vector."""
+    return caps.near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
 def op7_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of every document in sequences of at most 2048 ids."""
     return packing.pack(_read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), digest=True)
@@ -47,10 +57,12 @@ def op10_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_codec": op1_bpe_codec,
+    "op2_cover_topk": op2_cover_topk,
     "op3_chat_format": op3_chat_format,
     "op4_sstable": op4_sstable,
+    "op6_cap_filters": op6_cap_filters,
     "op7_hilbert_packing": op7_hilbert_packing,
     "op10_quality_cnn": op10_quality_cnn,
 }
 
-ORACLES: dict[str, str] = {"op3_chat_format": chat.ORACLE}
+ORACLES: dict[str, str] = {"op2_cover_topk": topk.ORACLE, "op3_chat_format": chat.ORACLE}
