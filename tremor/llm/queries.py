@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, caps, chat, cnn, packing, sstable, topk
+from . import bpe, caps, chat, cnn, jaccard, lm, packing, sstable, topk
 from .tokens import vocabulary
 
 
@@ -47,6 +47,16 @@ def op7_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), digest=True)
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, class_id, n_links, component_id, kept of every document."""
+    return jaccard.links(_read(spark, sf_dir, "documents")).drop("hash")
+
+
+def op9_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
+    return lm.score_documents(_read(spark, sf_dir, "documents"))
+
+
 def op10_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
     docs = _read(spark, sf_dir, "documents")
@@ -62,6 +72,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_sstable": op4_sstable,
     "op6_cap_filters": op6_cap_filters,
     "op7_hilbert_packing": op7_hilbert_packing,
+    "op8_jaccard_join": op8_jaccard_join,
+    "op9_ngram_trie": op9_ngram_trie,
     "op10_quality_cnn": op10_quality_cnn,
 }
 
