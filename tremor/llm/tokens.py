@@ -1,27 +1,31 @@
-"""Token ids of whole texts, equal to those of the tokenizers library, with a memo of units.
-
-Byte-pair merges never leave a pre-token, and a pre-token never has white space after something else.  So a text may
-be cut before any space that follows a visible character, and its ids are its units' ids one after another.  Units
-repeat far more than texts do; each worker sends a unit to the library once and keeps its ids in a bounded memo.
+"""Token ids of whole texts, equal to those of the tokenizers library, with a faster merge engine.
+
+The vocabulary, its merges, the normal form and the treatment of special tokens are the tokenizers library's, read from
+its file.  The merges themselves are run by tiktoken, which joins the neighbours whose joint bytes have the lowest rank.
+That gives the same ids if (1) ids grow with the merges' order and (2) every token's own bytes merge to that token: the
+merges inside a span are the same alone and in a longer text as long as nothing crosses its ends, so the last two parts
+of a token's span can only be the pair that the token's merge names.  Both are checked when a vocabulary is loaded;
+where one fails, and for texts that hold a special token's string, the tokenizers library encodes.
 """
 
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
 import unicodedata
 
 import numpy as np
 
-#: Units, and pieces, in a worker's memo; beyond it the memo starts anew (speed changes, results don't).
+#: Words in a worker's memo; beyond it the memo starts anew (speed changes, results don't).
 MEMO = 150_000
 
 # The pre-token patterns of the two vocabularies.
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-
-_blank_space = re.compile(r"\s ")
+#: Stands for a word's end in the merge engine; pieces that hold it go to the tokenizers library.
+END = "\x01"
 
 
 def vocabulary(name: str) -> str:
@@ -37,90 +41,93 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
         import regex
-        from tokenizers import Tokenizer, normalizers
+        from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
         self.whole.no_truncation()
         self.whole.no_padding()
-        self.pieces = Tokenizer.from_file(path)
-        self.pieces.no_truncation()
-        self.pieces.no_padding()
         self.normalizer = self.whole.normalizer
-        if self.normalizer:
-            self.pieces = Tokenizer.from_file(path)
-            self.pieces.no_truncation()
-            self.pieces.no_padding()
-            self.pieces.normalizer = normalizers.Sequence([])
         self.specials = [x.content for x in self.whole.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, self.specials)) or "(?!)")
         self.kind = np.uint16 if self.whole.get_vocab_size() <= 1 << 16 else np.uint32
-        self.memo: dict[str, bytes] = {}
-        self.pieced: dict[str, bytes] = {}
         self.pattern = regex.compile(WORD_PATTERN if self.normalizer else BYTE_PATTERN)
-        # In a row of pieces each ends with a word's end, or a line feed stands between them.
-        size = self.whole.get_vocab_size()
-        self.ends = np.zeros(size, bool)
-        if self.normalizer:
-            self.ends[:] = [(self.whole.id_to_token(i) or "").endswith("</w>") for i in range(size)]
-        else:
-            self.ends[self.whole.encode("\n", add_special_tokens=False).ids] = True
+        self.memo: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            self.merger = self._merger(json.load(f)["model"])
+
+    def _merger(self, model: dict):
+        """tiktoken's engine for the vocabulary, or None where its ids could differ."""
+        import tiktoken
+
+        vocab, suffix = model["vocab"], model.get("end_of_word_suffix") or ""
+        ranks = {self._bytes(t, suffix): i for t, i in vocab.items() if t not in self.specials}
+        pairs = [p.split(" ") if isinstance(p, str) else p for p in model["merges"]]
+        order = [vocab["".join(p)] for p in pairs]
+        grow = all(a < b for a, b in zip(order, order[1:], strict=False)) and len(order) + (512 if suffix else 256) == len(ranks)
+        one = self.whole.model.tokenize
+        own = lambda t: [x.id for x in one(t.removesuffix(suffix) if suffix else t)]
+        # A token that isn't a word's end can't be spelled alone by a model that ends every word: see it as a prefix.
+        whole = (own(t) == [i] for t, i in vocab.items() if t not in self.specials and t.endswith(suffix))
+        if not grow or not all(whole) or suffix and not self._prefixes_hold(pairs, suffix):
+            return None
+        return tiktoken.Encoding("own", pat_str=f"[^{END}]+{END}" if suffix else BYTE_PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    @staticmethod
+    def _prefixes_hold(pairs: list, suffix: str) -> bool:
+        """Whether each token without suffix is what merging its characters by the pairs' order gives."""
+        rank = {tuple(p): i for i, p in enumerate(pairs)}
+        for a, b in pairs:
+            if b.endswith(suffix):
+                continue
+            parts = list(a + b)
+            while len(parts) > 1:
+                k = min(range(len(parts) - 1), key=lambda i: rank.get((parts[i], parts[i + 1]), 1 << 30))
+                if (parts[k], parts[k + 1]) not in rank:
+                    return False
+                parts[k : k + 2] = [parts[k] + parts[k + 1]]
+        return True
+
+    def _bytes(self, token: str, suffix: str) -> bytes:
+        end = bool(suffix) and token.endswith(suffix)
+        return bytes(_byte_of()[c] for c in token.removesuffix(suffix) or token) + END.encode() * end
 
     def plain(self, text: str) -> str:
-        """The library's normal form; lower() differs from its case mapping only for sigma at a word's end."""
-        if "\u03a3" in text or "\u0130" in text:
+        """The library's normal form; lower() differs from its case mapping only for sigma and dotted I."""
+        if "Σ" in text or "İ" in text:
             return self.normalizer.normalize_str(text)
         return unicodedata.normalize("NFC", text).lower()
 
-    def units(self, text: str) -> list[str]:
-        if self.normalizer:  # white space has no ids here
-            return self.plain(text).split()
-        parts = text.split(" ")
-        out = [parts[0], *(" " + x for x in parts[1:])]
-        if _blank_space.search(text):
-            joined = [out[0]]
-            for x in out[1:]:
-                if not joined[-1] or joined[-1][-1].isspace():
-                    joined[-1] += x
-                else:
-                    joined.append(x)
-            return joined
-        return out
-
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        fast = [self.merger is not None and not self.special.search(t) for t in texts]
+        if self.normalizer:
+            todo = [self.plain(t).split() if f else [] for t, f in zip(texts, fast, strict=True)]
+            self._learn({w for words in todo for w in words})
+            join = lambda words: np.frombuffer(b"".join(map(self.memo.__getitem__, words)), self.kind)
+        else:
+            todo, join = texts, lambda t: self.merger.encode_to_numpy(t, disallowed_special=()).astype(self.kind)
+        slow = lambda t: np.array(self.whole.encode(t, add_special_tokens=False).ids, self.kind)
+        return [join(x) if f else slow(t) for t, x, f in zip(texts, todo, fast, strict=True)]
+
+    def _learn(self, words: set[str]) -> None:
+        """Put ids of new words into the memo. White space has no ids here, so words are encoded one by one."""
         if len(self.memo) > MEMO:
             self.memo.clear()
-        memo, lists, new = self.memo, [], set()
-        for t in texts:
-            units = None if any(x in t for x in self.specials) else self.units(t)
-            lists.append(units)
-            new.update(units or ())
-        self._learn([x for x in new if x not in memo])
-        return [
-            np.array(self.whole.encode(t, add_special_tokens=False).ids, self.kind) if units is None
-            else np.frombuffer(b"".join(map(memo.__getitem__, units)), self.kind)
-            for t, units in zip(texts, lists, strict=True)
-        ]
-
-    def _learn(self, units: list[str]) -> None:
-        split = [self.pattern.findall(x) for x in units]
-        if len(self.pieced) > MEMO:
-            self.pieced.clear()
-        known = self.pieced
-        todo = list({x for pieces in split for x in pieces if x not in known})
-        rows = [x for x in todo if self.normalizer or not ("\n" in x or x.isspace())]
-        alone = [] if len(rows) == len(todo) else [x for x in todo if "\n" in x or x.isspace()]
-        for x, e in zip(alone, self.pieces.encode_batch_fast(alone, add_special_tokens=False), strict=True):
-            known[x] = np.array(e.ids, self.kind).tobytes()
-        sep = " " if self.normalizer else "\n"
-        for lo in range(0, len(rows), 2000):
-            part = rows[lo : lo + 2000]
-            ids = np.array(self.pieces.encode(sep.join(part), add_special_tokens=False).ids, self.kind)
-            end = np.flatnonzero(self.ends[ids])
-            stop = (end + 1 if self.normalizer else np.append(end, len(ids))).tolist()
-            assert len(stop) == len(part)
-            size = self.kind().itemsize
-            raw, begin = ids.tobytes(), [0] + [x + (not self.normalizer) for x in stop[:-1]]
-            known.update((x, raw[size * i : size * j]) for x, i, j in zip(part, begin, stop, strict=True))
-        self.memo.update((x, known[p[0]] if len(p) == 1 else b"".join([known[y] for y in p])) for x, p in zip(units, split, strict=True))
+        new = [w for w in words if w not in self.memo]
+        odd = [w for w in new if END in w]
+        for w in odd:
+            self.memo[w] = np.array(self.whole.encode(w, add_special_tokens=False).ids, self.kind).tobytes()
+        new = [w for w in new if END not in w] if odd else new
+        split = self.pattern.findall
+        pieces = [split(w) for w in new]
+        ids = self.merger.encode_to_numpy(END.join([p for own in pieces for p in own] + [""])).astype(self.kind)
+        ends = np.append(0, np.flatnonzero(self.closes[ids]) + 1)
+        raw, size = ids.tobytes(), ids.itemsize
+        at = (ends[np.append(0, np.cumsum([len(own) for own in pieces]))] * size).tolist()
+        self.memo.update((w, raw[a:b]) for w, a, b in zip(new, at, at[1:], strict=False))
+
+    @functools.cached_property
+    def closes(self) -> np.ndarray:
+        return np.array([(self.whole.id_to_token(i) or "").endswith("</w>") for i in range(self.whole.get_vocab_size())])
 
     def decode(self, ids: np.ndarray) -> str:
         return self.whole.decode(ids.tolist(), skip_special_tokens=False)
@@ -128,14 +135,16 @@ class Encoder:
     @functools.cached_property
     def spelled(self) -> list[bytes]:
         """The bytes of each id of a byte-level vocabulary."""
-        order = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        table = {chr(b): b for b in order}
-        table |= {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(order))}
-        out = []
-        for i in range(self.whole.get_vocab_size()):
-            t = self.whole.id_to_token(i)
-            out.append(t.encode() if t in self.specials else bytes(table[c] for c in t))
-        return out
+        names = (self.whole.id_to_token(i) for i in range(self.whole.get_vocab_size()))
+        return [t.encode() if t in self.specials else self._bytes(t, "") for t in names]
+
+
+@functools.lru_cache(maxsize=1)
+def _byte_of() -> dict[str, int]:
+    """Byte-level vocabularies write printable bytes as themselves and the others as the characters from 256 on."""
+    shown = {b for b in range(256) if 33 <= b < 127 or 161 <= b < 256 and b != 173}
+    hidden = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
 @functools.lru_cache(maxsize=2)
