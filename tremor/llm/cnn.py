@@ -199,10 +199,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit([r["text"].encode() for r in found], y, np.array([share[int(k)] for k in y], np.float32))
 
 
-def score(docs: DataFrame, net: Net, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """id, the columns of keep, and score (double): the probability that a text has label 1."""
+def score(docs: DataFrame, net: Net, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), score_col: str = "score") -> DataFrame:
+    """id, the columns of keep, and ``score_col`` (double): the probability that a text has label 1."""
     names = [id_col, *keep]
-    schema = T.StructType([*(docs.schema[c] for c in names), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*(docs.schema[c] for c in names), T.StructField(score_col, T.DoubleType())])
     arrow = pa.schema([pa.field(f"c{i}", _arrow(f.dataType)) for i, f in enumerate(schema)])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, caps, chat, cnn, jaccard, lm, packing, sstable, topk
+from . import bpe, caps, chat, cnn, jaccard, lm, packing, sstable, suffix, topk
 from .tokens import vocabulary
 
 
@@ -37,6 +37,11 @@ def op4_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.read(manifest, finish=sstable.checksums, result="n_tokens long, ids_crc32 long")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
+    return suffix.remove_repeats(_read(spark, sf_dir, "documents"), finish=suffix.digests, result="n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
 def op6_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """vec_id, n_links, component_id, kept of every vector."""
     return caps.near_duplicates(_read(spark, sf_dir, "embeddings"))
@@ -70,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_cover_topk": op2_cover_topk,
     "op3_chat_format": op3_chat_format,
     "op4_sstable": op4_sstable,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_cap_filters": op6_cap_filters,
     "op7_hilbert_packing": op7_hilbert_packing,
     "op8_jaccard_join": op8_jaccard_join,
