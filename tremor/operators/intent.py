@@ -110,12 +110,11 @@ def predict(intents: DataFrame, resolved: DataFrame, edges: DataFrame) -> DataFr
     """
     resolved = cut(resolved)  # a few rows for each intent, used five times
     roots = cut(virtual_roots(intents, resolved).filter(~F.col("symbol_id").startswith("__phantom__#")))
-    impact = traversal.propagate(edges, roots)
-    reach = traversal.explain(edges, roots).select("run", "symbol_id", F.col("root_id"))
+    reach = traversal.reach_by_root(edges, roots)
     rank = X.confidence_rank(F.col("confidence"))
     of_root = resolved.select(F.col("intent_id").alias("run"), F.col("symbol_id").alias("root_id"), rank.alias("rank"))
-    best = reach.join(of_root, ["run", "root_id"]).groupBy("run", "symbol_id").agg(F.max("rank").alias("rank"))
-    known = impact.join(best, ["run", "symbol_id"], "left")
+    known = reach.join(of_root, ["run", "root_id"], "left").groupBy("run", "symbol_id").agg(F.min("depth").alias("depth"), F.max("rank").alias("rank"))
+    known = known.withColumn("role", traversal.role_of(F.col("depth")))
     level = F.coalesce("rank", F.lit(0)) - F.when(F.col("depth") > 1, 1).otherwise(0)
     listed = known.select(F.col("run").alias("intent_id"), "symbol_id", "depth", "role", X.rank_confidence(F.greatest(level, F.lit(0))).alias("confidence"))
     scope = resolved.join(intents.filter("change_type = 'delete'").select("intent_id"), "intent_id", "left_semi").select("intent_id", X.file_of_last(F.col("symbol_id")).alias("file")).distinct()

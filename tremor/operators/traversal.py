@@ -66,6 +66,29 @@ def propagate(edges: DataFrame, roots: DataFrame, most: int = MOST) -> DataFrame
     return out.select("run", F.col("node").alias("symbol_id"), "depth", role_of(F.col("depth")).alias("role"))
 
 
+def reach_by_root(edges: DataFrame, roots: DataFrame, most: int = MOST) -> DataFrame:
+    """Which roots reach a symbol: run, symbol_id, root_id, depth; what ``explain`` gives, without the paths."""
+    roots = cut(_with_run(roots).groupBy("run", "symbol_id").agg(F.min("ord").alias("ord"), F.max(F.col("mode") == "deep").alias("is_deep")))
+    edges = edges.select("src", "dst").distinct()
+    start = roots.filter("is_deep").select("run", F.col("symbol_id").alias("root_id"), F.col("symbol_id").alias("node"), F.lit(0).alias("depth"))
+
+    def step(frontier: DataFrame) -> DataFrame:
+        return frontier.join(edges, F.col("node") == F.col("dst")).select("run", "root_id", F.col("src").alias("node"), (F.col("depth") + 1).alias("depth")).distinct()
+
+    reached = _levels(start, ["run", "root_id", "node"], step, most)
+    names = roots.select("run", F.col("symbol_id").alias("node"))
+    deep = reached.filter("depth > 0").join(names, ["run", "node"], "left_anti").select("run", "node", "root_id", "depth")
+    near = _shallow(edges, roots, names, reached).select("run", "node", "root_id", F.lit(1).alias("depth"))
+    return deep.unionByName(near).select("run", F.col("node").alias("symbol_id"), "root_id", "depth")
+
+
+def _shallow(edges: DataFrame, roots: DataFrame, names: DataFrame, reached: DataFrame) -> DataFrame:
+    """Direct dependents of shallow roots that are no roots and that no deep root reaches, with the first such root."""
+    near = roots.filter("not is_deep").join(edges, F.col("symbol_id") == F.col("dst")).select("run", F.col("src").alias("node"), F.col("symbol_id").alias("root_id"), F.col("ord").alias("root_ord"))
+    near = near.join(names, ["run", "node"], "left_anti").join(reached.select("run", "node").distinct(), ["run", "node"], "left_anti")
+    return near.groupBy("run", "node").agg(F.min_by("root_id", "root_ord").alias("root_id"), F.min("root_ord").alias("root_ord"))
+
+
 def explain(edges: DataFrame, roots: DataFrame, most: int = MOST) -> DataFrame:
     """Paths: run, symbol_id, root_id, root_ord, path, depth of the path; one for each deep root, at most one shallow.
 
@@ -87,9 +110,7 @@ def explain(edges: DataFrame, roots: DataFrame, most: int = MOST) -> DataFrame:
     reached = _levels(start, ["run", "root_id", "node"], step, most)
     names = roots.select("run", F.col("symbol_id").alias("node"))
     deep = reached.filter(F.size("path") > 1).join(names, ["run", "node"], "left_anti").select("run", "node", "root_id", "root_ord", "path")
-    near = roots.filter("not is_deep").join(edges, F.col("symbol_id") == F.col("dst")).select("run", F.col("src").alias("node"), F.col("symbol_id").alias("root_id"), F.col("ord").alias("root_ord"))
-    near = near.join(names, ["run", "node"], "left_anti").join(reached.select("run", "node").distinct(), ["run", "node"], "left_anti")
-    near = near.groupBy("run", "node").agg(F.min_by("root_id", "root_ord").alias("root_id"), F.min("root_ord").alias("root_ord"))
+    near = _shallow(edges, roots, names, reached)
     near = near.select("run", "node", "root_id", "root_ord", F.array("root_id", "node").alias("path"))
     return deep.unionByName(near).select("run", F.col("node").alias("symbol_id"), "root_id", "root_ord", "path", (F.size("path") - 1).alias("depth"))
 

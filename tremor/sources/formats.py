@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
-SYMBOLS = T.StructType.fromDDL(
-    "id string, name string, kind string, file_path string, start_line int, end_line int, start_pos int, end_pos int,"
-    " is_exported boolean, parent_id string, signature_hash string, ord long"
-)
-EDGES = T.StructType.fromDDL("src string, dst string")
-HASHES = T.StructType.fromDDL("file_path string, sha1 string")
-METADATA = T.StructType.fromDDL("project_hash string, created_at string, version string")
+
+def _schema(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(n, t) for n, t in fields.items()])
+
+
+_S, _I, _L, _B = T.StringType(), T.IntegerType(), T.LongType(), T.BooleanType()
+SYMBOLS = _schema(id=_S, name=_S, kind=_S, file_path=_S, start_line=_I, end_line=_I, start_pos=_I, end_pos=_I, is_exported=_B, parent_id=_S, signature_hash=_S, ord=_L)
+EDGES = _schema(src=_S, dst=_S)
+HASHES = _schema(file_path=_S, sha1=_S)
+METADATA = _schema(project_hash=_S, created_at=_S, version=_S)
 VERSION = "1.0.0"
 
 
