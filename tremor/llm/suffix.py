@@ -36,7 +36,7 @@ from . import blocks as B, hashing as H
 from .bpe import _arrow
 
 LENGTH, GRAM = 400, 32
-BLOCK, SLAB = 8 << 20, 1 << 19
+BLOCK, SLAB = 4 << 20, 1 << 19
 LEAD = 64
 
 TABLE = "block long, head binary, size binary, text binary, first binary, last binary, place binary"
@@ -302,7 +302,7 @@ def _bucket(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.Recor
         yield pa.record_batch([pa.array(v, t) for v, t in zip(zip(*out[lo : lo + 500], strict=True), (pa.int32(), pa.int64(), pa.binary()), strict=True)], ["shard", "block", "body"])
 
 
-def _stretches(run_at: np.ndarray, n: np.ndarray, total: int, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def _stretches(run_at: np.ndarray, n: np.ndarray, total: int, most: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Row ranges of whole runs with about ``most`` windows each."""
     ends = np.append(run_at[1:], total)
     upto = np.cumsum(n)
@@ -368,9 +368,10 @@ def _cut(shards: int, finish: Callable, arrow: pa.Schema):
             count = at[region + 1] - at[region]
             which = np.repeat(at[region] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
             on[first[members[which]] + np.repeat(start, count)] = True
-        seen = np.concatenate([[0], np.cumsum(on, dtype=np.int64)])
-        y = np.arange(len(raw))
-        gone = seen[y + 1] > seen[np.maximum(0, y + 1 - LENGTH)]
+        seen = np.cumsum(on, dtype=np.int32)  # a byte goes if a repeated window starts in the LENGTH places up to it
+        gone = seen > 0
+        gone[LENGTH:] = seen[LENGTH:] > seen[:-LENGTH]
+        del seen, on, dup
         offsets = np.concatenate([[0], np.cumsum(B.unplanes(row["size"], np.uint64).astype(np.int64))])
         head = pa.ipc.open_stream(B.unpress(row["head"])).read_all()
         return finish(head, raw, offsets, gone).rename_columns(arrow.names).cast(arrow)
