@@ -5,7 +5,8 @@ its file.  The merges themselves are run by tiktoken, which joins the neighbours
 That gives the same ids if (1) ids grow with the merges' order and (2) every token's own bytes merge to that token: the
 merges inside a span are the same alone and in a longer text as long as nothing crosses its ends, so the last two parts
 of a token's span can only be the pair that the token's merge names.  Both are checked when a vocabulary is loaded;
-where one fails, and for texts that hold a special token's string, the tokenizers library encodes.
+where one fails, and for texts that hold a special token's string or a character that the engines' Unicode tables may
+class differently, the tokenizers library encodes.
 """
 
 from __future__ import annotations
@@ -48,7 +49,9 @@ class Encoder:
         self.whole.no_padding()
         self.normalizer = self.whole.normalizer
         self.specials = [x.content for x in self.whole.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(map(re.escape, self.specials)) or "(?!)")
+        # split() takes four control characters for white space, the library doesn't
+        self.marks = [*self.specials, *("\x1c\x1d\x1e\x1f" if self.normalizer else "")]
+        self.unsettled = re.compile(_unsettled())
         self.kind = np.uint16 if self.whole.get_vocab_size() <= 1 << 16 else np.uint32
         self.pattern = regex.compile(WORD_PATTERN if self.normalizer else BYTE_PATTERN)
         self.memo: dict[str, bytes] = {}
@@ -97,8 +100,11 @@ class Encoder:
             return self.normalizer.normalize_str(text)
         return unicodedata.normalize("NFC", text).lower()
 
+    def _settled(self, text: str) -> bool:
+        return not any(x in text for x in self.marks) and (text.isascii() or not self.unsettled.search(text))
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        fast = [self.merger is not None and not self.special.search(t) for t in texts]
+        fast = [self.merger is not None and self._settled(t) for t in texts]
         if self.normalizer:
             todo = [self.plain(t).split() if f else [] for t, f in zip(texts, fast, strict=True)]
             self._learn({w for words in todo for w in words})
@@ -117,6 +123,8 @@ class Encoder:
         for w in odd:
             self.memo[w] = np.array(self.whole.encode(w, add_special_tokens=False).ids, self.kind).tobytes()
         new = [w for w in new if END not in w] if odd else new
+        if not new:
+            return
         split = self.pattern.findall
         pieces = [split(w) for w in new]
         ids = self.merger.encode_to_numpy(END.join([p for own in pieces for p in own] + [""])).astype(self.kind)
@@ -139,6 +147,16 @@ class Encoder:
         return [t.encode() if t in self.specials else self._bytes(t, "") for t in names]
 
 
+@functools.lru_cache(maxsize=1)
+def _unsettled() -> str:
+    """Characters that became letters or numbers after Unicode 3.2, and the higher planes but for pictographs: regular
+    expression engines of different age disagree about them."""
+    kind = lambda c, table: k if (k := table.category(c)[0]) in "LNZ" else ""
+    young = [c for c in map(chr, range(0x80, 0xD800)) if kind(c, unicodedata) != kind(c, unicodedata.ucd_3_2_0)]
+    young += [c for c in map(chr, range(0xE000, 0x10000)) if kind(c, unicodedata) != kind(c, unicodedata.ucd_3_2_0)]
+    return f"[{''.join(map(re.escape, young))}\U00010000-\U0001efff\U00020000-\U0010ffff]"
+
+
 @functools.lru_cache(maxsize=1)
 def _byte_of() -> dict[str, int]:
     """Byte-level vocabularies write printable bytes as themselves and the others as the characters from 256 on."""
