@@ -84,7 +84,7 @@ def decode(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         on = a[ra[one], ia[one]] + b[rb[two], ib[two]] >= t
         one, two = one[on], two[on]
         rows.append(ra[one])
-        found.append(((dims * FAMILIES + k) * WORDS + ia[one]) * WORDS + ib[two])
+        found.append(((d * FAMILIES + k) * WORDS + ia[one]) * WORDS + ib[two])
     row, code = np.concatenate(rows), np.concatenate(found)
     # spread over the longs, so that ranges and the order of filters say nothing about families
     code = mix(code.astype(np.uint64)).view(np.int64)
