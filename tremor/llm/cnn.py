@@ -114,16 +114,18 @@ def scores(net: Net, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return pooled(net, *halves_max(net, raw, offsets))
 
 
-def fit(texts: list[bytes], labels: np.ndarray, weights: np.ndarray, epochs: int = 6, batch: int = 32, rate: float = 0.006, seed: int = 0) -> Net:
-    """Adam on weighted log loss; the gradient of a maximum goes to its first place."""
+def fit(texts: list[bytes], labels: np.ndarray, weights: np.ndarray, epochs: int = 6, steps: int = 900, batch: int = 32, rate: float = 0.006, seed: int = 0) -> Net:
+    """Adam on weighted log loss, at least so many epochs and steps; the gradient of a maximum goes to its first place."""
     r = np.random.default_rng(seed)
     net = Net.new(seed)
     moment = [(np.zeros_like(p), np.zeros_like(p)) for p in net.parts()]
     t = 0
     n = HALF // STEP
-    rounds = epochs * -(-len(texts) // batch)
+    each = max(1, len(texts) // batch)
+    epochs = max(epochs, -(-steps // each))
+    rounds = epochs * each
     for _ in range(epochs):
-        for own in np.array_split(r.permutation(len(texts)), max(1, len(texts) // batch)):
+        for own in np.array_split(r.permutation(len(texts)), each):
             part = [texts[i] for i in own]
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in part])])
             padded, where, first = places(np.frombuffer(b"".join(part), np.uint8), offsets)
@@ -178,7 +180,7 @@ def in_fold(id_col: str, keep: bool, folds: int = 4, fold: int = 2) -> F.Column:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Net:
     """Fit on the labelled rows with the smallest id hashes of each class, held-out rows left aside.
 
-    Classes weigh as they do among all labelled rows.  Null, empty and overlong texts are not learned from.
+    Classes weigh as the square roots of their numbers among all labelled rows.  Null, empty and overlong texts are not learned from.
     """
     named = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).filter("label in (0, 1) and id is not null").filter(in_fold("id", True))
     total = {r["label"]: r["n"] for r in named.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -195,7 +197,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     y = np.array([r["label"] for r in found], np.float32)
     if not 0 < y.sum() < len(y):
         raise ValueError("labelled rows of both classes are needed")
-    share = {k: total[k] / sum(total.values()) / np.mean(y == k) for k in (0, 1)}
+    share = {k: total[k] ** 0.5 / np.mean(y == k) for k in (0, 1)}
     return fit([r["text"].encode() for r in found], y, np.array([share[int(k)] for k in y], np.float32))
 
 
