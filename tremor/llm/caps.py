@@ -10,8 +10,10 @@ the smallest filter that both exceed and nowhere else, so nothing is counted twi
 sends each member's number of links and a spanning forest.  A filter with the same members as a smaller one is left out.
 A filter with many vectors is dealt to several tasks by pairs of member blocks.
 
-With the defaults a pair at cosine 0.9 exactly shares a filter with probability 0.997, at 0.92 and above practically
-always (64 dimensions; measured in tests).  No link below the threshold is ever reported.
+Codebooks grow with the square root of the number of vectors, and thresholds with them, so that the vectors that share a
+filter by chance stay few for each vector.  A pair at cosine 0.9 exactly shares a filter with probability 0.98 to 1 for
+codebooks of 1024 to 32768 words, at 0.92 and above practically always (64 dimensions; measured in tests).  No link
+below the threshold is ever reported.
 
 Vectors that are null, empty, zero or hold null or non-finite components, and rows without id, link with nothing and are
 their own component (null for a null id).  Vectors of different lengths don't link.  Rows with equal ids are rows of
@@ -20,8 +22,11 @@ their own.  Other columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
+from statistics import NormalDist
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -31,21 +36,38 @@ from . import blocks as B
 from .components import components
 from .hashing import mix
 
-WORDS, FAMILIES, SIGMAS = 1024, 6, 4.0
 #: Members of a filter that are compared in one task; a larger filter is cut into blocks of about this size.
 LARGE = 2048
 
 
+class Plan(NamedTuple):
+    """Words of a codebook, families, and the threshold in standard deviations of a random projection."""
+
+    words: int = 1024
+    families: int = 6
+    sigmas: float = 4.0
+
+
+DEFAULT = Plan()
+
+
+def plan(n: int) -> Plan:
+    """Parameters for n vectors."""
+    words = max(1024, 1 << (math.ceil(6 * math.sqrt(n)) - 1).bit_length())
+    exceed = 33 * (words / 1024) ** 0.6  # filters of a family that a vector exceeds, were projections normal
+    return Plan(words, 6 if words == 1024 else 8, NormalDist().inv_cdf(1 - exceed / words**2))
+
+
 @lru_cache(maxsize=4)
-def codes(dims: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def codes(dims: int, words: int, families: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Signs and two codebooks for each family; dims: a power of two."""
     out = []
-    for k in range(FAMILIES):
+    for k in range(families):
         r = np.random.default_rng(1000 * dims + k)
         signs = r.choice([-1.0, 1.0], (3, dims))
         books = []
         for n in (dims // 2, dims - dims // 2):
-            c = r.standard_normal((WORDS, n))
+            c = r.standard_normal((words, n))
             books.append(c / (np.linalg.norm(c, axis=1, keepdims=True) * np.sqrt(2)))
         out.append((signs, *books))
     return out
@@ -62,15 +84,15 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(width)
 
 
-def decode(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def decode(x: np.ndarray, own: Plan = DEFAULT) -> tuple[np.ndarray, np.ndarray]:
     """All (row, filter) with the filter exceeded; x: vectors of one length, not zero."""
     n, d = x.shape
     dims = max(64, 1 << (d - 1).bit_length())  # a short vector stands in a random subspace
     unit = np.zeros((n, dims))
     unit[:, :d] = x / np.linalg.norm(x, axis=1, keepdims=True)
-    t = SIGMAS / np.sqrt(dims)
+    t = own.sigmas / np.sqrt(dims)
     rows, found = [], []
-    for k, (signs, left, right) in enumerate(codes(dims)):
+    for k, (signs, left, right) in enumerate(codes(dims, own.words, own.families)):
         y = unit
         for s in signs:
             y = hadamard(y * s)
@@ -84,7 +106,7 @@ def decode(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         on = a[ra[one], ia[one]] + b[rb[two], ib[two]] >= t
         one, two = one[on], two[on]
         rows.append(ra[one])
-        found.append(((d * FAMILIES + k) * WORDS + ia[one]) * WORDS + ib[two])
+        found.append(((d * own.families + k) * own.words + ia[one]) * own.words + ib[two])
     row, code = np.concatenate(rows), np.concatenate(found)
     # spread over the longs, so that ranges and the order of filters say nothing about families
     code = mix(code.astype(np.uint64)).view(np.int64)
@@ -99,10 +121,11 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & ~bad & x(lambda v: v != 0), F.lit(False))
 
 
-def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _listed(batches: Iterator[pa.RecordBatch], params: Plan) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for lo in range(0, batch.num_rows, 1024):
-            b = batch.slice(lo, 1024)
+        step = max(16, (1 << 20) // params.words)  # a step's scores against a codebook stay within 8 MB
+        for lo in range(0, batch.num_rows, step):
+            b = batch.slice(lo, step)
             size = np.array(b["vector"].value_lengths().to_pylist(), np.int64)
             flat, at = b["vector"].flatten().to_numpy(zero_copy_only=False).astype(np.float64), np.concatenate([[0], np.cumsum(size)])
             lists: list[np.ndarray] = [None] * b.num_rows
@@ -111,7 +134,7 @@ def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 own = np.flatnonzero(size == d)
                 x = flat[(at[own][:, None] + np.arange(d))]
                 x = x / np.exp2(np.floor(np.log2(np.abs(x).max(axis=1, keepdims=True))))  # exact; squares stay finite
-                row, code = decode(x)
+                row, code = decode(x, params)
                 for i, v in zip(own.tolist(), x, strict=True):
                     raw[i] = v.tobytes()
                 for i, c in zip(own.tolist(), np.split(code, np.searchsorted(row, np.arange(1, len(own)))), strict=True):
@@ -227,7 +250,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
     rows = rows.withColumn("node", F.when(F.col("id").isNotNull() & usable(F.col("vector")), F.xxhash64(F.transform("vector", lambda v: v + F.lit(0.0)))))
     classes = rows.filter("node is not null").groupBy("node").agg(F.min("id").alias("rep"), F.count("*").alias("size"), F.first("vector").alias("vector"))
-    nodes = B.stored(classes.mapInArrow(_listed, "node long, rep long, size long, raw binary, filters array<long>"))
+    params = plan(rows.count())
+    nodes = B.stored(classes.mapInArrow(lambda it: _listed(it, params), "node long, rep long, size long, raw binary, filters array<long>"))
     light = nodes.select(F.explode("filters").alias("filter"), "node")
     members = light.join(kept_groups(light, "filter", "node"), "filter").join(nodes.select("node", "size", "raw", "filters"), "node")
     # A filter with up to LARGE members is one task's (0, 0); the members of a larger one go to all pairs with their block.
