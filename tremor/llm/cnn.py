@@ -172,9 +172,9 @@ def fit(texts: list[bytes], labels: np.ndarray, weights: np.ndarray, epochs: int
 
 
 def in_fold(id_col: str, keep: bool, folds: int = 4, fold: int = 2) -> F.Column:
-    """Whether crc32 of the id's decimal text falls in the held-out fold (keep: in another one)."""
-    r = F.crc32(F.col(id_col).cast("string")) % folds
-    return r != fold if keep else r == fold
+    """Whether crc32 of the id's decimal text falls in the held-out fold (keep: in another one, as a null id does)."""
+    held = F.coalesce(F.crc32(F.col(id_col).cast("string")) % folds == fold, F.lit(False))
+    return ~held if keep else held
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Net:
