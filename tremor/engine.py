@@ -7,6 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, functions as F
 
 from tremor.operators import diff, incremental, index, intent, report, roots as R, traversal
+from tremor.plans.lineage import cut
 
 
 class Impact(NamedTuple):
@@ -56,7 +57,7 @@ def staged_impact(state: incremental.State, staged: DataFrame, contents: DataFra
     everywhere = state.symbols if strict else state.symbols.select("id", "file_path").union(changed.state.symbols.select("id", "file_path"))
     renamed = R.renamed(changed.state.symbols if strict else everywhere, files, old_paths=not strict)
     body = index.hunk_symbols(hunks, contents, changed.state.symbols).select(F.col("id").alias("symbol_id"))
-    found = R.dedup(R.candidates(deleted=deleted, ripple=ripple, renamed=renamed, body=body))
+    found = cut(R.dedup(R.candidates(deleted=deleted, ripple=ripple, renamed=renamed, body=body)))  # asked for again and again
     impact = traversal.propagate(state.edges, found).drop("run")
     return Impact(found, impact, changed.state.symbols, state.edges, root)
 
@@ -66,7 +67,7 @@ def edit_impact(changed: incremental.Changed, root: str) -> Impact:
     edges = diff.restored_edges(changed.state.edges, changed.before)
     ripple = changed.changes.filter("change = 'ripple'").select("symbol_id")
     removed = changed.changes.filter("change = 'removed'").select("symbol_id")
-    found = R.dedup(R.candidates(deleted=removed, ripple=ripple))
+    found = cut(R.dedup(R.candidates(deleted=removed, ripple=ripple)))
     return Impact(found, traversal.propagate(edges, found).drop("run"), changed.state.symbols, edges, root)
 
 

@@ -78,14 +78,31 @@ def escape_html(text: Column) -> Column:
     return out
 
 
+PHANTOM = "__phantom__#"
+
+
 def symbol_parts(symbol_id: Column) -> Column:
-    """(file, name, phantom) of an id for display: phantoms have no file, others split at the last ``#``."""
-    phantom = symbol_id.startswith("__phantom__#")
-    name = F.substring_index(symbol_id, "#", -1)
-    file = F.when(phantom, F.lit("")).otherwise(F.substring_index(file_of_last(symbol_id), "/", -1))
+    """(file, name, phantom) of an id for display: file and name part at the last ``#``, phantoms have no file."""
+    phantom = symbol_id.startswith(PHANTOM)
+    rest = F.substring(symbol_id, len(PHANTOM) + 1, 1 << 30)
+    name = F.when(phantom, rest).otherwise(F.substring_index(symbol_id, "#", -1))
+    file = F.when(phantom | (F.instr(symbol_id, "#") == 0), F.lit("")).otherwise(F.substring_index(file_of_last(symbol_id), "/", -1))
     return F.struct(file.alias("file"), name.alias("name"), phantom.alias("phantom"))
 
 
+# What a prediction's status line says.
+NO_MATCH = "No matching symbols found."
+ALONE = " symbol(s) in scope — none have tracked dependents."
+ONLY_NEW = "New symbol(s) to be added — no existing dependents affected."
+AT_RISK = (" symbol(s) in scope → ", " dependent(s) at risk")
+
+
+def prediction_status(n_roots: Column, n_impacted: Column, n_phantoms: Column) -> Column:
+    roots = n_roots.cast("string")
+    risk = F.concat(roots, F.lit(AT_RISK[0]), n_impacted.cast("string"), F.lit(AT_RISK[1]))
+    return F.when(n_roots == 0, NO_MATCH).when(n_impacted > 0, risk).when(n_phantoms > 0, ONLY_NEW).otherwise(F.concat(roots, F.lit(ALONE)))
+
+
 def tokenise(text: Column) -> Column:
     """Lower-case tokens at case changes and at what is neither letter nor digit; short ones only of short texts."""
     spaced = F.regexp_replace(F.regexp_replace(text, "([a-z])([A-Z])", "$1 $2"), "([A-Z]+)([A-Z][a-z])", "$1 $2")

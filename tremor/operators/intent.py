@@ -98,7 +98,7 @@ def phantoms(intents: DataFrame, resolved: DataFrame) -> DataFrame:
     have = resolved.select("intent_id", F.lower("name").alias("low")).distinct()
     new = hints.withColumn("low", F.lower("hint")).join(have, ["intent_id", "low"], "left_anti")
     new = new.groupBy("intent_id", "hint").agg(F.min("at").alias("at"))
-    return new.select("intent_id", F.concat(F.lit("__phantom__#"), F.col("hint")).alias("symbol_id"), F.col("hint").alias("name"), F.lit("function").alias("kind"), F.lit(True).alias("is_exported"), "at")
+    return new.select("intent_id", F.concat(F.lit(X.PHANTOM), F.col("hint")).alias("symbol_id"), F.col("hint").alias("name"), F.lit("function").alias("kind"), F.lit(True).alias("is_exported"), "at")
 
 
 def predict(intents: DataFrame, resolved: DataFrame, edges: DataFrame) -> DataFrame:
@@ -109,7 +109,7 @@ def predict(intents: DataFrame, resolved: DataFrame, edges: DataFrame) -> DataFr
     not listed.
     """
     resolved = cut(resolved)  # a few rows for each intent, used five times
-    roots = cut(virtual_roots(intents, resolved).filter(~F.col("symbol_id").startswith("__phantom__#")))
+    roots = cut(virtual_roots(intents, resolved).filter(~F.col("symbol_id").startswith(X.PHANTOM)))
     reach = traversal.reach_by_root(edges, roots)
     rank = X.confidence_rank(F.col("confidence"))
     of_root = resolved.select(F.col("intent_id").alias("run"), F.col("symbol_id").alias("root_id"), rank.alias("rank"))
@@ -176,6 +176,14 @@ def prompt_text(prompt: Column, context: Column | None = None, template: str = P
     return F.concat(F.lit(before), shown, F.lit(middle), prompt, F.lit(after))
 
 
+def first_available(models: DataFrame, preferences: DataFrame) -> DataFrame:
+    """The model that the first satisfied preference names. models: vendor, family; preferences: rank, vendor, family
+    (null: any). No row if none fits."""
+    p = preferences.select("rank", F.col("vendor").alias("v"), F.col("family").alias("f"))
+    fit = models.join(p, (F.col("vendor") == F.col("v")) & (F.col("f").isNull() | (F.col("family") == F.col("f"))))
+    return fit.orderBy("rank", "family").limit(1).select("vendor", "family", "rank")
+
+
 def joined_stream(chunks: DataFrame) -> DataFrame:
     """Whole responses of chunks (intent_id, seq, text)."""
     return chunks.groupBy("intent_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "").alias("response"))

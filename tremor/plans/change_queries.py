@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, functions as F
 
+from tremor import engine
 from tremor.functions import types as Y
-from tremor.operators import diff, incremental, index
+from tremor.operators import diff, incremental, index, report
+from tremor.plans import lineage
 from tremor.plans.registry import query
 from tremor.sources import formats
 from tremor.sources.workspaces import Workspace, oracle
@@ -162,6 +166,45 @@ def apply_change_strict(w: Workspace) -> DataFrame:
     return incremental.change_files(state, state.symbols.filter(F.col("file_path") == _FILE), *_edited(w), strict=True).state.edges
 
 
+_REACH = """,
+b AS (SELECT id, 0 AS depth FROM roots WHERE mode = 'deep' UNION SELECT e.src, b.depth + 1 FROM b JOIN star_edges e ON e.dst = b.id WHERE b.depth < 20),
+reach AS (SELECT id, min(depth) AS depth FROM b GROUP BY id),
+near AS (SELECT DISTINCT e.src AS id, 1 AS depth FROM roots r JOIN star_edges e ON e.dst = r.id WHERE r.mode = 'shallow' AND e.src NOT IN (SELECT id FROM roots) AND e.src NOT IN (SELECT id FROM reach)),
+impact AS (SELECT * FROM reach WHERE id NOT IN (SELECT id FROM roots) UNION ALL SELECT * FROM near)
+SELECT id AS symbol_id, 'root' AS role, reason, 0 AS depth FROM roots UNION ALL SELECT id, CASE WHEN depth = 1 THEN 'direct' ELSE 'indirect' END, NULL, CAST(depth AS INTEGER) FROM impact"""
+
+
+@query(
+    oracle(
+        f""", own AS (SELECT id, k % 3 AS n FROM star_symbols WHERE file_path = '{_FILE}'),
+c AS (SELECT id, 'deleted' AS reason, 3 AS p FROM own WHERE n = 0 UNION ALL SELECT id, 'deleted', 3 FROM star_symbols WHERE file_path = '/ws/src/nation/r4.ts' UNION ALL SELECT id, 'signature-ripple', 2 FROM own WHERE n = 1
+  UNION ALL SELECT s.id, 'body-change', 0 FROM star_symbols s JOIN own USING (id) WHERE n <> 0 AND start_pos <= 1199 AND end_pos >= 1000),
+roots AS (SELECT id, arg_max(reason, p) AS reason, CASE WHEN max(p) = 0 THEN 'shallow' ELSE 'deep' END AS mode FROM c GROUP BY id)"""
+        + _REACH,
+        "star_edges", recursive=True,
+    )
+)
+def staged_impact(w: Workspace) -> DataFrame:
+    """A file edited (a third of it gone, a third with other signatures, two lines of it touched) and a file deleted."""
+    s = w.star_symbols()
+    state = incremental.State(s.withColumn("ord", F.col("k")).drop("tbl", "k", "ptbl", "pk"), w.star_edges())
+    own = state.symbols.filter(F.col("file_path") == _FILE).withColumn("n", F.pmod(F.col("ord"), F.lit(3))).filter("n <> 0")
+    new = own.withColumn("signature_hash", F.when(F.col("n") == 1, "changed").otherwise(F.col("signature_hash"))).drop("n")
+    staged = w.spark.createDataFrame([("M", _FILE, None), ("D", "/ws/src/nation/r4.ts", None)], "status string, file_path string, old_file_path string")
+    contents = w.spark.range(1).select(F.lit(_FILE).alias("file_path"), F.repeat(F.concat(F.repeat(F.lit("x"), 99), F.lit("\n")), 60).alias("text"))
+    hunks = w.spark.createDataFrame([(_FILE, 11, 2)], "file_path string, new_start int, new_count int")
+    found = engine.staged_impact(state, staged, contents, hunks, new, state.edges.limit(0), "/ws")
+    return report.involved(found.roots, found.impact)
+
+
+@query(oracle(f", roots AS (SELECT id, 'deep' AS mode, CASE k % 3 WHEN 0 THEN 'deleted' ELSE 'signature-ripple' END AS reason FROM star_symbols WHERE file_path = '{_FILE}' AND k % 3 <> 2)" + _REACH, "star_edges", recursive=True))
+def edit_impact(w: Workspace) -> DataFrame:
+    state = _state(w)
+    changed = incremental.change_files(state, state.symbols.filter(F.col("file_path") == _FILE), *_edited(w))
+    found = engine.edit_impact(changed, "/ws")
+    return report.involved(found.roots, found.impact)
+
+
 @query(oracle(f" SELECT CASE WHEN file_path = '{_FILE}' THEN '/ws/src/moved.ts#' || name ELSE id END AS id, CASE WHEN file_path = '{_FILE}' THEN '/ws/src/moved.ts' ELSE file_path END AS file_path FROM star_symbols", "star_symbols"))
 def rename_file(w: Workspace) -> DataFrame:
     state = _state(w)
@@ -213,6 +256,18 @@ def debounce_by_handler(w: Workspace) -> DataFrame:
     return E.debounce(own, gap).select("handler", "event_id", "n_events")
 
 
+@query(oracle(_BURSTS.format(gap=60), "file_events"))
+def stream_debounce(w: Workspace) -> DataFrame:
+    """The same through a stream: all files at hand, complete mode (append mode would hold back the last burst)."""
+    spark, name = w.spark, f"bursts_{uuid.uuid4().hex}"
+    schema = w.table("events").schema
+    raw = spark.readStream.schema(schema).parquet(f"{w.sf_dir}/events.parque[t]")  # a pattern: a stream takes no single file
+    events = w.file_events(raw).withWatermark("ts", "1 minute")
+    query = E.debounce(events, "60 seconds").writeStream.format("memory").queryName(name).outputMode("complete")
+    query.option("checkpointLocation", lineage.folder(spark)).trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name).select("event_id", "file_path", "kind", "n_events")
+
+
 _ROUTED = "CASE kind WHEN 'edit' THEN 'change' WHEN 'save' THEN 'note-save' WHEN 'create' THEN 'create' WHEN 'delete' THEN 'delete' ELSE 'create' END"
 
 

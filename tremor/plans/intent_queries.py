@@ -225,6 +225,26 @@ def repo_context(w: Workspace) -> DataFrame:
     return intent.repo_context(symbols(w).filter("tbl in ('region', 'nation')"), ROOT)
 
 
+@query(
+    f"""SELECT CASE WHEN p THEN '' ELSE 'f' || k || '.ts' END AS file, 'n' || k AS name, p AS phantom,
+CASE WHEN k % 4 = 0 THEN '{X.NO_MATCH}' WHEN k % 3 > 0 THEN (k % 4) || '{X.AT_RISK[0]}' || (k % 3) || '{X.AT_RISK[1]}' WHEN k % 2 > 0 THEN '{X.ONLY_NEW}' ELSE (k % 4) || '{X.ALONE}' END AS status,
+'&lt;' || k || '&gt; &amp;&quot;' AS html FROM (SELECT p_partkey AS k, p_partkey % 5 = 0 AS p FROM part)"""
+)
+def display_texts(w: Workspace) -> DataFrame:
+    k = F.col("p_partkey").cast("string")
+    sid = F.when(F.col("p_partkey") % 5 == 0, F.concat(F.lit(X.PHANTOM + "n"), k)).otherwise(F.concat(F.lit("/ws/a#b/f"), k, F.lit(".ts#n"), k))
+    part, n = X.symbol_parts(sid), F.col("p_partkey")
+    status = X.prediction_status(n % 4, n % 3, n % 2)
+    return w.table("part").select(part["file"].alias("file"), part["name"].alias("name"), part["phantom"].alias("phantom"), status.alias("status"), X.escape_html(F.concat(F.lit("<"), k, F.lit('> &"'))).alias("html"))
+
+
+@query("SELECT 'v1' AS vendor, 'f' || min(p_size % 7 + 2) AS family, 1 AS rank FROM part WHERE p_size % 7 + 2 = 4")
+def first_model(w: Workspace) -> DataFrame:
+    models = w.table("part").select(F.lit("v1").alias("vendor"), F.concat(F.lit("f"), (F.col("p_size") % 7 + 2).cast("string")).alias("family")).distinct()
+    wanted = w.spark.createDataFrame([(0, "v1", "f99"), (1, "v1", "f4"), (2, "v1", None)], "rank int, vendor string, family string")
+    return intent.first_available(models, wanted)
+
+
 RESPONSES = [
     (1, 'Sure:\n```json\n{"changeType": "add", "symbolHints": ["a", 1, null, "b"], "fileHints": [], "affectsPublicApi": true, "summary": "s"}\n``` done', (None, "add", "a,b", "", True, "s")),
     (2, '{"changeType": "explode", "affectsPublicApi": "yes", "summary": 5}', (None, "unknown", "", "", False, "")),

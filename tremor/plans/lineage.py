@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
 
+from pyspark.sql import DataFrame, SparkSession
+
+
+def _top(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; where that is unset (one machine, tests), a folder under the warehouse."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/tremor-checkpoints"
 
-def cut(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the checkpoint folder; a lost executor costs no earlier step.
 
-    The folder is ``spark.checkpoint.dir``; where that is unset (one machine, tests), one under the warehouse is used.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
+def folder(spark: SparkSession) -> str:
+    """A new folder for a stream's state."""
+    return f"{_top(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df computed once and kept in the checkpoint folder; a lost executor costs no earlier step."""
+    context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/tremor-checkpoints")
+        context.setCheckpointDir(_top(df.sparkSession))
     return df.checkpoint(eager=True)

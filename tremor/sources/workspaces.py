@@ -86,12 +86,13 @@ class Workspace:
             at.cast("int").alias("start_pos"), (at + F.length("body")).cast("int").alias("end_pos"), (F.col("doc_id") * 1000 + F.col("line")).alias("ord"),
         )
 
-    def file_events(self) -> DataFrame:
+    def file_events(self, events: DataFrame | None = None) -> DataFrame:
+        """Events (a table, a stream, or those of the workspace) as file events."""
         kinds = {"view": "edit", "click": "save", "signup": "create", "error": "delete"}
         kind = F.lit("external")
         for event, own in kinds.items():
             kind = F.when(F.col("event_type") == event, own).otherwise(kind)
-        return self.table("events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), _text("/ws/u/", F.col("user_id"), ".ts").alias("file_path"), kind.alias("kind"), F.lit("h1").alias("handler"))
+        return (self.table("events") if events is None else events).select("event_id", F.col("ts").cast("timestamp").alias("ts"), _text("/ws/u/", F.col("user_id"), ".ts").alias("file_path"), kind.alias("kind"), F.lit("h1").alias("handler"))
 
     def links(self) -> DataFrame:
         """References found in raw pages: a row for each href."""
