@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from . import blocks as B
 
 #: Rows of a data block and of a query block.
-DATA, QUERIES, LEAF, FANOUT = 8192, 2048, 48, 96
+DATA, QUERIES, LEAF, FANOUT = 8192, 8192, 48, 96
 
 
 class Tree:
