@@ -33,11 +33,21 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/tremor-{uuid.uuid4().hex}"
 
 
+def passing(spark: SparkSession, path: str) -> None:
+    """Let the folder go when the application ends."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
 def stored(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """df written once as Parquet to the shared folder and read again: cuts lineage, survives lost executors."""
+    """df written once as Parquet to the shared folder and read again: cuts lineage, survives lost executors.
+
+    The table is there until the application ends.
+    """
     spark = df.sparkSession
     path = shared_folder(spark)
     df.write.option("compression", codec).parquet(path)
+    passing(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -221,13 +221,17 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, path: str, end: int)
 def write(docs: DataFrame, path: str, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", end: int = 0) -> DataFrame:
     """Write the shards; returns their manifest (shard, file, docs, tokens, bytes), one row for each, kept as a table.
 
-    folder: where the files go, a URI that all executors reach; a new folder under spark.checkpoint.dir by default.
+    folder: where the files go, a URI that all executors reach; by default a new folder under spark.checkpoint.dir, which
+    goes when the application ends.
     """
-    spark = docs.sparkSession
+    spark, given = docs.sparkSession, folder
     folder = folder or B.shared_folder(spark) + "-sst"
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     dealt = rows.repartitionByRange(B.shards(spark, 1), "id").sortWithinPartitions("id", "text")
-    return B.stored(dealt.mapInArrow(lambda it: _write(it, folder, path, end), "shard int, file string, docs long, tokens long, bytes long"))
+    manifest = B.stored(dealt.mapInArrow(lambda it: _write(it, folder, path, end), "shard int, file string, docs long, tokens long, bytes long"))
+    if not given:
+        B.passing(spark, folder)
+    return manifest
 
 
 def listed(key: list, start: list[int], tokens: list[np.ndarray]) -> list[list]:
