@@ -36,6 +36,12 @@ def _levels(start: DataFrame, keys: list[str], step, most: int) -> DataFrame:
     raise RuntimeError(f"impact has not settled after {most} levels")
 
 
+def _by_target(edges: DataFrame, *columns) -> DataFrame:
+    """Distinct edges, dealt by dst and kept: each level joins with them in place and shuffles only its frontier."""
+    n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut(edges.select("src", "dst", *columns).repartition(n, "dst").distinct())
+
+
 def _with_run(roots: DataFrame) -> DataFrame:
     return roots if "run" in roots.columns else roots.withColumn("run", F.lit(0))
 
@@ -51,7 +57,7 @@ def propagate(edges: DataFrame, roots: DataFrame, most: int = MOST) -> DataFrame
     roots reach keeps its depth even if a shallow root depends on it directly.
     """
     roots = cut(_with_run(roots).select("run", "symbol_id", "mode").distinct())
-    edges = edges.select("src", "dst").distinct()
+    edges = _by_target(edges)
     deep = roots.filter("mode = 'deep'").select("run", F.col("symbol_id").alias("node"), F.lit(0).alias("depth"))
 
     def step(frontier: DataFrame) -> DataFrame:
@@ -69,7 +75,7 @@ def propagate(edges: DataFrame, roots: DataFrame, most: int = MOST) -> DataFrame
 def reach_by_root(edges: DataFrame, roots: DataFrame, most: int = MOST) -> DataFrame:
     """Which roots reach a symbol: run, symbol_id, root_id, depth; what ``explain`` gives, without the paths."""
     roots = cut(_with_run(roots).groupBy("run", "symbol_id").agg(F.min("ord").alias("ord"), F.max(F.col("mode") == "deep").alias("is_deep")))
-    edges = edges.select("src", "dst").distinct()
+    edges = _by_target(edges)
     start = roots.filter("is_deep").select("run", F.col("symbol_id").alias("root_id"), F.col("symbol_id").alias("node"), F.lit(0).alias("depth"))
 
     def step(frontier: DataFrame) -> DataFrame:
@@ -98,7 +104,7 @@ def explain(edges: DataFrame, roots: DataFrame, most: int = MOST) -> DataFrame:
     """
     roots = cut(_with_run(roots).groupBy("run", "symbol_id").agg(F.min("ord").alias("ord"), F.max(F.col("mode") == "deep").alias("is_deep")))
     place = F.struct(F.col("ord")) if "ord" in edges.columns else F.struct("src", "dst")
-    edges = edges.select("src", "dst", place.alias("place")).distinct()
+    edges = _by_target(edges, place.alias("place"))
     start = roots.filter("is_deep").select("run", F.col("symbol_id").alias("root_id"), F.col("ord").alias("root_ord"), F.col("symbol_id").alias("node"), F.array("symbol_id").alias("path"))
     start = start.withColumn("places", F.array().cast(f"array<{edges.schema['place'].dataType.simpleString()}>"))
 
