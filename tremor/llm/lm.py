@@ -30,7 +30,7 @@ from .bpe import _arrow
 from .trie import Trie
 
 MU = 500.0
-BLOCK, SLAB = 16 << 20, 2 << 20
+BLOCK, SLAB = 12 << 20, 1 << 20
 START, END, OWN = 0, 1, 2  # global numbers of the marks, and the first of a word
 #: p(w) travels with a pair as log10 in steps of 1 / GRAIN.
 GRAIN = 4096.0
@@ -168,9 +168,11 @@ def _pairs(shards: int, n: int, v: int, docs: int, mu: float):
         rows = [(-1 - int(block % shards), block, np.uint32(d).tobytes() + B.press(facts) + get("head"))]
         shard = (H.mix(context.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + word.astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
         train = ~held[doc]
-        order = np.lexsort((doc, word, context, shard))
-        edge = np.searchsorted(shard[order], np.arange(shards + 1))
         code = np.rint(-np.log10((known + 0.1) / total) * GRAIN).astype(np.uint32)
+        room, doc = room.astype(np.uint32), doc.astype(np.uint32)
+        del known, body, local
+        order = np.lexsort((word, context, shard.astype(np.int32))).astype(np.int32)  # stable: documents stay in order
+        edge = np.searchsorted(shard[order], np.arange(shards + 1))
         for s, (x, y) in enumerate(zip(edge.tolist(), edge[1:].tolist())):
             o = order[x:y]
             if not len(o):
@@ -258,7 +260,7 @@ def _joined(tokens: int, arrow: pa.Schema):
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mu: float = MU) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document; held-out ones aren't learned."""
     spark = docs.sparkSession
-    shards = B.shards(spark, 1)
+    shards, pair_shards = B.shards(spark, 1), B.shards(spark, 2)
     kind = docs.schema[id_col].dataType
     rows = docs.select(F.col(id_col).alias("id"), held_out(id_col).alias("held"), F.col(text_col).cast("string").alias("text"))
     blocks = B.stored(rows.mapInArrow(lambda it: _count(it, shards), COUNTED), "none")
@@ -267,7 +269,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sums = vocab.groupBy("shard").agg(F.first("types").alias("v"), F.first("tokens").alias("n")).agg(F.sum("v"), F.sum("n")).first()
     n_docs = rows.filter("not held").count()
     v, n = int(sums[0] or 0) + (n_docs > 0), int(sums[1] or 0) + n_docs
-    pairs = blocks.select("block", "head", "size", "body", "seen").groupBy("block").cogroup(vocab.select("block", "shard", "body").groupBy("block")).applyInArrow(_pairs(shards, n, v, n_docs, mu), WIRE)
+    pairs = blocks.select("block", "head", "size", "body", "seen").groupBy("block").cogroup(vocab.select("block", "shard", "body").groupBy("block")).applyInArrow(_pairs(pair_shards, n, v, n_docs, mu), WIRE)
     sums = pairs.groupBy("shard").applyInArrow(_score_shard(mu), WIRE)
     fields = [T.StructField(id_col, kind), T.StructField("held_out", T.BooleanType()), *(T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known", "train_tokens")), *(T.StructField(c, T.DoubleType()) for c in ("base_score", "score"))]
     schema = T.StructType(fields)
