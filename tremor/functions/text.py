@@ -130,12 +130,16 @@ def symbol_hint_score(hint: Column, name: Column, hint_tokens: Column | None = N
     return F.when(h == n, F.lit(1.0)).when(n.contains(h) | h.contains(n), inside).when(shared >= 0.25, shared * 0.9)
 
 
-def file_hint_score(hint: Column, path: Column, root: str) -> Column:
-    """1 for the file's relative path, 0.6 for a part of it, else half the token overlap; or null."""
-    rel = F.lower(F.replace(normal_path(path), F.lit(root.rstrip("/") + "/"), F.lit("")))
+def file_key(path: Column, root: str) -> Column:
+    """What file hints are held against: the lower-case path below root."""
+    return F.lower(F.replace(normal_path(path), F.lit(root.rstrip("/") + "/"), F.lit("")))
+
+
+def file_hint_score(hint: Column, key: Column, hint_tokens: Column | None = None, key_tokens: Column | None = None) -> Column:
+    """1 for the file's key, 0.6 for a part of it, else half the token overlap; or null. Tokens: of the lower-case texts."""
     h = F.lower(normal_path(hint))
-    shared = overlap(h, rel)
-    return F.when(rel == h, F.lit(1.0)).when(rel.contains(h), F.lit(0.6)).when(shared >= 0.2, shared * 0.5)
+    shared = token_overlap(h, key, tokenise(h) if hint_tokens is None else hint_tokens, tokenise(key) if key_tokens is None else key_tokens)
+    return F.when(key == h, F.lit(1.0)).when(key.contains(h), F.lit(0.6)).when(shared >= 0.2, shared * 0.5)
 
 
 def confidence(score: Column) -> Column:
@@ -160,9 +164,9 @@ def keywords(prompt: Column) -> Column:
     return F.array_except(F.array_distinct(words), F.array(*map(F.lit, STOPWORDS)))
 
 
-def keyword_score(words: Column, name: Column) -> Column:
+def keyword_score(words: Column, name: Column, name_tokens: Column | None = None) -> Column:
     """Mean over the words of 1 (a token), 0.7 (a prefix either way), 0.4 (inside the name); null if all are 0."""
-    tokens, low = tokenise(name), F.lower(name)
+    tokens, low = tokenise(name) if name_tokens is None else name_tokens, F.lower(name)
 
     def points(w: Column) -> Column:
         near = F.exists(tokens, lambda t: t.startswith(w) | w.startswith(t))

@@ -31,17 +31,18 @@ def _improving(hints: Column, score) -> Column:
     return F.aggregate(hints, start, step)
 
 
-def _with_tokens(hints: Column) -> Column:
-    return F.transform(F.coalesce(hints, F.array().cast("array<string>")), lambda h: F.struct(h.alias("hint"), X.tokenise(h).alias("tokens")))
+def _with_tokens(hints: Column, text=lambda h: h) -> Column:
+    return F.transform(F.coalesce(hints, F.array().cast("array<string>")), lambda h: F.struct(h.alias("hint"), X.tokenise(text(h)).alias("tokens")))
 
 
 def hint_candidates(intents: DataFrame, symbols: DataFrame, root: str) -> DataFrame:
     """Symbols that hints point to: intent_id, id, name, file_path, ord, score (0.45 and above), matched_hints."""
-    asked = intents.select("intent_id", _with_tokens(F.col("symbol_hints")).alias("sh"), _with_tokens(F.col("file_hints")).alias("fh")).filter("size(sh) + size(fh) > 0")
-    own = symbols.select("id", "name", "file_path", "is_exported", "ord", X.tokenise(F.col("name")).alias("tokens"))
+    asked = intents.select("intent_id", _with_tokens(F.col("symbol_hints")).alias("sh"), _with_tokens(F.col("file_hints"), lambda h: F.lower(X.normal_path(h))).alias("fh")).filter("size(sh) + size(fh) > 0")
+    key = X.file_key(F.col("file_path"), root)
+    own = symbols.select("id", "name", "file_path", "is_exported", "ord", X.tokenise(F.col("name")).alias("tokens"), key.alias("key"), X.tokenise(key).alias("key_tokens"))
     pairs = _paired(own, asked)
     by_name = _improving(F.col("sh"), lambda h: X.symbol_hint_score(h["hint"], F.col("name"), h["tokens"], F.col("tokens")))
-    by_file = _improving(F.col("fh"), lambda h: X.file_hint_score(h["hint"], F.col("file_path"), root))
+    by_file = _improving(F.col("fh"), lambda h: X.file_hint_score(h["hint"], F.col("key"), h["tokens"], F.col("key_tokens")))
     s, f = F.col("s.best"), F.col("f.best")
     plain = F.when((F.size("sh") > 0) & (F.size("fh") > 0), F.lit(0.7) * s + F.lit(0.3) * f).when(F.size("sh") > 0, s).otherwise(F.lit(0.4) * f)
     score = F.when(F.col("is_exported"), F.least(F.lit(1.0), plain + 0.05)).otherwise(plain)
@@ -52,8 +53,9 @@ def hint_candidates(intents: DataFrame, symbols: DataFrame, root: str) -> DataFr
 def keyword_candidates(intents: DataFrame, symbols: DataFrame, least: float = 0.0) -> DataFrame:
     """Symbols that words of the prompt point to, like hint_candidates."""
     asked = intents.select("intent_id", X.keywords(F.col("prompt")).alias("words")).filter("size(words) > 0")
-    pairs = _paired(symbols.select("id", "name", "file_path", "is_exported", "ord"), asked)
-    plain = X.keyword_score(F.col("words"), F.col("name"))
+    own = symbols.select("id", "name", "file_path", "is_exported", "ord", X.tokenise(F.col("name")).alias("tokens"))
+    pairs = _paired(own, asked)
+    plain = X.keyword_score(F.col("words"), F.col("name"), F.col("tokens"))
     scored = pairs.withColumn("plain", plain).filter("plain is not null")
     score = F.least(F.lit(1.0), F.when(F.col("is_exported"), F.col("plain") + 0.05).otherwise(F.col("plain")))
     return scored.withColumn("score", score).filter(F.col("score") >= least).select("intent_id", "id", "name", "file_path", "ord", "score", F.col("words").alias("matched_hints"))
@@ -66,7 +68,7 @@ def _top(candidates: DataFrame, k: int) -> DataFrame:
 
 def resolve(intents: DataFrame, symbols: DataFrame, root: str) -> DataFrame:
     """Ranked symbols of each intent: hints' best 20, or the keywords' best 10 where no hint matches anything."""
-    hinted = _top(hint_candidates(intents, symbols, root), HINTS).withColumn("source", F.lit("hints"))
+    hinted = cut(_top(hint_candidates(intents, symbols, root), HINTS)).withColumn("source", F.lit("hints"))  # asked for twice
     words = _top(keyword_candidates(intents, symbols, 0.25), KEYWORDS).withColumn("source", F.lit("keywords"))
     words = words.join(hinted.select("intent_id").distinct(), "intent_id", "left_anti")
     both = hinted.unionByName(words)

@@ -107,7 +107,7 @@ def _list(xs: list[str]) -> str:
     return "CAST([" + ", ".join(f"'{x}'" for x in xs) + "] AS VARCHAR[])"
 
 
-_INTENTS_SQL = "intents AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{p}', '{c}', {_list(s)}, {_list(f)}, {a})" for i, p, c, s, f, a in INTENTS) + ") t(intent_id, prompt, change_type, sh, fh, api))"
+_INTENTS_SQL = "intents AS (SELECT * FROM (VALUES " + ", ".join(f"(CAST({i} AS BIGINT), '{p}', '{c}', {_list(s)}, {_list(f)}, {a})" for i, p, c, s, f, a in INTENTS) + ") t(intent_id, prompt, change_type, sh, fh, api))"
 _WHERE = "sy AS (SELECT *, CASE tbl WHEN 'region' THEN 0 WHEN 'nation' THEN 1000 ELSE 10000 END + k AS ord FROM star_symbols WHERE tbl IN ('region', 'nation', 'customer'))"
 
 
