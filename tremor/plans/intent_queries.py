@@ -79,7 +79,7 @@ def prompt_keywords(w: Workspace) -> DataFrame:
     return user.select("conv_id", "turn", F.array_join(X.keywords(F.col("text")), " ").alias("words"))
 
 
-# Intents over the star-shaped graph.
+# Intents over the star-shaped graph. The SQL pairs hints and words with part of the symbols: the bounded workspace of the tests.
 
 INTENTS = [
     (1, "Add rate limiting to Nation3", "modify", ["Nation3", "nation"], [], True),
@@ -98,9 +98,7 @@ def intents(w: Workspace) -> DataFrame:
 
 
 def symbols(w: Workspace) -> DataFrame:
-    """Interfaces, classes and functions of the star, placed by table and key."""
-    s = w.star_symbols().filter("tbl in ('region', 'nation', 'customer')")
-    return s.withColumn("ord", F.when(F.col("tbl") == "region", 0).when(F.col("tbl") == "nation", 1000).otherwise(10000) + F.col("k"))
+    return w.placed_symbols()
 
 
 def _list(xs: list[str]) -> str:
@@ -143,18 +141,18 @@ def _sql(body: str, recursive: bool = False) -> str:
     return oracle(_RESOLVE + body, "star_edges", recursive=recursive)
 
 
-@query(_sql("SELECT intent_id, CAST(rank AS INTEGER) AS rank, symbol_id, name, file_path, confidence, CAST(round(score * 1000000) AS BIGINT) AS score, source FROM rc"))
+@query(bounded=_sql("SELECT intent_id, CAST(rank AS INTEGER) AS rank, symbol_id, name, file_path, confidence, CAST(round(score * 1000000) AS BIGINT) AS score, source FROM rc"))
 def resolve_topk(w: Workspace) -> DataFrame:
     return intent.resolve(intents(w), symbols(w), ROOT).withColumn("score", F.round(F.col("score") * 1000000).cast("long")).drop("matched_hints")
 
 
-@query(_sql("SELECT intent_id, id, CAST(round(score * 1000000) AS BIGINT) AS score FROM kc"))
+@query(bounded=_sql("SELECT intent_id, id, CAST(round(score * 1000000) AS BIGINT) AS score FROM kc"))
 def keyword_scores(w: Workspace) -> DataFrame:
     return intent.keyword_candidates(intents(w), symbols(w)).select("intent_id", "id", F.round(F.col("score") * 1000000).cast("long").alias("score"))
 
 
 @query(
-    _sql(
+    bounded=_sql(
         """SELECT i.intent_id, CAST(round(coalesce(k.best, 0) * 1000000) AS BIGINT) AS best_keyword, (i.intent_id IN (SELECT intent_id FROM hc) OR coalesce(k.best, 0) >= 0.30::DOUBLE) AS is_relevant
 FROM intents i LEFT JOIN (SELECT intent_id, max(score) AS best FROM kc GROUP BY intent_id) k USING (intent_id)"""
     )
@@ -171,7 +169,7 @@ def virtual_roots(w: Workspace) -> DataFrame:
 
 
 @query(
-    _sql(
+    bounded=_sql(
         """, hn AS (SELECT intent_id, unnest(sh) AS hint FROM intents WHERE change_type = 'add')
 SELECT DISTINCT intent_id, '__phantom__#' || hint AS symbol_id FROM hn WHERE NOT EXISTS (SELECT 1 FROM resolved r WHERE r.intent_id = hn.intent_id AND lower(r.name) = lower(hint))"""
     )
@@ -201,18 +199,18 @@ def _predicted(w: Workspace) -> DataFrame:
     return intent.predict(intents(w), resolved, w.star_edges())
 
 
-@query(_sql(_PREDICT + "SELECT intent_id, symbol_id, depth, role, confidence FROM kept", recursive=True))
+@query(bounded=_sql(_PREDICT + "SELECT intent_id, symbol_id, depth, role, confidence FROM kept", recursive=True))
 def predict_confidence(w: Workspace) -> DataFrame:
     return _predicted(w)
 
 
-@query(_sql(_PREDICT + "SELECT intent_id, confidence, count(*) AS n FROM kept GROUP BY ALL", recursive=True))
+@query(bounded=_sql(_PREDICT + "SELECT intent_id, confidence, count(*) AS n FROM kept GROUP BY ALL", recursive=True))
 def confidence_histogram(w: Workspace) -> DataFrame:
     return _predicted(w).groupBy("intent_id", "confidence").agg(F.count("*").alias("n"))
 
 
 @query(
-    oracle(
+    bounded=oracle(
         """, rel AS (SELECT *, substr(file_path, 5) AS f FROM star_symbols WHERE tbl IN ('region', 'nation')),
 fs AS (SELECT f, min(CASE tbl WHEN 'region' THEN 0 ELSE 1000 END + k) AS ord FROM rel GROUP BY f)
 SELECT '## Repository context' || chr(10) || chr(10) || 'Source files (' || (SELECT count(*) FROM fs) || '):' || chr(10) || (SELECT string_agg('  ' || f, chr(10) ORDER BY ord) FROM fs) || chr(10) || chr(10)
@@ -222,7 +220,7 @@ SELECT '## Repository context' || chr(10) || chr(10) || 'Source files (' || (SEL
     )
 )
 def repo_context(w: Workspace) -> DataFrame:
-    return intent.repo_context(symbols(w).filter("tbl in ('region', 'nation')"), ROOT)
+    return intent.repo_context(symbols(w), ROOT)
 
 
 @query(

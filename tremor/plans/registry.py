@@ -10,15 +10,22 @@ from tremor.sources.workspaces import Workspace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: Queries without an oracle for whole tables: the function, and SQL for part of them. Tests compare the two there.
+BOUNDED: dict[str, tuple[Callable[[Workspace], DataFrame], str]] = {}
 
 
-def query(sql: str | None = None):
-    """Register a function of a workspace under its name, with the SQL that gives the same rows in DuckDB."""
+def query(sql: str | None = None, bounded: str | None = None):
+    """Register a function of a workspace under its name, with the SQL that gives the same rows in DuckDB.
+
+    bounded is SQL that covers part of the tables only.
+    """
 
     def add(f: Callable[[Workspace], DataFrame]):
         QUERIES[f.__name__] = lambda spark, sf_dir: f(Workspace(spark, sf_dir))
         if sql:
             ORACLES[f.__name__] = sql
+        if bounded:
+            BOUNDED[f.__name__] = (f, bounded)
         return f
 
     return add

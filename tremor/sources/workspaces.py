@@ -52,6 +52,13 @@ class Workspace:
             "is_exported", short_hash(_text(c("name"), "|", c("kind"))).alias("signature_hash"), "tbl", "k", "ptbl", "pk",
         )
 
+    def placed_symbols(self) -> DataFrame:
+        """All symbols of the star, placed by table and key (ord)."""
+        base = F.lit(0)
+        for tbl, first in {"nation": 1000, "customer": 10_000, "supplier": 10**12, "orders": 2 * 10**12}.items():
+            base = F.when(F.col("tbl") == tbl, first).otherwise(base)
+        return self.star_symbols().withColumn("ord", base + F.col("k"))
+
     def star_edges(self) -> DataFrame:
         s = self.star_symbols()
         child = s.filter("ptbl is not null").select(F.col("id").alias("src"), "ptbl", "pk")
