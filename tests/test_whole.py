@@ -5,8 +5,9 @@ import re
 import pytest
 
 from test_oracles import SF, duck, rows  # noqa: F401  duck is a fixture
+from test_traversal import model
 from tremor.functions import text as X
-from tremor.plans import intent_queries as I, registry
+from tremor.plans import graph_queries as G, intent_queries as I, registry
 from tremor.sources.workspaces import Workspace
 
 
@@ -15,6 +16,9 @@ class Bounded(Workspace):
 
     tables = ("region", "nation", "customer")
 
+    def cyc_edges(self, most=2):
+        return super().cyc_edges(most)
+
     def placed_symbols(self):
         return super().placed_symbols().filter(f"tbl in {self.tables}")
 
@@ -110,3 +114,33 @@ def test_repo_context_counts_all_symbols(spark):
     head, *listed = shown[2].split("\n")
     assert len(listed) == 400 and head == f"Indexed symbols (400 ({len(symbols) - 400} more not shown), exported first):"
     assert all(", exported]" in x for x in listed) and sum(x.is_exported for x in symbols) >= 400
+
+
+@pytest.fixture(scope="module")
+def cycles(duck):  # noqa: F811
+    """Edges of all line items, in the order of their places."""
+    lines = duck.sql("SELECT l_partkey, l_suppkey, l_returnflag FROM lineitem WHERE l_returnflag IN ('A', 'R')").fetchall()
+    pairs = {(f"part#{p}", f"supplier#{s}") if flag == "A" else (f"supplier#{s}", f"part#{p}") for p, s, flag in lines}
+    return sorted(pairs, key=">".join)
+
+
+def test_cyclic_graph_has_all_line_items(spark, duck, cycles):  # noqa: F811
+    kept = duck.sql("SELECT count(*) FROM lineitem WHERE l_returnflag IN ('A', 'R') AND l_quantity <= 2").fetchall()[0][0]
+    assert len(cycles) > 10 * kept and {tuple(r) for r in Workspace(spark, SF).cyc_edges().collect()} == set(cycles)
+    neighbours = {}
+    for src, dst in cycles:
+        neighbours.setdefault(dst, []).append(src)
+    assert {r.dst: r.neighbours for r in registry.QUERIES["adjacency"](spark, SF).collect()} == {k: ",".join(sorted(v)) for k, v in neighbours.items()}
+
+
+def test_impact_over_all_line_items(spark, cycles):
+    run = lambda name: registry.QUERIES[name](spark, SF).collect()
+    depths = lambda name: {r.symbol_id: (r.depth, r.role) for r in run(name)}
+    with_role = lambda d: {k: (n, "direct" if n == 1 else "indirect") for k, n in d.items()}
+    assert depths("impact_cyclic") == with_role(model(cycles, [("supplier#0", "deep")])[0])
+    depth, paths = model(cycles, [(s, m) for s, m, _ in G.MIXED])
+    assert depths("impact_mixed") == with_role(depth)
+    assert sorted((r.symbol_id, r.root_id, r.path, r.depth) for r in run("impact_paths")) == sorted((n, p[0], ">".join(p), len(p) - 1) for n, ps in paths.items() for p in ps)
+    gone = {"supplier#0", "supplier#3"}
+    left = [(s, d) for s, d in cycles if s not in gone]  # edges to what is gone are those of before
+    assert depths("in_editor") == with_role(model(left + [e for e in cycles if e[0] in gone and e[1] in gone], [(g, "deep") for g in sorted(gone)])[0])

@@ -32,16 +32,18 @@ def impact_star_depth(w: Workspace) -> DataFrame:
     return traversal.propagate(w.star_edges(), roots_of(w, (REGION1, "deep", "deleted"))).drop("run")
 
 
-@query(oracle(reach_sql("cyc_edges", "supplier#0") + IMPACT_SQL, "cyc_edges", recursive=True))
+@query(bounded=oracle(reach_sql("cyc_edges", "supplier#0") + IMPACT_SQL, "cyc_edges", recursive=True))
 def impact_cyclic(w: Workspace) -> DataFrame:
     return traversal.propagate(w.cyc_edges(), roots_of(w, ("supplier#0", "deep", "deleted"))).drop("run")
 
 
+# The SQL over cyc_edges has line items of at most two pieces: the bounded workspace of the tests.
+
 MIXED = [("supplier#0", "deep", "deleted"), ("part#3", "deep", "renamed"), ("supplier#7", "shallow", "body-change"), ("part#11", "shallow", "body-change")]
 
 
 @query(
-    oracle(
+    bounded=oracle(
         """, r AS (SELECT * FROM (VALUES ('supplier#0', 'deep'), ('part#3', 'deep'), ('supplier#7', 'shallow'), ('part#11', 'shallow')) t(id, mode)),
 b AS (SELECT id, 0 AS depth FROM r WHERE mode = 'deep' UNION SELECT e.src, b.depth + 1 FROM b JOIN cyc_edges e ON e.dst = b.id WHERE b.depth < 60),
 reach AS (SELECT id, min(depth) AS depth FROM b GROUP BY id),
@@ -77,7 +79,7 @@ SELECT id AS symbol_id, root_id, array_to_string(path, '>') AS path, CAST(len(pa
     return ",".join(parts) + "," + tail
 
 
-@query(oracle(_paths_sql(24), "cyc_edges", recursive=True))
+@query(bounded=oracle(_paths_sql(24), "cyc_edges", recursive=True))
 def impact_paths(w: Workspace) -> DataFrame:
     edges = w.cyc_edges().withColumn("ord", F.concat("src", F.lit(">"), "dst"))
     found = traversal.explain(edges, roots_of(w, *MIXED))
@@ -123,7 +125,7 @@ def graph_stats(w: Workspace) -> DataFrame:
     return index.graph_stats(w.star_edges())
 
 
-@query(oracle(" SELECT dst, string_agg(src, ',' ORDER BY src) AS neighbours FROM (SELECT DISTINCT * FROM cyc_edges) GROUP BY dst", "cyc_edges"))
+@query(bounded=oracle(" SELECT dst, string_agg(src, ',' ORDER BY src) AS neighbours FROM (SELECT DISTINCT * FROM cyc_edges) GROUP BY dst", "cyc_edges"))
 def adjacency(w: Workspace) -> DataFrame:
     return index.adjacency(w.cyc_edges(), "dst", "src").select("dst", F.array_join("neighbours", ",").alias("neighbours"))
 
@@ -203,7 +205,7 @@ def root_dedup(w: Workspace) -> DataFrame:
 
 
 @query(
-    oracle(
+    bounded=oracle(
         """, g AS (SELECT unnest(['supplier#0', 'supplier#3']) AS id),
 before AS (SELECT DISTINCT dst AS id, src FROM cyc_edges WHERE dst IN (SELECT id FROM g)),
 now AS (SELECT * FROM cyc_edges WHERE dst NOT IN (SELECT id FROM g) AND src NOT IN (SELECT id FROM g)),

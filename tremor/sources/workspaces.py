@@ -65,8 +65,11 @@ class Workspace:
         parent = s.select(F.col("id").alias("dst"), F.col("tbl").alias("ptbl"), F.col("k").alias("pk"))
         return child.join(parent, ["ptbl", "pk"]).select("src", "dst")
 
-    def cyc_edges(self, most: float = 2) -> DataFrame:
-        line = self.table("lineitem").filter(F.col("l_quantity") <= most)
+    def cyc_edges(self, most: float | None = None) -> DataFrame:
+        """Parts and suppliers of all line items, or of those of at most so many pieces."""
+        line = self.table("lineitem")
+        if most is not None:
+            line = line.filter(F.col("l_quantity") <= most)
         part, supplier = _text("part#", F.col("l_partkey")), _text("supplier#", F.col("l_suppkey"))
         uses = line.filter("l_returnflag = 'A'").select(part.alias("src"), supplier.alias("dst"))
         gives = line.filter("l_returnflag = 'R'").select(supplier.alias("src"), part.alias("dst"))
