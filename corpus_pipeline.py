@@ -16,6 +16,8 @@ from tremor.llm.tokens import vocabulary
 
 #: A document stays in the corpus from this probability of being good on.
 LEAST = 0.7
+#: A passage goes if it has over so many words, however short they are, or so many bytes.
+WORDS, BYTES = 50, suffix.LENGTH
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,9 +41,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages of 400 bytes that stand elsewhere too; n_chars follows the text."""
+    """Texts without passages of over 50 words or of 400 bytes that stand elsewhere too; n_chars follows the text.
+
+    Over WORDS words have 2 * WORDS + 1 bytes at least, so repeats are looked for from that length on; runs of repeated
+    bytes with neither the words nor the bytes stay.
+    """
     rest = tuple(c for c in docs.columns if c != "text")
-    cut = suffix.remove_repeats(docs, keep=rest).drop("spans")
+    cut = suffix.remove_repeats(docs, keep=rest, finish=suffix.long_runs(BYTES, WORDS), length=2 * WORDS + 1).drop("spans")
     if "n_chars" in rest:
         cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return cut.select(*docs.columns)

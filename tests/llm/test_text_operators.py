@@ -128,6 +128,23 @@ def test_removed_spans_and_texts(spark, odd):
     assert suffix.remove_repeats(odd.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("size", [40, 101, 250])
+def test_suffix_dedup_of_other_lengths(spark, docs, size):
+    rows = docs.collect()
+    got = [tuple(r) for r in suffix.remove_repeats(docs, **DIGEST, length=size).collect()]
+    assert sorted(got, key=key) == sorted(((r.doc_id, *x) for r, x in zip(rows, brute_suffix([r.text for r in rows], size))), key=key)
+
+
+def test_pipeline_cuts_passages_of_over_fifty_short_words(spark):
+    words = lambda a, n: " ".join(f"{chr(97 + (a + i) % 26)}{chr(97 + i // 26)}{i % 10}" for i in range(n))
+    long, short, wide, tiny = words(0, 59), words(5, 40), "y" * 450, " ".join(chr(97 + i * i % 26) for i in range(51))
+    own = "ABCDEFGH"
+    rows = [(k, f"{own[k]} {p} {own[k]}") for k, p in enumerate([long, long, short, short, wide, wide, tiny, tiny])]
+    got = {r.doc_id: r.text for r in corpus_pipeline.passages(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()}
+    assert all(len(long) < 400 and got[k] == 2 * own[k] for k in (0, 1, 4, 5, 6, 7))
+    assert all(got[k] == rows[k][1] for k in (2, 3))
+
+
 def test_multikey_sort_and_prefixes():
     r = np.random.default_rng(1)
     strings = [bytes(r.integers(97, 99, r.integers(0, 40)).astype(np.uint8)) for _ in range(400)]

@@ -1,9 +1,10 @@
 """Removal of repeated passages with a sparse suffix array in range-partitioned buckets.
 
-A byte goes if some string of LENGTH bytes over it also starts anywhere else in the corpus.  Sorting the suffix of every
-byte is not needed: every string of LENGTH bytes (a window) names one place inside itself by its own bytes alone, the
+A byte goes if some string of length bytes (LENGTH, if nothing else is asked for) over it also starts anywhere else in the
+corpus.  Sorting the suffix of every
+byte is not needed: every string of length bytes (a window) names one place inside itself by its own bytes alone, the
 leftmost smallest hash of GRAM bytes, so equal windows name the same place of equal text.  Neighbouring windows mostly
-name the same place; a run of them is a *region*, about one for every 190 bytes, and only suffixes that start at a
+name the same place; a run of them is a *region*, about one for every 190 bytes at 400, and only suffixes that start at a
 region's place are sorted.
 
 1. Blocks list their regions.  For each distinct gram of a place a block sends one entry to the gram's shard; the shard
@@ -18,7 +19,7 @@ region's place are sorted.
 4. Blocks take the answers, mark the windows and cut the bytes.
 
 Equality of grams' regions and of windows is by 64-bit hashes besides the 64-bit hash of the gram (128 bits together).
-Matches never cross documents.  A null text is empty; texts under LENGTH bytes are never cut; a document that repeats
+Matches never cross documents.  A null text is empty; texts under length bytes are never cut; a document that repeats
 another one goes as a whole; null or repeated ids are rows like any other; an empty table gives no rows.  A task holds a
 block (or one longer text) or a bucket.  A passage in any part of all documents is one entry of a block for each gram.
 """
@@ -44,19 +45,19 @@ WIRE = "shard int, block long, body binary"
 SUFFIX = "block long, region int, twice boolean, before binary, lead binary, suffix binary, starts int, salt int"
 
 
-def regions(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def regions(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First and last window start and place of each region of all texts."""
     out = []
     for lo, hi in B.cuts(offsets, SLAB):
         at, o = int(offsets[lo]), offsets[lo : hi + 1] - offsets[lo]
         part = raw[at : offsets[hi]]
         n = len(part)
-        if n < LENGTH:
+        if n < length:
             continue
         bits = np.uint64(max(20, int(n).bit_length()))
         h = H.windows(H.prefixes(part), GRAM)
         low = (h >> bits << bits) | np.arange(len(h), dtype=np.uint64)  # smallest hash, then leftmost
-        width, have = LENGTH - GRAM + 1, 1
+        width, have = length - GRAM + 1, 1
         while 2 * have <= width:
             low = np.minimum(low[: len(low) - have], low[have:])
             have *= 2
@@ -64,9 +65,9 @@ def regions(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
             low = np.minimum(low[: len(low) - (width - have)], low[width - have :])
         place = (low & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
         valid = np.zeros(len(place) + 1, np.int32)  # windows inside one text
-        full = np.flatnonzero(np.diff(o) >= LENGTH)
+        full = np.flatnonzero(np.diff(o) >= length)
         np.add.at(valid, o[:-1][full], 1)
-        np.add.at(valid, o[1:][full] - LENGTH + 1, -1)
+        np.add.at(valid, o[1:][full] - length + 1, -1)
         on = np.cumsum(valid[:-1]) > 0
         new = on.copy()
         new[1:] &= ~(on[:-1] & (place[1:] == place[:-1]))
@@ -79,16 +80,16 @@ def regions(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _kinds(raw: np.ndarray, first: np.ndarray, last: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
+def _kinds(raw: np.ndarray, first: np.ndarray, last: np.ndarray, place: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """Distinct regions: gram and bytes' hash of each (ascending by gram), one region of each, how many, and each region's kind."""
     gram, whole = np.empty(len(first), np.uint64), np.empty(len(first), np.uint64)
     step = max(1, SLAB // 128)
     for lo in range(0, len(first), step):  # prefix sums over a stretch of text at a time
         s = slice(lo, lo + step)
-        a, b = int(first[s].min()), int(last[s].max()) + LENGTH
+        a, b = int(first[s].min()), int(last[s].max()) + length
         p = H.prefixes(raw[a:b])
         gram[s] = H.spans(p, place[s] - a, place[s] - a + GRAM)
-        whole[s] = H.mix(H.spans(p, first[s] - a, last[s] - a + LENGTH) ^ H.mix(((place[s] - first[s]) << 32 | (last[s] - first[s])).astype(np.uint64)))
+        whole[s] = H.mix(H.spans(p, first[s] - a, last[s] - a + length) ^ H.mix(((place[s] - first[s]) << 32 | (last[s] - first[s])).astype(np.uint64)))
     order = np.lexsort((whole, gram))
     g, w = gram[order], whole[order]
     new = np.append(True, (g[1:] != g[:-1]) | (w[1:] != w[:-1]))[: len(g)]
@@ -98,14 +99,14 @@ def _kinds(raw: np.ndarray, first: np.ndarray, last: np.ndarray, place: np.ndarr
     return g[at], w[at], order[at], np.diff(np.append(at, len(g))), kind
 
 
-def _table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _table(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     number = B.numbered()
     for batch in batches:
         raw_all, offs_all = B.flat(batch["text"])
         for lo, hi in B.cuts(offs_all, BLOCK):
             offsets = offs_all[lo : hi + 1] - offs_all[lo]
             raw = raw_all[offs_all[lo] : offs_all[hi]]
-            first, last, place = regions(raw, offsets)
+            first, last, place = regions(raw, offsets, length)
             sink = pa.BufferOutputStream()
             head = batch.slice(lo, hi - lo).drop_columns(["text"])
             with pa.ipc.new_stream(sink, head.schema) as w:
@@ -124,11 +125,11 @@ def _by_gram(gram: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.append(True, gram[1:] != gram[:-1])[: len(gram)])
 
 
-def _grams(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
+def _grams(batches: Iterator[pa.RecordBatch], shards: int, length: int) -> Iterator[pa.RecordBatch]:
     """One entry for each distinct gram of a block: gram, hash of its regions (0: they differ), whether it is there twice."""
     for batch in batches:
         for row in batch.to_pylist():
-            gram, whole, _, many, _ = _kinds(*_opened(row))
+            gram, whole, _, many, _ = _kinds(*_opened(row), length)
             if not len(gram):
                 continue
             at = _by_gram(gram)
@@ -174,13 +175,13 @@ def _codes(gram: np.ndarray, answers: pa.Table, shards: int) -> np.ndarray:
     return np.repeat(code, np.diff(np.append(at, len(gram))))
 
 
-def _suffixes(shards: int):
+def _suffixes(shards: int, length: int):
     """cogroup: a block and its answers; the distinct regions whose grams have differing regions."""
 
     def make(key, left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.to_pylist()[0]
         raw, first, last, place = _opened(row)
-        gram, _, rep, many, _ = _kinds(raw, first, last, place)
+        gram, _, rep, many, _ = _kinds(raw, first, last, place, length)
         send = np.flatnonzero(_codes(gram, right, shards) == 2)
         text = raw.tobytes()
         a, b, p = (x[rep[send]].tolist() for x in (first, last, place))
@@ -188,7 +189,7 @@ def _suffixes(shards: int):
         return pa.table(
             [
                 pa.array(np.full(n, row["block"], np.int64)), pa.array(send.astype(np.int32)), pa.array(many[send] > 1), pa.array([text[i:k] for i, k in zip(a, p)], pa.binary()),
-                pa.array([text[k : min(k + LEAD, j + LENGTH)] for j, k in zip(b, p)], pa.binary()), pa.array([text[k : j + LENGTH] for j, k in zip(b, p)], pa.binary()),
+                pa.array([text[k : min(k + LEAD, j + length)] for j, k in zip(b, p)], pa.binary()), pa.array([text[k : j + length] for j, k in zip(b, p)], pa.binary()),
                 pa.array([j - i + 1 for i, j in zip(a, b)], pa.int32()), pa.array((H.mix(send.astype(np.uint64) + np.uint64(row["block"] * 7919 % (1 << 62))) % np.uint64(1 << 30)).astype(np.int32)),
             ],
             ["block", "region", "twice", "before", "lead", "suffix", "starts", "salt"],
@@ -235,7 +236,7 @@ def multikey(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return order, most
 
 
-def _bucket(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
+def _bucket(batches: Iterator[pa.RecordBatch], shards: int, length: int) -> Iterator[pa.RecordBatch]:
     """Sort a range's suffixes and compare their windows. Out: answers to blocks (shard -1), windows that others may have."""
     held = [b for b in batches if b.num_rows]
     if not held:
@@ -263,15 +264,15 @@ def _bucket(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.Recor
         start = np.arange(len(row)) - np.repeat(np.cumsum(n[rows]) - n[rows], n[rows])
         offset = left[row] - start  # bytes of the window before the place
         edge = (run[row] == 0) | (run[row] == run[-1])
-        # a window reaches LENGTH - offset bytes into the suffix: no neighbour shares that much, no equal window
-        may = edge | twice[order[row]] | (LENGTH - offset <= common[row])
+        # a window reaches length - offset bytes into the suffix: no neighbour shares that much, no equal window
+        may = edge | twice[order[row]] | (length - offset <= common[row])
         row, start, offset, edge = row[may], start[may], offset[may], edge[may]
         if not len(row):
             continue
         a = int(at[lo])
         s = H.prefixes(text[a : int(at[hi - 1] + size[hi - 1])])
         x = at[row] - a + start
-        h = H.mix(H.spans(s, x, x + LENGTH) ^ H.mix((offset.astype(np.uint64) << np.uint64(32)) + np.uint64(5)))
+        h = H.mix(H.spans(s, x, x + length) ^ H.mix((offset.astype(np.uint64) << np.uint64(32)) + np.uint64(5)))
         o = np.lexsort((h, run[row]))
         r, v = run[row][o], h[o]
         new = np.append(True, (r[1:] != r[:-1]) | (v[1:] != v[:-1]))
@@ -348,11 +349,11 @@ def _across(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(v, t) for v, t in zip(zip(*out, strict=True) if out else ([], [], []), (pa.int32(), pa.int64(), pa.binary()), strict=True)], ["shard", "block", "body"])
 
 
-def _cut(shards: int, finish: Callable, arrow: pa.Schema):
+def _cut(shards: int, finish: Callable, arrow: pa.Schema, length: int):
     def cut(key, left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.to_pylist()[0]
         raw, first, last, place = _opened(row)
-        gram, _, _, many, kind = _kinds(raw, first, last, place)
+        gram, _, _, many, kind = _kinds(raw, first, last, place, length)
         own = right["shard"].to_numpy()
         code = _codes(gram, right.filter(pa.array(own >= 0)), shards)
         dup = np.zeros(len(raw) + 1, np.int32)  # counts of window starts that repeat, as differences
@@ -368,9 +369,9 @@ def _cut(shards: int, finish: Callable, arrow: pa.Schema):
             count = at[region + 1] - at[region]
             which = np.repeat(at[region] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
             on[first[members[which]] + np.repeat(start, count)] = True
-        seen = np.cumsum(on, dtype=np.int32)  # a byte goes if a repeated window starts in the LENGTH places up to it
+        seen = np.cumsum(on, dtype=np.int32)  # a byte goes if a repeated window starts in the length places up to it
         gone = seen > 0
-        gone[LENGTH:] = seen[LENGTH:] > seen[:-LENGTH]
+        gone[length:] = seen[length:] > seen[:-length]
         del seen, on, dup
         offsets = np.concatenate([[0], np.cumsum(B.unplanes(row["size"], np.uint64).astype(np.int64))])
         head = pa.ipc.open_stream(B.unpress(row["head"])).read_all()
@@ -411,19 +412,41 @@ def digests(head: pa.Table, raw: np.ndarray, offsets: np.ndarray, gone: np.ndarr
     return pa.table([*head.columns, pa.array(np.diff(offsets)), pa.array(np.diff(total[offsets])), pa.array(np.bincount(own, minlength=n)), pa.array(kept, pa.string())], [*head.column_names, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", finish: Callable = texts, result: str = "text string, spans array<array<long>>") -> DataFrame:
-    """The columns of keep of every document and what finish makes of its text and of the bytes that go."""
+def long_runs(size: int, words: int, finish: Callable = texts) -> Callable:
+    """finish over those removed runs that have size bytes or more than so many words; shorter ones stay."""
+
+    def of(head: pa.Table, raw: np.ndarray, offsets: np.ndarray, gone: np.ndarray) -> pa.Table:
+        own, a, b = spans(gone, offsets)
+        a, b = a + offsets[own], b + offsets[own]
+        black = (raw != 32) & ((raw < 9) | (raw > 13))
+        new = black & np.append(True, ~black[:-1])[: len(raw)]
+        upto = np.append(0, np.cumsum(new))
+        count = upto[b] - upto[a] + (black[a] & ~new[a])
+        on = (b - a >= size) | (count > words)
+        step = np.zeros(len(raw) + 1, np.int32)
+        np.add.at(step, a[on], 1)
+        np.add.at(step, b[on], -1)
+        return finish(head, raw, offsets, np.cumsum(step[:-1]) > 0)
+
+    return of
+
+
+def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", finish: Callable = texts, result: str = "text string, spans array<array<long>>", length: int = LENGTH) -> DataFrame:
+    """The columns of keep of every document and what finish makes of its text and of the bytes that go: those in strings of
+    length bytes that repeat."""
+    if length <= GRAM:
+        raise ValueError(f"length must be over {GRAM}")
     shards = B.shards(docs.sparkSession, 1)
     kept = [F.col(c).alias(f"c{i}") for i, c in enumerate(keep)]
     rows = docs.select(F.col(text_col).cast("string").alias("text"), *kept)
-    table = B.stored(rows.mapInArrow(_table, TABLE), "none")
+    table = B.stored(rows.mapInArrow(lambda it: _table(it, length), TABLE), "none")
     own = ["block", "text", "first", "last", "place"]
-    judged = B.stored(table.select(*own).mapInArrow(lambda it: _grams(it, shards), WIRE).groupBy("shard").applyInArrow(_judge, WIRE), "none")
-    suffixes = table.select(*own).groupBy("block").cogroup(judged.groupBy("block")).applyInArrow(_suffixes(shards), SUFFIX)
+    judged = B.stored(table.select(*own).mapInArrow(lambda it: _grams(it, shards, length), WIRE).groupBy("shard").applyInArrow(_judge, WIRE), "none")
+    suffixes = table.select(*own).groupBy("block").cogroup(judged.groupBy("block")).applyInArrow(_suffixes(shards, length), SUFFIX)
     # Kept as a table: dealing by ranges reads its rows twice, once for the sample of splitters.
     suffixes = B.stored(suffixes)
     dealt = suffixes.repartitionByRange(shards, "lead", "salt").drop("lead", "salt")
-    found = dealt.mapInArrow(lambda it: _bucket(it, shards), WIRE).groupBy("shard", F.when(F.col("shard") < 0, F.col("block"))).applyInArrow(lambda t: _across(t.select(["shard", "block", "body"])), WIRE)
+    found = dealt.mapInArrow(lambda it: _bucket(it, shards, length), WIRE).groupBy("shard", F.when(F.col("shard") < 0, F.col("block"))).applyInArrow(lambda t: _across(t.select(["shard", "block", "body"])), WIRE)
     schema = T.StructType([*(docs.schema[c] for c in keep), *T.StructType.fromDDL(result)])
     arrow = pa.schema([pa.field(f.name, _arrow(f.dataType)) for f in schema])
-    return table.groupBy("block").cogroup(judged.unionByName(found).groupBy("block")).applyInArrow(_cut(shards, finish, arrow), schema)
+    return table.groupBy("block").cogroup(judged.unionByName(found).groupBy("block")).applyInArrow(_cut(shards, finish, arrow, length), schema)
