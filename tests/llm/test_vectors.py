@@ -120,6 +120,18 @@ def test_recall_at_the_threshold(n):
     assert np.mean([bool(a & b) for a, b in zip(*lists)]) >= 0.97
 
 
+@pytest.mark.parametrize("n", [1000, 29_127, 29_128, 1_000_000])
+def test_recall_on_both_sides_of_a_change_of_plan(n):
+    assert (caps.plan(29_127).words, caps.plan(29_128).words) == (1024, 2048)
+    r = np.random.default_rng(1)
+    x, y = r.standard_normal((2, 800, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= x * (x * y).sum(axis=1, keepdims=True)
+    y = 0.9 * x + np.sqrt(1 - 0.81) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    a, b = (set(zip(*map(np.ndarray.tolist, caps.decode(v, caps.plan(n))))) for v in (x, y))
+    assert len({row for row, _ in a & b}) >= 0.98 * len(x)
+
+
 @pytest.mark.parametrize("edges", [[], [(1, 2), (2, 3), (9, 8), (5, 5)], [(i, i + 1) for i in range(40)], [(0, i) for i in range(1, 60)], [(i, 99) for i in range(50)]])
 def test_components(spark, edges):
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
