@@ -97,6 +97,18 @@ def brute_suffix(texts, size=400):
 DIGEST = {"finish": suffix.digests, "result": "n_bytes long, n_removed long, n_spans long, kept_sha256 string"}
 
 
+@pytest.mark.parametrize("threshold", [0.1, 0.3, 0.5, 0.6, 0.8, 0.9, 1.0])
+def test_bands_follow_the_threshold(threshold):
+    bands, rows = jaccard.banding(threshold)
+    assert 1 - (1 - threshold**rows) ** bands >= 0.9997 and jaccard.banding(0.8) == (16, 4)
+
+
+def test_pairs_at_a_low_threshold_meet(spark):
+    pair = lambda k: [(2 * k + j, " ".join([f"a{k}x{i}" for i in range(14)] + [f"b{k}x{j}x{i}" for i in range(5)])) for j in (0, 1)]
+    df = spark.createDataFrame([row for k in range(150) for row in pair(k)], "doc_id long, text string")
+    assert {r.n_links for r in jaccard.links(df, threshold=0.5).collect()} == {1}  # ten of twenty shingles are shared
+
+
 @pytest.mark.parametrize("table", ["docs", "odd"])
 def test_suffix_dedup(spark, table, request):
     df = request.getfixturevalue(table)
