@@ -97,6 +97,17 @@ def brute_suffix(texts, size=400):
 DIGEST = {"finish": suffix.digests, "result": "n_bytes long, n_removed long, n_spans long, kept_sha256 string"}
 
 
+def test_texts_without_words_all_stay(spark):
+    bare = [(i, t) for i in (None, 4) for t in (None, "", " \n\x0b\t")] * 2 + [(6, None)]
+    rows = [(k, *r) for k, r in enumerate([*bare, (9, "a b"), (9, "a b"), (None, "\u00a0"), (None, "\u00a0")])]
+    df = spark.createDataFrame(rows, "place long, doc_id long, text string")
+    got = jaccard.deduplicate(df)
+    assert got.columns == df.columns
+    left = [tuple(r) for r in got.collect()]
+    assert sorted(r[0] for r in left if r[0] < len(bare)) == list(range(len(bare))) and all(r == rows[r[0]] for r in left)
+    assert sorted((r[1:] for r in left if r[0] >= len(bare)), key=key) == [(9, "a b"), (None, "\u00a0")]
+
+
 @pytest.mark.parametrize("threshold", [0.1, 0.3, 0.5, 0.6, 0.8, 0.9, 1.0])
 def test_bands_follow_the_threshold(threshold):
     bands, rows = jaccard.banding(threshold)

@@ -12,7 +12,8 @@ the same members as a smaller one is left out, and a key with many shingles is d
 member blocks.  So a group of copies, equal or near, may hold any part of all rows.
 
 Texts that are null, empty or without words link with nothing and are kept.  Null ids are rows like any other (they come
-last where the smallest id is asked for).  Rows that repeat id and text count as documents but only one is kept.  Other
+last where the smallest id is asked for).  Rows that repeat id and text count as documents but only one is kept, unless
+the text has no words.  Other
 columns are ignored or, in ``deduplicate``, kept.  An empty table gives no rows.
 """
 
@@ -187,7 +188,8 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, recall: float = RECALL) -> DataFrame:
     """The rows of docs, all columns, without all but one document of each group; texts without words all stay."""
+    words = F.coalesce(F.col(text_col).cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     stay = links(docs, id_col, text_col, threshold, recall).filter("kept").select(F.col(id_col).alias("_id"), F.col("hash").alias("_hash")).distinct()
-    own = docs.withColumn("_own", _text_hash(F.col(text_col).cast("string")))
+    own = docs.filter(words).withColumn("_own", _text_hash(F.col(text_col).cast("string")))
     kept = own.join(stay, own[id_col].eqNullSafe(stay["_id"]) & (own["_own"] == stay["_hash"])).drop("_id", "_hash")
-    return kept.dropDuplicates([id_col, "_own"]).select(*docs.columns)
+    return kept.dropDuplicates([id_col, "_own"]).select(*docs.columns).unionByName(docs.filter(~words))
