@@ -16,17 +16,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 BLOCK_BYTES = 4 << 20
+#: Bytes of a batch on its way to Python; Spark's own bound is a number of rows, which long texts make large.
+BATCH, BATCH_KEY = "12m", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_folder(spark: SparkSession) -> str:
     """A new folder under ``spark.checkpoint.dir``, which driver and executors share.
 
-    Where the setting is missing (tests on one machine), the warehouse folder is used and set as checkpoint folder.
+    Where the setting is missing, the warehouse folder is used and set as checkpoint folder; only a session on one
+    machine may do so, others get a ValueError.
     """
     sc = spark.sparkContext
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
         kept = sc.getCheckpointDir()
+        if not kept and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         top = kept or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/tremor-checkpoints"
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(top)
@@ -51,6 +56,12 @@ def stored(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound batches by BATCH bytes for the rest of the session; a lower bound that is set already stays."""
+    if int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(BATCH_KEY))) > int(BATCH[:-1]) << 20:
+        spark.conf.set(BATCH_KEY, BATCH)
+
+
 def shards(spark: SparkSession, times: int = 4) -> int:
     """Groups to deal rows to: a few for each shuffle partition, so that a group stays small."""
     return max(1, times * int(spark.conf.get("spark.sql.shuffle.partitions")))
