@@ -14,7 +14,8 @@ from . import blocks as B
 def _large(e: DataFrame) -> DataFrame:
     """Link every larger neighbour of a node to the smallest of the node and its neighbours."""
     both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    # Kept as a table, both sides of the join are plain exchanges, and adaptive execution can split a node with many edges.
+    least = B.stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
     return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
@@ -35,7 +36,7 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     e, before = B.stored(e), None
     for _ in range(most):
         e = B.stored(_small(_large(e).distinct()).distinct())
-        now = e.agg(F.count("*"), F.sum(F.hash("a", "b").cast("decimal(20,0)"))).first()
+        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if now == before:
             root = e.select(F.col("a").alias("node"), F.col("b").alias("root"))
             return root.union(root.select(F.col("root").alias("node"), "root").distinct())
