@@ -37,7 +37,7 @@ from .components import components
 from .hashing import mix
 
 #: Members of a filter that are compared in one task; a larger filter is cut into blocks of about this size.
-LARGE = 2048
+LARGE = 1024
 
 
 class Plan(NamedTuple):
@@ -188,6 +188,19 @@ class Runs:
         return np.flatnonzero(new)
 
 
+def meet(n: int, member: np.ndarray, column: np.ndarray, most: int = 4_000_000) -> np.ndarray:
+    """How many columns each two of n members share (float32, exact); slices of columns of at most ``most`` cells."""
+    both, width = np.zeros((n, n), np.float32), max(1, most // n)
+    order = np.argsort(column, kind="stable")
+    member, column = member[order], column[order]
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        a, b = np.searchsorted(column, [lo, lo + width])
+        has = np.zeros((n, width), np.float32)
+        has[member[a:b], column[a:b] - lo] = 1
+        both += has @ has.T
+    return both
+
+
 def _verified(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
     for table, heads in Runs(batches, ["filter", "i", "j"]):
         out: list[tuple[int, int | None, int]] = []
@@ -224,9 +237,7 @@ def _verified(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[p
                 shared = np.bincount(which) > 1 if len(which) else np.zeros(0, bool)
                 column = np.cumsum(shared) - 1
                 on = shared[which] if len(which) else np.zeros(0, bool)
-                has = np.zeros((n, int(shared.sum())), np.float32)
-                has[member[on], column[which[on]]] = 1
-                keep = (has @ has.T)[a, b] == 0
+                keep = meet(n, member[on], column[which[on]])[a, b] == 0
             a, b = a[keep], b[keep]
             w = np.bincount(a, size[lo:hi][b], n) + np.bincount(b, size[lo:hi][a], n)
             out += [(int(node[lo + k]), None, int(w[k])) for k in np.flatnonzero(w).tolist()]

@@ -8,13 +8,13 @@ compared on their full shingle sets, with integers.  A pair at similarity s meet
 
 Texts with the same words are one class first.  A pair of classes is counted under the smallest key that both have and
 nowhere else; a group of classes sends each member's number of links and a spanning forest, never its pairs.  A key with
-the same members as a smaller one is left out, and a key with many shingles is dealt to several tasks by pairs of
-member blocks.  So a group of copies, equal or near, may hold any part of all rows.
+the same members as a smaller one is left out, and a key with many shingles or members is dealt to several tasks by
+pairs of member blocks.  So a group of copies, equal or near, may hold any part of all rows.
 
 Texts that are null, empty or without words link with nothing and are kept.  Null ids are rows like any other (they come
 last where the smallest id is asked for).  Rows that repeat id and text count as documents but only one is kept, unless
-the text has no words.  Other
-columns are ignored or, in ``deduplicate``, kept.  An empty table gives no rows.
+the text has no words.  A text of any length is compared whole, by the task that has its key.  Other columns are ignored
+or, in ``deduplicate``, kept.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,14 +28,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from . import blocks as B, hashing as H
-from .caps import Runs, forest, kept_groups
+from .caps import Runs, forest, kept_groups, meet
 from .components import components
 
 WORDS = 5
 #: Minima of a text, if they do for the recall; the least share of pairs at the threshold that meet.
 MINIMA, RECALL = 64, 0.9997
-#: Shingles of a key's members that are compared in one task; more are cut into blocks of about this size.
-LARGE = 600_000
+#: Shingles of a key's members, and members, that are compared in one task; more are cut into blocks of about this size.
+LARGE, MEMBERS = 600_000, 1024
 
 
 def banding(threshold: float, recall: float = RECALL) -> tuple[int, int]:
@@ -101,20 +101,14 @@ def linked(sets: list[np.ndarray], ratio: Fraction) -> tuple[np.ndarray, np.ndar
         seen = np.bincount(which)
         column = np.cumsum(seen > 1) - 1  # a shingle of one member is in no intersection
         on = seen[which] > 1
-        row, column = row[on], column[which[on]]
-        both, width = np.zeros((n, n), np.float32), max(1, 4_000_000 // n)
-        order = np.argsort(column, kind="stable")
-        row, column = row[order], column[order]
-        for lo in range(0, int(column[-1]) + 1 if len(column) else 0, width):
-            a, b = np.searchsorted(column, [lo, lo + width])
-            has = np.zeros((n, width), np.float32)
-            has[row[a:b], column[a:b] - lo] = 1
-            both += has @ has.T
-        both = both.astype(np.int64)
-    i, j = np.nonzero(np.triu(np.ones((n, n), bool), 1))
-    inter = both[i, j]
-    near = inter * ratio.denominator >= (size[i] + size[j] - inter) * ratio.numerator
-    return i[near], j[near]
+        both = meet(n, row[on], column[which[on]])
+    found = []
+    for lo in range(0, n, 256):
+        inter = both[lo : lo + 256].astype(np.int64)
+        near = inter * ratio.denominator >= (size[lo : lo + 256, None] + size - inter) * ratio.numerator
+        i, j = np.nonzero(np.triu(near, lo + 1))
+        found.append((i + lo, j))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def _verified(batches: Iterator[pa.RecordBatch], ratio: Fraction, n_bands: int) -> Iterator[pa.RecordBatch]:
@@ -154,6 +148,7 @@ def _text_hash(text: Column) -> Column:
 def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, recall: float = RECALL) -> DataFrame:
     """A row for each input row: id, hash (of the text), class_id (smallest id with the same words), n_links (documents
     at the threshold or above, itself left out), component_id (smallest id reachable by links), kept (it is the one)."""
+    B.small_batches(docs.sparkSession)
     n_bands, n_rows = banding(threshold, recall)
     ratio = Fraction(threshold).limit_denominator(1000)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -163,10 +158,10 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
     classes = B.stored(marked.filter("node is not null").groupBy("node").agg(F.min(me).alias("rep"), F.count("*").alias("size"), F.first("shingles").alias("shingles"), F.first("bands").alias("bands")))
     light = classes.select(F.explode(F.array_distinct("bands")).alias("key"), "node", "shingles")
     groups = kept_groups(light, "key", "node", "shingles")
-    members = B.stored(light.join(groups, "key").select("key", "node", "total"))
+    members = B.stored(light.join(groups, "key").select("key", "node", "n", "total"))
     wanted = members.select("node").distinct().join(classes, "node").select("node", "rep.id", "rep.hash", "size", "bands")
     texts = rows.join(wanted, rows["id"].eqNullSafe(wanted["id"]) & (rows["hash"] == wanted["hash"])).select("node", "size", "bands", "text").dropDuplicates(["node"])
-    blocks = F.ceil(F.col("total") / F.lit(LARGE)).cast("int")
+    blocks = F.greatest(F.ceil(F.col("total") / F.lit(LARGE)), F.ceil(F.col("n") / F.lit(MEMBERS))).cast("int")
     spread = members.withColumn("own", F.pmod(F.xxhash64(F.lit(17), "node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     spread = spread.select("key", "node", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     dealt = spread.join(texts, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
