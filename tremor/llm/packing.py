@@ -5,7 +5,10 @@ through those dimensions is the document's key.  Documents are dealt by ranges o
 packs its documents one after another into sequences, so neighbours in a sequence are neighbours on the curve.  What
 is left over at a range's end is cut into sequences whose lengths are powers of two, so that nothing is padded.
 
-Equal documents have equal keys; ties are dealt by a hash of the id, so a large group of copies is split over ranges.
+Equal documents have equal keys; ties are dealt by a hash of id and text and then by the row's place in the input, so a
+large group of copies is split over ranges; inside a range the order is total but for rows that are alike in both, so a
+task that runs again cuts the same pieces.  Where ranges end follows Spark's sample, so the number of pieces may differ
+from run to run; the ids and their documents don't.
 A null text is empty and has only the end id; null or repeated ids are rows like any other; other columns are ignored;
 an empty table gives no pieces.  A text longer than a sequence is cut; a task holds a batch of texts.
 """
@@ -25,6 +28,7 @@ from .bpe import _arrow
 from .tokens import encoder
 
 DIMS, BITS, BUCKETS = 3, 10, 512
+SLICE = 1 << 20  # bytes of text that are encoded at once
 
 
 def vectors(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -79,7 +83,7 @@ def keys(raw: np.ndarray, offsets: np.ndarray, spread: float = 4.0) -> np.ndarra
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         raw, offs = B.flat(batch.column(1))
-        parts = [keys(raw[offs[a] : offs[b]], offs[a : b + 1] - offs[a]) for a, b in B.cuts(offs)]
+        parts = [keys(raw[offs[a] : offs[b]], offs[a : b + 1] - offs[a]) for a, b in B.cuts(offs, SLICE)]
         yield pa.record_batch([batch.column(0), batch.column(1), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64))], ["id", "text", "place"])
 
 
@@ -96,7 +100,7 @@ def _packed(batches: Iterator[pa.RecordBatch], path: str, length: int, end: int,
 
     for b in batches:
         _, offs = B.flat(b.column(1))
-        for lo, hi in B.cuts(offs):
+        for lo, hi in B.cuts(offs, SLICE):
             done: list[tuple] = []
             texts = [t or "" for t in b.column(1).slice(lo, hi - lo).to_pylist()]
             for i, t in zip(b.column(0).slice(lo, hi - lo).to_pylist(), enc.encode(texts), strict=True):
@@ -130,6 +134,7 @@ def pack(docs: DataFrame, path: str, length: int = 2048, end: int = 1, id_col: s
     """
     if length & (length - 1):
         raise ValueError("length must be a power of two")
+    B.small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType
     own = T.StructField("ids_crc32", T.LongType()) if digest else T.StructField("tokens", T.ArrayType(T.IntegerType()))
     longs = {n: T.StructField(n, T.LongType()) for n in ("start", "length", "doc_tokens", "sequence_id", "offset")}
@@ -137,6 +142,6 @@ def pack(docs: DataFrame, path: str, length: int = 2048, end: int = 1, id_col: s
     arrow = pa.schema([pa.field(f.name, _arrow(f.dataType)) for f in schema])
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     keyed = rows.mapInArrow(_keyed, T.StructType([T.StructField("id", kind), T.StructField("text", T.StringType()), T.StructField("place", T.LongType())]))
-    keyed = keyed.withColumn("tie", F.xxhash64("id"))
-    dealt = keyed.repartitionByRange(B.shards(docs.sparkSession, 1), "place", "tie").sortWithinPartitions("place", "tie").drop("place", "tie")
+    keyed = keyed.withColumns({"tie": F.xxhash64("id", "text"), "salt": F.monotonically_increasing_id()})
+    dealt = keyed.repartitionByRange(B.shards(docs.sparkSession, 1), "place", "tie", "salt").sortWithinPartitions("place", "tie", "id", "text").select("id", "text")
     return dealt.mapInArrow(lambda it: _packed(it, path, length, end, arrow, digest), schema)
