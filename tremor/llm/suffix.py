@@ -37,7 +37,7 @@ from . import blocks as B, hashing as H
 from .bpe import _arrow
 
 LENGTH, GRAM = 400, 32
-BLOCK, SLAB = 4 << 20, 1 << 19
+BLOCK, SLAB = (13 << 20) // 3, 1 << 19
 LEAD = 64
 
 TABLE = "block long, head binary, size binary, text binary, first binary, last binary, place binary"
@@ -222,7 +222,7 @@ def multikey(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         equal = same & (v[1:] == v[:-1])
         apart = np.flatnonzero(same & ~equal)
         x = v[apart] ^ v[apart + 1]
-        common[todo[apart]] = 8 * d + (7 - np.floor(np.log2(x.astype(np.float64))).astype(np.int64) // 8).clip(0, 7)
+        common[todo[apart]] = 8 * d + (x.astype(">u8").view(np.uint8).reshape(-1, 8) > 0).argmax(axis=1)
         common[todo[np.flatnonzero(equal)]] = 8 * d + 8
         cut = np.append(True, ~equal)
         run[todo] = todo[np.flatnonzero(cut)][np.cumsum(cut) - 1]
@@ -436,6 +436,7 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_co
     length bytes that repeat."""
     if length <= GRAM:
         raise ValueError(f"length must be over {GRAM}")
+    B.small_batches(docs.sparkSession)
     shards = B.shards(docs.sparkSession, 1)
     kept = [F.col(c).alias(f"c{i}") for i, c in enumerate(keep)]
     rows = docs.select(F.col(text_col).cast("string").alias("text"), *kept)
