@@ -14,7 +14,8 @@ third of all tokens is spread over all shards.
 
 Words are runs of bytes other than space and 0x09 to 0x0D with A-Z lower-cased; words and contexts are known by 64-bit
 hashes.  A null text is empty and has only the end token; rows without id are learned from and scored; repeated rows
-count as often as they stand; other columns are ignored; an empty table gives no rows.
+count as often as they stand; other columns are ignored; an empty table gives no rows.  A text of any length is read
+whole by the task that has its block.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from .bpe import _arrow
 from .trie import Trie
 
 MU = 500.0
-BLOCK, SLAB = 12 << 20, 1 << 20
+BLOCK, SLAB = 13 << 20, 1 << 20
 START, END, OWN = 0, 1, 2  # global numbers of the marks, and the first of a word
 #: p(w) travels with a pair as log10 in steps of 1 / GRAIN.
 GRAIN = 4096.0
@@ -124,7 +125,7 @@ def _number(table: pa.Table, shards: int) -> pa.Table:
     for w, _ in asked:
         k = back[at : at + len(w)]
         at += len(w)
-        ids, n = B.planes(number[k].astype(np.uint64)), B.planes(count[k].astype(np.uint32))
+        ids, n = B.planes(number[k].astype(np.uint64)), B.planes(count[k].astype(np.uint64))
         out.append(np.uint32(len(ids)).tobytes() + ids + n)
     types, tokens = int((count > 0).sum()), int(count.sum())
     m = len(out)
@@ -146,7 +147,7 @@ def _pairs(shards: int, n: int, v: int, docs: int, mu: float):
         for _, body in sorted(zip(right["shard"].to_pylist(), right["body"].to_pylist(), strict=True)):
             k = 4 + int.from_bytes(body[:4], "little")
             ids = B.unplanes(body[4:k], np.uint64)
-            number[at : at + len(ids)], count[at : at + len(ids)] = ids, B.unplanes(body[k:], np.uint32)
+            number[at : at + len(ids)], count[at : at + len(ids)] = ids, B.unplanes(body[k:], np.uint64)
             at += len(ids)
         assert at == len(seen)
         of_rank = np.argsort(-seen.astype(np.int64), kind="stable")
@@ -169,7 +170,7 @@ def _pairs(shards: int, n: int, v: int, docs: int, mu: float):
         shard = (H.mix(context.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + word.astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
         train = ~held[doc]
         code = np.rint(-np.log10((known + 0.1) / total) * GRAIN).astype(np.uint32)
-        room, doc = room.astype(np.uint32), doc.astype(np.uint32)
+        room, doc = room.astype(np.uint64), doc.astype(np.uint32)
         del known, body, local
         order = np.lexsort((word, context, shard.astype(np.int32))).astype(np.int32)  # stable: documents stay in order
         edge = np.searchsorted(shard[order], np.arange(shards + 1))
@@ -183,7 +184,7 @@ def _pairs(shards: int, n: int, v: int, docs: int, mu: float):
             fresh = np.append(True, np.diff(c[first]) != 0)  # a context's first pair
             times = np.add.reduceat(train[o].astype(np.int64), first)
             parts = [
-                np.diff(c[first][fresh], prepend=0).astype(np.uint64), room[o][first][fresh].astype(np.uint32), np.diff(np.append(np.flatnonzero(fresh), len(first))).astype(np.uint32),
+                np.diff(c[first][fresh], prepend=0).astype(np.uint64), room[o][first][fresh], np.diff(np.append(np.flatnonzero(fresh), len(first))).astype(np.uint32),
                 w[first].astype(np.uint64), code[o][first], times.astype(np.uint32), np.diff(np.append(first, len(o))).astype(np.uint32), doc[o].astype(np.uint32),
             ]
             packed = [B.planes(p) for p in parts]
@@ -196,7 +197,7 @@ def _pairs(shards: int, n: int, v: int, docs: int, mu: float):
 def _unpacked(body: bytes) -> list[np.ndarray]:
     sizes = np.frombuffer(body[:32], np.uint32)
     at = np.append(32, 32 + np.cumsum(sizes, dtype=np.int64)).tolist()
-    kinds = (np.uint64, np.uint32, np.uint32, np.uint64, np.uint32, np.uint32, np.uint32, np.uint32)
+    kinds = (np.uint64, np.uint64, np.uint32, np.uint64, np.uint32, np.uint32, np.uint32, np.uint32)
     delta, room, width, w, code, times, occurs, doc = (B.unplanes(body[a:b], k) for a, b, k in zip(at, at[1:], kinds, strict=False))
     c = np.repeat(np.cumsum(delta.astype(np.int64)), width)
     return [c, np.repeat(room, width).astype(np.float64), w.astype(np.int64), code / -GRAIN, times.astype(np.int64), occurs.astype(np.int64), doc]
@@ -260,6 +261,7 @@ def _joined(tokens: int, arrow: pa.Schema):
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mu: float = MU) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document; held-out ones aren't learned."""
     spark = docs.sparkSession
+    B.small_batches(spark)
     shards, pair_shards = B.shards(spark, 1), B.shards(spark, 2)
     kind = docs.schema[id_col].dataType
     rows = docs.select(F.col(id_col).alias("id"), held_out(id_col).alias("held"), F.col(text_col).cast("string").alias("text"))
