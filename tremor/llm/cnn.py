@@ -4,8 +4,8 @@ A text's bytes go through learned filters of a few bytes' width; each half-overl
 largest answer of each filter; a small dense layer judges each chunk; the mean and the largest of the chunks' hidden
 values are combined into one probability.  Chunks cover the whole text, however long; long texts go through in slabs.
 
-The network is trained on the driver on a bounded sample (``SAMPLE`` labelled rows of each class, texts of at most
-``SAMPLE_BYTES``) with Adam from a fixed seed; its weights (under 1 MB) travel with the tasks.  Nothing but the bytes of
+The network is trained on the driver on a bounded sample (``SAMPLE`` labelled rows of each class, ``SAMPLE_CHARS``
+characters of a longer text) with Adam from a fixed seed; its weights (under 1 MB) travel with the tasks.  Nothing but the bytes of
 a text enters a score.
 
 A null text is empty; an empty text is one chunk of no filter answers and gets the score of that; rows with null or
@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from . import blocks as B
 from .bpe import _arrow
 
-#: Labelled rows of each class that are learned from at most, and bytes of a text that is learned from at most.
-SAMPLE, SAMPLE_BYTES = 1200, 16_384
+#: Labelled rows of each class that are learned from at most; characters of a text that are, and in how many pieces.
+SAMPLE, SAMPLE_CHARS, PIECES = 1200, 16_384, 16
 WIDTH, STEP, FILTERS, HIDDEN, HALF = 6, 2, 24, 16, 64
 
 
@@ -114,54 +114,59 @@ def scores(net: Net, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return pooled(net, *halves_max(net, raw, offsets))
 
 
+def gradients(net: Net, texts: list[bytes], labels: np.ndarray, weights: np.ndarray) -> tuple[float, list[np.ndarray]]:
+    """Weighted mean log loss and its gradient by each of net.parts(); the gradient of a maximum goes to its first place."""
+    n = HALF // STEP
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in texts])])
+    padded, where, first = places(np.frombuffer(b"".join(texts), np.uint8), offsets)
+    a = answers(net, padded, where).reshape(-1, n, FILTERS)
+    top = a.argmax(axis=1)
+    half = np.take_along_axis(a, top[:, None], 1)[:, 0]
+    nxt = np.arange(1, len(half) + 1)
+    nxt[first[1:] - 1] -= 1
+    left = half >= half[nxt]
+    c = np.where(left, half, half[nxt]) + net.bias
+    act = np.maximum(c, 0)
+    pre = act @ net.w1 + net.b1
+    h = np.maximum(pre, 0)
+    count = np.diff(first)
+    mean = np.add.reduceat(h, first[:-1], axis=0) / count[:, None]
+    most = np.maximum.reduceat(h, first[:-1], axis=0)
+    x = np.concatenate([mean, most], axis=1)
+    z = x @ net.w2 + net.b2
+    share_of = weights / weights.sum()
+    loss = float((share_of * (np.logaddexp(0, z) - labels * z)).sum())
+    dz = ((1 / (1 + np.exp(-z)) - labels) * share_of).astype(net.w2.dtype)
+    dx = dz[:, None] * net.w2[None]
+    rows = np.repeat(np.arange(len(texts)), count)
+    hit = h == most[rows]
+    share = hit / np.add.reduceat(hit, first[:-1], axis=0)[rows]
+    dh = (dx[:, :HIDDEN] / count[:, None])[rows] + dx[:, HIDDEN:][rows] * share
+    dpre = dh * (pre > 0)
+    dc = (dpre @ net.w1.T) * (c > 0)
+    dhalf = np.where(left, dc, 0)
+    np.add.at(dhalf, nxt, np.where(left, 0, dc))
+    src = where.reshape(-1, n)[np.arange(len(half))[:, None], top]  # byte where each filter's answer stood
+    taps = np.zeros_like(net.taps)
+    f = np.arange(FILTERS)
+    for k in range(WIDTH):
+        flat = (padded[src + k].astype(np.int64) * FILTERS + f).ravel()
+        taps[k] = np.bincount(flat, dhalf.ravel(), 256 * FILTERS).reshape(256, FILTERS)
+    return loss, [taps, dc.sum(0), act.T @ dpre, dpre.sum(0), x.T @ dz, np.array([dz.sum()])]
+
+
 def fit(texts: list[bytes], labels: np.ndarray, weights: np.ndarray, epochs: int = 6, steps: int = 900, batch: int = 32, rate: float = 0.006, seed: int = 0) -> Net:
-    """Adam on weighted log loss, at least so many epochs and steps; the gradient of a maximum goes to its first place."""
+    """Adam on weighted log loss, at least so many epochs and steps."""
     r = np.random.default_rng(seed)
     net = Net.new(seed)
     moment = [(np.zeros_like(p), np.zeros_like(p)) for p in net.parts()]
     t = 0
-    n = HALF // STEP
     each = max(1, len(texts) // batch)
     epochs = max(epochs, -(-steps // each))
     rounds = epochs * each
     for _ in range(epochs):
         for own in np.array_split(r.permutation(len(texts)), each):
-            part = [texts[i] for i in own]
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in part])])
-            padded, where, first = places(np.frombuffer(b"".join(part), np.uint8), offsets)
-            a = answers(net, padded, where).reshape(-1, n, FILTERS)
-            top = a.argmax(axis=1)
-            half = np.take_along_axis(a, top[:, None], 1)[:, 0]
-            nxt = np.arange(1, len(half) + 1)
-            nxt[first[1:] - 1] -= 1
-            left = half >= half[nxt]
-            c = np.where(left, half, half[nxt]) + net.bias
-            act = np.maximum(c, 0)
-            pre = act @ net.w1 + net.b1
-            h = np.maximum(pre, 0)
-            count = np.diff(first)
-            mean = np.add.reduceat(h, first[:-1], axis=0) / count[:, None]
-            most = np.maximum.reduceat(h, first[:-1], axis=0)
-            x = np.concatenate([mean, most], axis=1)
-            p = 1 / (1 + np.exp(-(x @ net.w2 + net.b2)))
-            w = weights[own]
-            dz = ((p - labels[own]) * w / w.sum()).astype(np.float32)
-            dx = dz[:, None] * net.w2[None]
-            rows = np.repeat(np.arange(len(own)), count)
-            hit = h == most[rows]
-            share = hit / np.add.reduceat(hit, first[:-1], axis=0)[rows]
-            dh = (dx[:, :HIDDEN] / count[:, None])[rows] + dx[:, HIDDEN:][rows] * share
-            dpre = dh * (pre > 0)
-            dc = (dpre @ net.w1.T) * (c > 0)
-            dhalf = np.where(left, dc, 0)
-            np.add.at(dhalf, nxt, np.where(left, 0, dc))
-            src = where.reshape(-1, n)[np.arange(len(half))[:, None], top]  # byte where each filter's answer stood
-            taps = np.zeros_like(net.taps)
-            f = np.arange(FILTERS)
-            for k in range(WIDTH):
-                flat = (padded[src + k].astype(np.int64) * FILTERS + f).ravel()
-                taps[k] = np.bincount(flat, dhalf.ravel(), 256 * FILTERS).reshape(256, FILTERS)
-            grads = [taps, dc.sum(0), act.T @ dpre, dpre.sum(0), x.T @ dz, np.array([dz.sum()])]
+            _, grads = gradients(net, [texts[i] for i in own], labels[own], weights[own])
             t += 1
             step = rate * (1 - 0.9 * t / rounds) * np.sqrt(1 - 0.999**t) / (1 - 0.9**t)
             for q, g, (m, v) in zip(net.parts(), grads, moment, strict=True):
@@ -180,19 +185,28 @@ def in_fold(id_col: str, keep: bool, folds: int = 4, fold: int = 2) -> F.Column:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Net:
     """Fit on the labelled rows with the smallest id hashes of each class, held-out rows left aside.
 
-    Classes weigh as the square roots of their numbers among all labelled rows.  Null, empty and overlong texts are not learned from.
+    Classes weigh as the square roots of their numbers among all labelled rows.  Null and empty texts are not learned
+    from; of a text over SAMPLE_CHARS characters PIECES pieces at even distances are, so many characters in all.
     """
     named = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).filter("label in (0, 1) and id is not null").filter(in_fold("id", True))
     total = {r["label"]: r["n"] for r in named.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(total) < 2:
         raise ValueError("labelled rows of both classes are needed")
-    picked = [named.filter(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(2 * sample) for k in (0, 1)]  # a few texts won't do
-    chosen = F.broadcast(picked[0].union(picked[1]).dropDuplicates(["id"]))  # 4 * sample small rows
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter(F.octet_length("text").between(1, SAMPLE_BYTES))
-    rows = texts.join(chosen, "id")
+    text, size, piece = F.col("text"), F.length("text"), SAMPLE_CHARS // PIECES
+    spread = F.concat(*(F.substring(text, F.floor((size - piece) * F.lit(k / (PIECES - 1))).cast("int") + 1, F.lit(piece)) for k in range(PIECES)))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter("text <> ''")
+    texts = texts.select("id", F.when(size > SAMPLE_CHARS, spread).otherwise(text).alias("text"))
     found = []
     for k in (0, 1):
-        found += rows.filter(F.col("label") == k).orderBy(F.xxhash64("id"), "id", "text").limit(sample).collect()
+        own, many = [], 2 * sample  # ids, of which few have no text; more are asked for until there are enough
+        while True:
+            chosen = named.filter(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(many).dropDuplicates(["id"])
+            chosen = F.broadcast(chosen) if many == 2 * sample else chosen
+            own = texts.join(chosen, "id").orderBy(F.xxhash64("id"), "id", "text").limit(sample).collect()
+            if len(own) == sample or many >= total[k]:
+                break
+            many *= 8
+        found += own
     found.sort(key=lambda r: (r["id"], r["text"]))
     y = np.array([r["label"] for r in found], np.float32)
     if not 0 < y.sum() < len(y):
@@ -203,6 +217,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def score(docs: DataFrame, net: Net, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), score_col: str = "score") -> DataFrame:
     """id, the columns of keep, and ``score_col`` (double): the probability that a text has label 1."""
+    B.small_batches(docs.sparkSession)
     names = [id_col, *keep]
     schema = T.StructType([*(docs.schema[c] for c in names), T.StructField(score_col, T.DoubleType())])
     arrow = pa.schema([pa.field(f"c{i}", _arrow(f.dataType)) for i, f in enumerate(schema)])
