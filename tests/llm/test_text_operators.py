@@ -120,6 +120,40 @@ def test_pairs_at_a_low_threshold_meet(spark):
     assert {r.n_links for r in jaccard.links(df, threshold=0.5).collect()} == {1}  # ten of twenty shingles are shared
 
 
+def test_large_groups_are_dealt_by_members(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "MEMBERS", 16)
+    same = " ".join(f"w{i}" for i in range(40))
+    rows = [(k, f"{same} tail{k}") for k in range(90)] + [(100, "others have other words here")]
+    got = {r.doc_id: r for r in jaccard.links(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[k].n_links == 89 and got[k].component_id == 0 for k in range(90)) and got[100].n_links == 0
+
+
+def test_pairs_of_many_members():
+    r = np.random.default_rng(3)
+    sets = [np.unique(r.integers(0, 12, 6)) for _ in range(600)]
+    a, b = jaccard.linked(sets, jaccard.Fraction(4, 5))
+    plain = [set(x.tolist()) for x in sets]
+    want = {(i, j) for i in range(600) for j in range(i + 1, 600) if 5 * len(plain[i] & plain[j]) >= 4 * len(plain[i] | plain[j])}
+    assert set(zip(a.tolist(), b.tolist())) == want and len(a) == len(want)
+
+
+def test_long_texts(spark):
+    """Texts far over the usual length are joined, scored, formatted and judged whole."""
+    long = " ".join(f"v{k * k % 9973}" for k in range(300_000))
+    rows = [(1, long), (2, long + " end"), (3, "short one"), (11, long[1000:])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in jaccard.links(df).collect()}
+    assert [got[k].component_id for k in (1, 2, 3, 11)] == [1, 1, 3, 1]
+    scored = {r.doc_id: r for r in lm.score_documents(df).collect()}
+    assert scored[1].n_tokens == 300_001 and scored[1].n_known == 300_001
+    turns = spark.createDataFrame([(1, 0, "user", long), (2, 0, "user", long), (2, 1, "assistant", "yes")], "conv_id long, turn long, role string, text string")
+    (only,) = chat.format_chats(turns).collect()
+    assert only.conv_id == 2 and long in only.text
+    net = cnn.Net.new(2)
+    raw = np.frombuffer(long.encode(), np.uint8)
+    assert np.isclose(cnn.score(df, net).filter("doc_id = 1").first().score, cnn.scores(net, raw, np.array([0, len(raw)]))[0], atol=1e-6)
+
+
 @pytest.mark.parametrize("table", ["docs", "odd"])
 def test_suffix_dedup(spark, table, request):
     df = request.getfixturevalue(table)
@@ -178,6 +212,24 @@ def test_multikey_sort_and_prefixes():
     assert common.tolist() == [max(lcp(s[i], s[i - 1]) if i else 0, lcp(s[i], s[i + 1]) if i + 1 < len(s) else 0) for i in range(len(s))]
 
 
+def test_a_prefix_that_ends_before_high_bits():
+    # the exclusive or of the two digits has 53 leading ones or more, which a float would round up
+    order, common = suffix.multikey([("A" + "éééé").encode(), b"A<V<V<V<V"])
+    assert sorted(order.tolist()) == [0, 1] and common.tolist() == [1, 1]
+
+
+def test_suffix_dedup_of_texts_over_a_block(spark, monkeypatch):
+    r = np.random.default_rng(8)
+    noise = lambda n: "".join(map(chr, r.integers(97, 123, n).tolist()))
+    passage = noise(1000)
+    long = noise(suffix.BLOCK) + passage + noise(300_000)
+    df = spark.createDataFrame([(1, long), (2, "x" + passage[100:]), (3, noise(5000))], "doc_id long, text string")
+    got = {x.doc_id: x for x in suffix.remove_repeats(df).collect()}
+    at = suffix.BLOCK + 100
+    assert got[1].spans == [[at, at + 900]] and got[2].text == "x" and got[3].spans == []
+    assert got[1].text == long[:at] + long[at + 900 :]
+
+
 def brute_lm(rows, mu):
     texts = [(i, words(t), i is not None and zlib.crc32(str(i).encode()) % 10 == 0) for i, t in rows]
     one, two, context = collections.Counter(), collections.Counter(), collections.Counter()
@@ -258,6 +310,56 @@ def test_scores_do_not_depend_on_neighbours_or_slabs(spark, odd):
         cnn.train(odd, odd.select("doc_id", F.lit(1).alias("quality")))
 
 
+def naive_score(net, text):
+    """One filter place, chunk and layer after another."""
+    halves = []
+    for lo in range(0, max(1, len(text)), cnn.HALF):
+        best = np.full(cnn.FILTERS, -np.inf)
+        for place in range(lo, lo + cnn.HALF, cnn.STEP):
+            own = sum(net.taps[k][text[place + k] if place + k < len(text) else 0].astype(float) for k in range(cnn.WIDTH))
+            best = np.maximum(best, own)
+        halves.append(best)
+    hidden = []
+    for k in range(len(halves)):
+        chunk = np.maximum(np.maximum(halves[k], halves[min(k + 1, len(halves) - 1)]) + net.bias, 0)
+        hidden.append(np.maximum(chunk @ net.w1 + net.b1, 0))
+    z = np.concatenate([np.mean(hidden, axis=0), np.max(hidden, axis=0)]) @ net.w2 + net.b2[0]
+    return 1 / (1 + math.exp(-z))
+
+
+def test_scores_equal_a_plain_loop(odd):
+    net = cnn.Net.new(5)
+    texts = [(r.text or "").encode() for r in odd.collect()] + [bytes(range(256)) * 3, b"a" * 64, b"a" * 65]
+    raw, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    assert np.allclose(cnn.scores(net, raw, offsets), [naive_score(net, t) for t in texts], atol=1e-5)
+
+
+def test_gradients_equal_differences():
+    net = cnn.Net(*(p.astype(np.float64) for p in cnn.Net.new(6).parts()))
+    texts, labels, weights = [b"some words, and more of them" * 9, b"x", b"", b"zq!" * 70], np.array([1.0, 0, 1, 0]), np.array([1.0, 2, 1, 3])
+    _, grads = cnn.gradients(net, texts, labels, weights)
+    r = np.random.default_rng(0)
+    for part, grad in zip(net.parts(), grads, strict=True):
+        flat, own = part.reshape(-1), np.asarray(grad).reshape(-1)
+        for k in {int(np.abs(own).argmax()), *r.integers(0, len(flat), 5).tolist()}:
+            was, step = flat[k], 1e-6
+            flat[k] = was + step
+            up = cnn.gradients(net, texts, labels, weights)[0]
+            flat[k] = was - step
+            down = cnn.gradients(net, texts, labels, weights)[0]
+            flat[k] = was
+            assert abs((up - down) / (2 * step) - own[k]) < 1e-6 + 1e-4 * abs(own[k])
+
+
+def test_training_takes_long_texts_and_looks_past_empty_ones(spark):
+    good, bad = "plain words stand in this line of text. ", "zz%% ## 00 @@ !! "
+    rows = [(k, None) for k in range(40)] + [(40 + k, (good if k % 2 else bad) * (3 + 700 * (k < 4))) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    net = cnn.train(df, df.select("doc_id", (F.col("doc_id") % 2).alias("quality")), sample=6)
+    score = {r.doc_id: r.score for r in cnn.score(df, net).collect()}
+    assert all((score[k] > 0.5) == (k % 2 == 1) for k in range(40, 80))
+
+
 def _chats(spark, rows):
     return spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({c: F.lit(1) for c in ("conv", "pos", "h1", "n")})
 
@@ -305,8 +407,20 @@ def test_pipeline(spark):
     rows = sorted((r.doc_id, r.text) for r in single.collect())
     left = {i: n - gone for (i, _), (n, gone, _, _) in zip(rows, brute_suffix([t for _, t in rows]))}
     assert all(len(r.text.encode()) <= left[r.doc_id] and r.n_chars == len(r.text) for r in cut.collect())
-    assert packed.select("doc_id").distinct().count() == cut.count() == len(left)
-    assert corpus_pipeline.run(spark, sf).count() == packed.count()
+    sizes = lambda df: sorted({(r.doc_id, r.doc_tokens) for r in df.collect()})
+    whole = lambda df: all(r.n == r.doc_tokens for r in df.groupBy("doc_id", "doc_tokens").agg(F.sum("length").alias("n")).collect())
+    again = corpus_pipeline.run(spark, sf).cache()  # ranges end by a sample, so pieces may be cut elsewhere
+    assert len(sizes(packed)) == cut.count() == len(left) and sizes(again) == sizes(packed)
+    assert whole(packed) and whole(again)
+
+
+def test_pipeline_takes_a_very_long_text(spark):
+    line = spark.read.parquet(f"{SF}/documents.parquet").filter("length(text) > 2000").orderBy("doc_id").first().text
+    long = " ".join(f"{line[k % 1500 : k % 1500 + 40]} {k}" for k in range(40_000))
+    docs = spark.createDataFrame([(1, long), (2, long), (3, line)], "doc_id long, text string")
+    for name, stage in corpus_pipeline.STAGES[1:]:
+        docs = stage(spark, docs, SF)
+        assert docs.count() >= 2, name
 
 
 def test_pipeline_stages_take_odd_rows(spark, odd):
