@@ -28,7 +28,7 @@ from . import blocks as B, hashing as H
 from .tokens import Encoder, encoder
 
 WINDOW, MASK = 48, np.uint64(1023)
-BLOCK, SLAB = 8 << 20, 1 << 20  # bytes of text in a block, and hashed at once
+BLOCK, SLAB = 13 << 20, 1 << 20  # bytes of text in a block, and hashed at once
 WIRE = "shard int, block long, meta binary, body binary"
 
 
@@ -80,32 +80,25 @@ def cut(batches: Iterator[pa.RecordBatch], n_shards: int) -> Iterator[pa.RecordB
 
 
 def encode_shard(table: pa.Table, path: str) -> pa.Table:
-    enc, metas, bodies, known = encoder(path), [], [], {}
-    asked, todo = [], []
-    for meta, body in zip(table["meta"].to_pylist(), table["body"].to_pylist(), strict=True):
+    """Answers to all blocks that asked, block by block; held are the shard's distinct chunks and their ids."""
+    enc, metas, bodies = encoder(path), [], []
+    known: dict[bytes, bytes] = {}
+    for meta, body in zip(table["meta"], table["body"], strict=True):
+        meta, body = meta.as_py(), body.as_py()
         if not meta:
-            asked.append(None)
+            metas.append(b"")
+            bodies.append(body)
             continue
         m, text = B.unpress(meta, np.uint32), B.unpress(body)
         n = int(m[0])
         at = np.concatenate([[0], np.cumsum(m[1 : 1 + n], dtype=np.int64)]).tolist()
         chunks = [text[a:b] for a, b in zip(at, at[1:])]
-        for c in chunks:
-            if known.setdefault(c, len(todo)) == len(todo):
-                todo.append(c)
-        asked.append((m, chunks))
-    ids: list[np.ndarray] = []
-    for lo in range(0, len(todo), 2000):
-        ids += enc.encode([c.decode() for c in todo[lo : lo + 2000]])
-    for x, body in zip(asked, table["body"].to_pylist(), strict=True):
-        if x is None:
-            metas.append(b"")
-            bodies.append(body)
-            continue
-        m, chunks = x
-        mine = [ids[known[c]] for c in chunks]
-        metas.append(B.press(np.concatenate([m[:1], np.array([len(v) for v in mine], np.uint32), m[1 + len(chunks) :]])))
-        bodies.append(B.press(np.concatenate(mine), 6))
+        new = [c for c in chunks if c not in known]  # the chunks of a block are distinct
+        known.update(zip(new, (x.tobytes() for x in enc.encode([c.decode() for c in new])), strict=True))
+        mine = [known[c] for c in chunks]
+        size = np.dtype(enc.kind).itemsize
+        metas.append(B.press(np.concatenate([m[:1], np.array([len(v) // size for v in mine], np.uint32), m[1 + n :]])))
+        bodies.append(B.press(b"".join(mine), 6))
     return pa.table([table["shard"], table["block"], pa.array(metas, pa.binary()), pa.array(bodies, pa.binary())], ["shard", "block", "meta", "body"])
 
 
@@ -195,6 +188,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     path: vocabulary file of a byte-level tokenizer.  finish(ids, tokens, encoder) returns a table of the id column and
     the columns of ``result`` for the documents of a block.
     """
+    B.small_batches(docs.sparkSession)
     n = B.shards(docs.sparkSession, 1)
     kind = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField(id_col, kind), *T.StructType.fromDDL(result)])
