@@ -10,10 +10,13 @@ Documents are dealt by ranges of their id, encoded and written in ascending orde
 
 A key is b"\\0" for null, else b"\\1" and the id as 8 big-endian bytes (a string id: its UTF-8), so byte order is id
 order, nulls first.  Values are the ids, little-endian.  A writer writes under a name of its own attempt and renames at
-the end; a repeated attempt writes the same bytes.  What a task holds is a batch of texts and a block, never a shard.
+the end; a repeated attempt writes the same bytes.  What a task holds is a batch of texts, a block, and 16 bytes of each
+key for the filter, never a shard's texts or ids.
 
-A null text is empty, an empty text has only the end id; rows with equal ids are all kept, ordered by text; other
-columns are ignored; an empty table gives no files and no rows.
+A null text is empty, an empty text has only the end id; rows with equal ids are all kept, ordered by the first LEAD
+characters of the text, then a hash of it, and go to several neighbouring shards if they are many; other columns are
+ignored; an empty table gives no files and no rows.  A text of any length is one value; the task that writes or reads it
+holds it whole.
 """
 
 from __future__ import annotations
@@ -35,6 +38,7 @@ from .bpe import _arrow
 from .tokens import encoder
 
 BLOCK, RESTART, BITS, PROBES = 1 << 16, 16, 10, 7
+SLICE, LEAD = 1 << 20, 32  # bytes of text that are encoded at once; characters of a text that order equal ids
 FOOTER = struct.Struct("<QQQQQQI8s")
 MAGIC = b"TRMRSST1"
 
@@ -88,7 +92,7 @@ class Writer:
         self.out, self.width, self.pos = out, width, 0
         self.body, self.restarts, self.count, self.last = bytearray(), [], 0, b""
         self.index: list[tuple[bytes, int, int]] = []
-        self.hashes: list[bytes] = []
+        self.hashes = bytearray()
         self.docs = self.tokens = 0
 
     def add(self, key: bytes, value: bytes) -> None:
@@ -101,7 +105,7 @@ class Writer:
             self.restarts.append(len(self.body))
         self.body += _varint(shared) + _varint(len(key) - shared) + _varint(len(value)) + key[shared:] + value
         self.count, self.last = self.count + 1, key
-        self.hashes.append(xxhash.xxh3_128_digest(key))
+        self.hashes += xxhash.xxh3_128_digest(key)
         self.docs, self.tokens = self.docs + 1, self.tokens + len(value) // self.width
         if len(self.body) >= BLOCK:
             self.flush()
@@ -123,11 +127,11 @@ class Writer:
         index = self._put(b"".join(_varint(len(k)) + k + _varint(a) + _varint(n) for k, a, n in self.index))
         bits = max(64, BITS * self.docs)
         raw = np.zeros((bits + 7) // 8, np.uint8)
-        if self.hashes:
-            h = np.frombuffer(b"".join(self.hashes), ">u8").reshape(-1, 2)
-            a, b = h[:, 1].astype(object), h[:, 0].astype(object)  # digests are big-endian: high, low
+        h = np.frombuffer(self.hashes, ">u8").reshape(-1, 2) if self.hashes else np.zeros((0, 2), ">u8")  # digests are big-endian: high, low
+        for lo in range(0, len(h), 1 << 16):
+            high, low = (h[lo : lo + (1 << 16), k].astype(np.uint64) for k in (0, 1))
             for i in range(PROBES):
-                at = np.array([(int(x) + i * (int(y) | 1)) % bits for x, y in zip(a, b, strict=True)], np.int64)
+                at = ((low % np.uint64(bits) + np.uint64(i) * ((high | np.uint64(1)) % np.uint64(bits))) % np.uint64(bits)).astype(np.int64)
                 np.bitwise_or.at(raw, at >> 3, (1 << (at & 7)).astype(np.uint8))
         bloom = self._put(raw.tobytes())
         self._put(FOOTER.pack(*index, *bloom, self.docs, self.tokens, self.width, MAGIC))
@@ -203,7 +207,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, path: str, end: int)
     name, own = f"{top}/{shard:06d}.sst", f"{top}/.{shard:06d}-{task.taskAttemptId()}"
     for batch in batches:
         _, offs = B.flat(batch.column(1))
-        for lo, hi in B.cuts(offs):
+        for lo, hi in B.cuts(offs, SLICE):
             ids = batch.column(0).slice(lo, hi - lo).to_pylist()
             texts = batch.column(1).slice(lo, hi - lo).to_pylist()
             if writer is None:
@@ -225,9 +229,11 @@ def write(docs: DataFrame, path: str, folder: str | None = None, id_col: str = "
     goes when the application ends.
     """
     spark, given = docs.sparkSession, folder
+    B.small_batches(spark)
     folder = folder or B.shared_folder(spark) + "-sst"
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    dealt = rows.repartitionByRange(B.shards(spark, 1), "id").sortWithinPartitions("id", "text")
+    rows = rows.withColumns({"lead": F.substring("text", 1, LEAD), "tie": F.xxhash64("text"), "salt": F.monotonically_increasing_id()})
+    dealt = rows.repartitionByRange(B.shards(spark, 1), "id", "lead", "tie", "salt").sortWithinPartitions("id", "lead", "tie", "text").select("id", "text")
     manifest = B.stored(dealt.mapInArrow(lambda it: _write(it, folder, path, end), "shard int, file string, docs long, tokens long, bytes long"))
     if not given:
         B.passing(spark, folder)
