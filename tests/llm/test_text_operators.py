@@ -164,6 +164,33 @@ def test_suffix_dedup(spark, table, request):
     assert any(x[2] for x in want)
 
 
+def brute_passages(texts, words, size):
+    """Number and bytes of the repeated runs of each text that have size bytes or over so many words."""
+    length, texts = 2 * words + 1, [(t or "").encode() for t in texts]
+    seen = collections.Counter(t[x : x + length] for t in texts for x in range(len(t) - length + 1))
+    out = []
+    for t in texts:
+        gone = bytearray(len(t))
+        for x in range(len(t) - length + 1):
+            if seen[t[x : x + length]] > 1:
+                gone[x : x + length] = b"\1" * length
+        runs = [t[m.start() : m.end()] for m in re.finditer(b"\1+", bytes(gone))]
+        runs = [r for r in runs if len(r) >= size or len(re.findall(rb"[^\x20\x09-\x0D]+", r)) > words]
+        out.append((len(runs), sum(map(len, runs))))
+    return out
+
+
+@pytest.mark.parametrize("table", ["docs", "odd"])
+def test_two_lengths_in_one_run(spark, table, request):
+    df = request.getfixturevalue(table)
+    texts = [r.text for r in df.collect()]
+    want = [(r.doc_id, *x, *y) for r, x, y in zip(df.collect(), brute_suffix(texts), brute_passages(texts, 50, 400))]
+    result = DIGEST["result"] + ", n_passages long, passage_bytes long"
+    got = suffix.remove_repeats(df, finish=suffix.digests_and_passages(400, 50), result=result, length=(400, suffix.least_bytes(50)))
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(want, key=key)
+    assert sum(x[5] > x[3] for x in want) > 0
+
+
 def test_suffixes_of_one_passage_cross_buckets(spark):
     r = np.random.default_rng(4)
     noise = lambda n: "".join(chr(97 + x) for x in r.integers(0, 26, n))

@@ -38,8 +38,11 @@ def op4_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
-    return suffix.remove_repeats(_read(spark, sf_dir, "documents"), finish=suffix.digests, result="n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document, by strings of suffix.LENGTH bytes; then n_passages
+    and passage_bytes, its repeated passages of over suffix.WORDS words or so many bytes."""
+    finish = suffix.digests_and_passages(suffix.LENGTH, suffix.WORDS)
+    result = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, passage_bytes long"
+    return suffix.remove_repeats(_read(spark, sf_dir, "documents"), finish=finish, result=result, length=(suffix.LENGTH, suffix.least_bytes(suffix.WORDS)))
 
 
 def op6_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,47 +37,55 @@ from . import blocks as B, hashing as H
 from .bpe import _arrow
 
 LENGTH, GRAM = 400, 32
-BLOCK, SLAB = (13 << 20) // 3, 1 << 19
+#: A repeated passage of over so many words counts, however short they are.
+WORDS = 50
+BLOCK, SLAB = (13 << 20) // 6, 1 << 19
 LEAD = 64
+#: Of the compression of texts, which are stored once and dealt twice.
+LEVEL = 6
 
-TABLE = "block long, head binary, size binary, text binary, first binary, last binary, place binary"
+TABLE = "block long, head binary, size binary, text binary, first array<binary>, last array<binary>, place array<binary>"
 WIRE = "shard int, block long, body binary"
-SUFFIX = "block long, region int, twice boolean, before binary, lead binary, suffix binary, starts int, salt int"
+SUFFIX = "which int, block long, region int, twice boolean, before binary, lead binary, suffix binary, starts int, salt int"
 
 
-def regions(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First and last window start and place of each region of all texts."""
-    out = []
+def regions(raw: np.ndarray, offsets: np.ndarray, lengths: tuple[int, ...] = (LENGTH,)) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each length: first and last window start and place of each region of all texts."""
+    out: list[list[tuple]] = [[] for _ in lengths]
     for lo, hi in B.cuts(offsets, SLAB):
         at, o = int(offsets[lo]), offsets[lo : hi + 1] - offsets[lo]
         part = raw[at : offsets[hi]]
-        n = len(part)
-        if n < length:
+        n, have = len(part), 1
+        if n < min(lengths):
             continue
         bits = np.uint64(max(20, int(n).bit_length()))
-        h = H.windows(H.prefixes(part), GRAM)
-        low = (h >> bits << bits) | np.arange(len(h), dtype=np.uint64)  # smallest hash, then leftmost
-        width, have = length - GRAM + 1, 1
-        while 2 * have <= width:
-            low = np.minimum(low[: len(low) - have], low[have:])
-            have *= 2
-        if have < width:
-            low = np.minimum(low[: len(low) - (width - have)], low[width - have :])
-        place = (low & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-        valid = np.zeros(len(place) + 1, np.int32)  # windows inside one text
-        full = np.flatnonzero(np.diff(o) >= length)
-        np.add.at(valid, o[:-1][full], 1)
-        np.add.at(valid, o[1:][full] - length + 1, -1)
-        on = np.cumsum(valid[:-1]) > 0
-        new = on.copy()
-        new[1:] &= ~(on[:-1] & (place[1:] == place[:-1]))
-        end = on.copy()
-        end[:-1] &= ~(on[1:] & (place[1:] == place[:-1]))
-        a, b = np.flatnonzero(new), np.flatnonzero(end)
-        out.append((a + at, b + at, place[a] + at))
-    if not out:
-        return (np.zeros(0, np.int64),) * 3
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+        low = H.windows(H.prefixes(part), GRAM)
+        low = (low >> bits << bits) | np.arange(len(low), dtype=np.uint64)  # smallest hash, then leftmost
+        for which in np.argsort(lengths, kind="stable").tolist():
+            length = lengths[which]
+            if n < length:
+                break
+            width = length - GRAM + 1
+            while 2 * have <= width:  # the smallest of ``have`` neighbours, for ever more of them
+                low = np.minimum(low[: len(low) - have], low[have:])
+                have *= 2
+            if have < width:
+                low = np.minimum(low[: len(low) - (width - have)], low[width - have :])
+                have = width
+            place = (low & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int32 if n < 1 << 31 else np.int64)
+            valid = np.zeros(len(place) + 1, np.int32)  # windows inside one text
+            full = np.flatnonzero(np.diff(o) >= length)
+            np.add.at(valid, o[:-1][full], 1)
+            np.add.at(valid, o[1:][full] - length + 1, -1)
+            on = np.cumsum(valid[:-1], dtype=np.int32) > 0
+            same = place[1:] == place[:-1]
+            new = on.copy()
+            new[1:] &= ~(on[:-1] & same)
+            end = on.copy()
+            end[:-1] &= ~(on[1:] & same)
+            a, b = np.flatnonzero(new), np.flatnonzero(end)
+            out[which].append((a + at, b + at, place[a].astype(np.int64) + at))
+    return [tuple(np.concatenate(x) for x in zip(*own, strict=True)) if own else (np.zeros(0, np.int64),) * 3 for own in out]
 
 
 def _kinds(raw: np.ndarray, first: np.ndarray, last: np.ndarray, place: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
@@ -99,25 +107,29 @@ def _kinds(raw: np.ndarray, first: np.ndarray, last: np.ndarray, place: np.ndarr
     return g[at], w[at], order[at], np.diff(np.append(at, len(g))), kind
 
 
-def _table(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+def _table(batches: Iterator[pa.RecordBatch], lengths: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
     number = B.numbered()
     for batch in batches:
         raw_all, offs_all = B.flat(batch["text"])
         for lo, hi in B.cuts(offs_all, BLOCK):
             offsets = offs_all[lo : hi + 1] - offs_all[lo]
             raw = raw_all[offs_all[lo] : offs_all[hi]]
-            first, last, place = regions(raw, offsets, length)
+            spots = regions(raw, offsets, lengths)
             sink = pa.BufferOutputStream()
             head = batch.slice(lo, hi - lo).drop_columns(["text"])
             with pa.ipc.new_stream(sink, head.schema) as w:
                 w.write_batch(head)
-            put = [B.press(sink.getvalue().to_pybytes()), B.planes(np.diff(offsets).astype(np.uint64)), B.press(raw, 3), *(B.planes(x) for x in (np.diff(first, prepend=0), last - first, place - first))]
-            yield pa.record_batch([pa.array([number()]), *(pa.array([x], pa.binary()) for x in put)], ["block", "head", "size", "text", "first", "last", "place"])
+            put = [B.press(sink.getvalue().to_pybytes()), B.planes(np.diff(offsets).astype(np.uint64)), B.press(raw, LEVEL)]
+            each = [[B.planes(np.diff(f, prepend=0)) for f, _, _ in spots], [B.planes(t - f) for f, t, _ in spots], [B.planes(p - f) for f, _, p in spots]]
+            yield pa.record_batch([pa.array([number()]), *(pa.array([x], pa.binary()) for x in put), *(pa.array([x], pa.list_(pa.binary())) for x in each)], ["block", "head", "size", "text", "first", "last", "place"])
 
 
-def _opened(row: dict) -> tuple[np.ndarray, ...]:
-    first = np.cumsum(B.unplanes(row["first"], np.int64))
-    return B.unpress(row["text"], np.uint8), first, first + B.unplanes(row["last"], np.int64), first + B.unplanes(row["place"], np.int64)
+def _opened(row: dict) -> Iterator[tuple[np.ndarray, ...]]:
+    """For each length: the block's bytes, and first window, last window and place of its regions."""
+    raw = B.unpress(row["text"], np.uint8)
+    for first, last, place in zip(row["first"], row["last"], row["place"], strict=True):
+        first = np.cumsum(B.unplanes(first, np.int64))
+        yield raw, first, first + B.unplanes(last, np.int64), first + B.unplanes(place, np.int64)
 
 
 def _by_gram(gram: np.ndarray) -> np.ndarray:
@@ -125,23 +137,25 @@ def _by_gram(gram: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.append(True, gram[1:] != gram[:-1])[: len(gram)])
 
 
-def _grams(batches: Iterator[pa.RecordBatch], shards: int, length: int) -> Iterator[pa.RecordBatch]:
-    """One entry for each distinct gram of a block: gram, hash of its regions (0: they differ), whether it is there twice."""
+def _grams(batches: Iterator[pa.RecordBatch], shards: int, lengths: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
+    """One entry for each distinct gram of a block: gram, hash of its regions (0: they differ), whether it is there twice.
+    Each length has shards of its own."""
     for batch in batches:
         for row in batch.to_pylist():
-            gram, whole, _, many, _ = _kinds(*_opened(row), length)
-            if not len(gram):
-                continue
-            at = _by_gram(gram)
-            kinds = np.diff(np.append(at, len(gram)))
-            one = np.where(kinds == 1, whole[at] | np.uint64(1), np.uint64(0))
-            twice = np.add.reduceat(many, at) > 1
-            shard = (gram[at] % np.uint64(shards)).astype(np.int64)
-            out = []
-            for s in np.unique(shard).tolist():
-                o = np.flatnonzero(shard == s)
-                out.append((s, row["block"], np.uint32(len(o)).tobytes() + gram[at][o].tobytes() + one[o].tobytes() + np.packbits(twice[o]).tobytes()))
-            yield pa.record_batch([pa.array(v, t) for v, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.binary()), strict=True)], ["shard", "block", "body"])
+            for which, (opened, length) in enumerate(zip(_opened(row), lengths, strict=True)):
+                gram, whole, _, many, _ = _kinds(*opened, length)
+                if not len(gram):
+                    continue
+                at = _by_gram(gram)
+                kinds = np.diff(np.append(at, len(gram)))
+                one = np.where(kinds == 1, whole[at] | np.uint64(1), np.uint64(0))
+                twice = np.add.reduceat(many, at) > 1
+                shard = (gram[at] % np.uint64(shards)).astype(np.int64)
+                out = []
+                for s in np.unique(shard).tolist():
+                    o = np.flatnonzero(shard == s)
+                    out.append((which * shards + s, row["block"], np.uint32(len(o)).tobytes() + gram[at][o].tobytes() + one[o].tobytes() + np.packbits(twice[o]).tobytes()))
+                yield pa.record_batch([pa.array(v, t) for v, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.binary()), strict=True)], ["shard", "block", "body"])
 
 
 def _judge(table: pa.Table) -> pa.Table:
@@ -165,35 +179,40 @@ def _judge(table: pa.Table) -> pa.Table:
     return pa.table([table["shard"], table["block"], pa.array(out, pa.binary())], ["shard", "block", "body"])
 
 
-def _codes(gram: np.ndarray, answers: pa.Table, shards: int) -> np.ndarray:
-    """The answer for each kind of a block."""
+def _codes(gram: np.ndarray, answers: pa.Table, shards: int, which: int) -> np.ndarray:
+    """The answer for each kind of a block, from the shards of one length."""
+    own = answers["shard"].to_numpy()
+    answers = answers.filter(pa.array((own >= which * shards) & (own < (which + 1) * shards)))
     at = _by_gram(gram)
     shard = (gram[at] % np.uint64(shards)).astype(np.int64)
     code = np.zeros(len(at), np.uint8)
     for s, body in zip(answers["shard"].to_pylist(), answers["body"].to_pylist(), strict=True):
-        code[np.flatnonzero(shard == s)] = B.unpress(body, np.uint8)
+        code[np.flatnonzero(shard == s - which * shards)] = B.unpress(body, np.uint8)
     return np.repeat(code, np.diff(np.append(at, len(gram))))
 
 
-def _suffixes(shards: int, length: int):
+def _suffixes(shards: int, lengths: tuple[int, ...]):
     """cogroup: a block and its answers; the distinct regions whose grams have differing regions."""
 
     def make(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        row = left.to_pylist()[0]
-        raw, first, last, place = _opened(row)
-        gram, _, rep, many, _ = _kinds(raw, first, last, place, length)
-        send = np.flatnonzero(_codes(gram, right, shards) == 2)
-        text = raw.tobytes()
-        a, b, p = (x[rep[send]].tolist() for x in (first, last, place))
-        n = len(send)
-        return pa.table(
-            [
-                pa.array(np.full(n, row["block"], np.int64)), pa.array(send.astype(np.int32)), pa.array(many[send] > 1), pa.array([text[i:k] for i, k in zip(a, p)], pa.binary()),
-                pa.array([text[k : min(k + LEAD, j + length)] for j, k in zip(b, p)], pa.binary()), pa.array([text[k : j + length] for j, k in zip(b, p)], pa.binary()),
-                pa.array([j - i + 1 for i, j in zip(a, b)], pa.int32()), pa.array((H.mix(send.astype(np.uint64) + np.uint64(row["block"] * 7919 % (1 << 62))) % np.uint64(1 << 30)).astype(np.int32)),
-            ],
-            ["block", "region", "twice", "before", "lead", "suffix", "starts", "salt"],
-        )
+        row, out = left.to_pylist()[0], []
+        text = B.unpress(row["text"])
+        for which, ((raw, first, last, place), length) in enumerate(zip(_opened(row), lengths, strict=True)):
+            gram, _, rep, many, _ = _kinds(raw, first, last, place, length)
+            send = np.flatnonzero(_codes(gram, right, shards, which) == 2)
+            a, b, p = (x[rep[send]].tolist() for x in (first, last, place))
+            n = len(send)
+            out.append(
+                pa.table(
+                    [
+                        pa.array(np.full(n, which, np.int32)), pa.array(np.full(n, row["block"], np.int64)), pa.array(send.astype(np.int32)), pa.array(many[send] > 1), pa.array([text[i:k] for i, k in zip(a, p)], pa.binary()),
+                        pa.array([text[k : min(k + LEAD, j + length)] for j, k in zip(b, p)], pa.binary()), pa.array([text[k : j + length] for j, k in zip(b, p)], pa.binary()),
+                        pa.array([j - i + 1 for i, j in zip(a, b)], pa.int32()), pa.array((H.mix(send.astype(np.uint64) + np.uint64(row["block"] * 7919 % (1 << 62))) % np.uint64(1 << 30)).astype(np.int32)),
+                    ],
+                    ["which", "block", "region", "twice", "before", "lead", "suffix", "starts", "salt"],
+                )
+            )
+        return pa.concat_tables(out)
 
     return make
 
@@ -236,12 +255,20 @@ def multikey(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return order, most
 
 
-def _bucket(batches: Iterator[pa.RecordBatch], shards: int, length: int) -> Iterator[pa.RecordBatch]:
-    """Sort a range's suffixes and compare their windows. Out: answers to blocks (shard -1), windows that others may have."""
+def _buckets(batches: Iterator[pa.RecordBatch], shards: int, lengths: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
+    """A range's suffixes: those of each length are a bucket."""
     held = [b for b in batches if b.num_rows]
     if not held:
         return
     table = pa.Table.from_batches(held)
+    del held
+    which = table["which"].to_numpy()
+    for k in np.unique(which).tolist():
+        yield from _bucket(table.filter(pa.array(which == k)), k, shards, lengths[k])
+
+
+def _bucket(table: pa.Table, which: int, shards: int, length: int) -> Iterator[pa.RecordBatch]:
+    """Sort suffixes and compare their windows. Out: answers to blocks (shard -1 - which), windows that others may have."""
     block, region, starts = (table[c].to_numpy() for c in ("block", "region", "starts"))
     twice = table["twice"].to_numpy()
     before, suffix = table["before"].to_pylist(), table["suffix"].to_pylist()
@@ -295,10 +322,10 @@ def _bucket(batches: Iterator[pa.RecordBatch], shards: int, length: int) -> Iter
             for q in np.unique(shard).tolist():
                 w = np.flatnonzero(shard == q)
                 k = order[row[pick[w]]]
-                out.append((q, 0, _wide(key[w], again[np.searchsorted(first, go[w])], block[k], region[k], start[pick[w]])))
+                out.append((which * shards + q, 0, _wide(key[w], again[np.searchsorted(first, go[w])], block[k], region[k], start[pick[w]])))
     if found_row:
         row, start = np.concatenate(found_row), np.concatenate(found_start)
-        out += _answers(block[order[row]], region[order[row]], start)
+        out += _answers(which, block[order[row]], region[order[row]], start)
     for lo in range(0, len(out), 500):
         yield pa.record_batch([pa.array(v, t) for v, t in zip(zip(*out[lo : lo + 500], strict=True), (pa.int32(), pa.int64(), pa.binary()), strict=True)], ["shard", "block", "body"])
 
@@ -319,7 +346,7 @@ def _wide(key: np.ndarray, met: np.ndarray, block: np.ndarray, region: np.ndarra
     return np.array([len(p) for p in parts], np.uint32).tobytes() + b"".join(parts)
 
 
-def _answers(block: np.ndarray, region: np.ndarray, start: np.ndarray) -> list[tuple[int, int, bytes]]:
+def _answers(which: int, block: np.ndarray, region: np.ndarray, start: np.ndarray) -> list[tuple[int, int, bytes]]:
     """Repeated windows for each block: (kind of region, window) pairs."""
     if not len(block):
         return []
@@ -329,13 +356,14 @@ def _answers(block: np.ndarray, region: np.ndarray, start: np.ndarray) -> list[t
     for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(o)]):
         k = o[a:b]
         one, two = B.planes(region[k].astype(np.int32)), B.planes(start[k].astype(np.int32))
-        out.append((-1, int(block[k[0]]), np.uint32(len(one)).tobytes() + one + two))
+        out.append((-1 - which, int(block[k[0]]), np.uint32(len(one)).tobytes() + one + two))
     return out
 
 
-def _across(table: pa.Table) -> pa.Table:
+def _across(table: pa.Table, shards: int) -> pa.Table:
     """Windows of different buckets with the same gram, offset and bytes; answers pass through."""
-    if table["shard"][0].as_py() < 0:
+    own = table["shard"][0].as_py()
+    if own < 0:
         return table
     got = []
     for body in table["body"].to_pylist():
@@ -345,37 +373,42 @@ def _across(table: pa.Table) -> pa.Table:
     key, met, block, region, start = (np.concatenate(x) for x in zip(*got, strict=True))
     _, back, many = np.unique(key, return_inverse=True, return_counts=True)
     hit = (many[back] > 1) & (met == 0)
-    out = _answers(block[hit], region[hit], start[hit])
+    out = _answers(own // shards, block[hit], region[hit], start[hit])
     return pa.table([pa.array(v, t) for v, t in zip(zip(*out, strict=True) if out else ([], [], []), (pa.int32(), pa.int64(), pa.binary()), strict=True)], ["shard", "block", "body"])
 
 
-def _cut(shards: int, finish: Callable, arrow: pa.Schema, length: int):
+def _gone(row: dict, right: pa.Table, shards: int, which: int, opened: tuple, length: int) -> np.ndarray:
+    """Which bytes of a block are in windows of the length that repeat."""
+    raw, first, last, place = opened
+    gram, _, _, many, kind = _kinds(raw, first, last, place, length)
+    code = _codes(gram, right, shards, which)
+    dup = np.zeros(len(raw) + 1, np.int32)  # counts of window starts that repeat, as differences
+    whole = np.flatnonzero((code == 1)[kind] | (many > 1)[kind])
+    np.add.at(dup, first[whole], 1)
+    np.add.at(dup, last[whole] + 1, -1)
+    on = np.cumsum(dup[:-1], dtype=np.int32) > 0
+    del dup
+    members = np.argsort(kind, kind="stable")
+    at = np.searchsorted(kind[members], np.arange(len(gram) + 1))
+    for body in right.filter(pa.array(right["shard"].to_numpy() == -1 - which))["body"].to_pylist():
+        k = 4 + int.from_bytes(body[:4], "little")
+        region, start = B.unplanes(body[4:k], np.int32).astype(np.int64), B.unplanes(body[k:], np.int32)
+        count = at[region + 1] - at[region]
+        each = np.repeat(at[region] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+        on[first[members[each]] + np.repeat(start, count)] = True
+    seen = np.cumsum(on, dtype=np.int32)  # a byte goes if a repeated window starts in the length places up to it
+    gone = seen > 0
+    gone[length:] = seen[length:] > seen[:-length]
+    return gone
+
+
+def _cut(shards: int, finish: Callable, arrow: pa.Schema, lengths: tuple[int, ...]):
     def cut(key, left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.to_pylist()[0]
-        raw, first, last, place = _opened(row)
-        gram, _, _, many, kind = _kinds(raw, first, last, place, length)
-        own = right["shard"].to_numpy()
-        code = _codes(gram, right.filter(pa.array(own >= 0)), shards)
-        dup = np.zeros(len(raw) + 1, np.int32)  # counts of window starts that repeat, as differences
-        whole = np.flatnonzero((code == 1)[kind] | (many > 1)[kind])
-        np.add.at(dup, first[whole], 1)
-        np.add.at(dup, last[whole] + 1, -1)
-        on = np.cumsum(dup[:-1]) > 0
-        members = np.argsort(kind, kind="stable")
-        at = np.searchsorted(kind[members], np.arange(len(gram) + 1))
-        for body in right.filter(pa.array(own < 0))["body"].to_pylist():
-            k = 4 + int.from_bytes(body[:4], "little")
-            region, start = B.unplanes(body[4:k], np.int32).astype(np.int64), B.unplanes(body[k:], np.int32)
-            count = at[region + 1] - at[region]
-            which = np.repeat(at[region] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-            on[first[members[which]] + np.repeat(start, count)] = True
-        seen = np.cumsum(on, dtype=np.int32)  # a byte goes if a repeated window starts in the length places up to it
-        gone = seen > 0
-        gone[length:] = seen[length:] > seen[:-length]
-        del seen, on, dup
+        gone = [_gone(row, right, shards, k, opened, length) for k, (opened, length) in enumerate(zip(_opened(row), lengths, strict=True))]
         offsets = np.concatenate([[0], np.cumsum(B.unplanes(row["size"], np.uint64).astype(np.int64))])
         head = pa.ipc.open_stream(B.unpress(row["head"])).read_all()
-        return finish(head, raw, offsets, gone).rename_columns(arrow.names).cast(arrow)
+        return finish(head, B.unpress(row["text"], np.uint8), offsets, *gone).rename_columns(arrow.names).cast(arrow)
 
     return cut
 
@@ -412,42 +445,70 @@ def digests(head: pa.Table, raw: np.ndarray, offsets: np.ndarray, gone: np.ndarr
     return pa.table([*head.columns, pa.array(np.diff(offsets)), pa.array(np.diff(total[offsets])), pa.array(np.bincount(own, minlength=n)), pa.array(kept, pa.string())], [*head.column_names, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
+def _long(raw: np.ndarray, offsets: np.ndarray, gone: np.ndarray, size: int, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, start and end (among all bytes) of the runs in gone that have size bytes or more than so many words."""
+    own, a, b = spans(gone, offsets)
+    a, b = a + offsets[own], b + offsets[own]
+    black = (raw != 32) & ((raw < 9) | (raw > 13))
+    new = black & np.append(True, ~black[:-1])[: len(raw)]
+    upto = np.append(np.int32(0), np.cumsum(new, dtype=np.int32))  # a block's words are few
+    count = upto[b] - upto[a] + (black[a] & ~new[a])
+    on = (b - a >= size) | (count > words)
+    return own[on], a[on], b[on]
+
+
+def least_bytes(words: int) -> int:
+    """The length that finds all repeats of over so many words: those of one byte each, with a byte between them."""
+    return 2 * words + 1
+
+
 def long_runs(size: int, words: int, finish: Callable = texts) -> Callable:
     """finish over those removed runs that have size bytes or more than so many words; shorter ones stay."""
 
     def of(head: pa.Table, raw: np.ndarray, offsets: np.ndarray, gone: np.ndarray) -> pa.Table:
-        own, a, b = spans(gone, offsets)
-        a, b = a + offsets[own], b + offsets[own]
-        black = (raw != 32) & ((raw < 9) | (raw > 13))
-        new = black & np.append(True, ~black[:-1])[: len(raw)]
-        upto = np.append(0, np.cumsum(new))
-        count = upto[b] - upto[a] + (black[a] & ~new[a])
-        on = (b - a >= size) | (count > words)
+        _, a, b = _long(raw, offsets, gone, size, words)
         step = np.zeros(len(raw) + 1, np.int32)
-        np.add.at(step, a[on], 1)
-        np.add.at(step, b[on], -1)
-        return finish(head, raw, offsets, np.cumsum(step[:-1]) > 0)
+        np.add.at(step, a, 1)
+        np.add.at(step, b, -1)
+        return finish(head, raw, offsets, np.cumsum(step[:-1], dtype=np.int32) > 0)
+
+    return of
+
+
+def digests_and_passages(size: int, words: int) -> Callable:
+    """For two lengths: digests of the first, and n_passages and passage_bytes, the number and bytes of the second's runs
+    with size bytes or more than so many words."""
+
+    def of(head: pa.Table, raw: np.ndarray, offsets: np.ndarray, gone: np.ndarray, short: np.ndarray) -> pa.Table:
+        own, a, b = _long(raw, offsets, short, size, words)
+        n = len(offsets) - 1
+        out = digests(head, raw, offsets, gone)
+        out = out.append_column("n_passages", pa.array(np.bincount(own, minlength=n)))
+        return out.append_column("passage_bytes", pa.array(np.bincount(own, b - a, n).astype(np.int64)))
 
     return of
 
 
-def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", finish: Callable = texts, result: str = "text string, spans array<array<long>>", length: int = LENGTH) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", finish: Callable = texts, result: str = "text string, spans array<array<long>>", length: int | tuple[int, ...] = LENGTH
+) -> DataFrame:
     """The columns of keep of every document and what finish makes of its text and of the bytes that go: those in strings of
-    length bytes that repeat."""
-    if length <= GRAM:
+    length bytes that repeat.  Several lengths share the blocks and their shuffles; finish then gets the bytes of each."""
+    lengths = length if isinstance(length, tuple) else (length,)
+    if min(lengths) <= GRAM:
         raise ValueError(f"length must be over {GRAM}")
     B.small_batches(docs.sparkSession)
     shards = B.shards(docs.sparkSession, 1)
     kept = [F.col(c).alias(f"c{i}") for i, c in enumerate(keep)]
     rows = docs.select(F.col(text_col).cast("string").alias("text"), *kept)
-    table = B.stored(rows.mapInArrow(lambda it: _table(it, length), TABLE), "none")
+    table = B.stored(rows.mapInArrow(lambda it: _table(it, lengths), TABLE), "none")
     own = ["block", "text", "first", "last", "place"]
-    judged = B.stored(table.select(*own).mapInArrow(lambda it: _grams(it, shards, length), WIRE).groupBy("shard").applyInArrow(_judge, WIRE), "none")
-    suffixes = table.select(*own).groupBy("block").cogroup(judged.groupBy("block")).applyInArrow(_suffixes(shards, length), SUFFIX)
+    judged = B.stored(table.select(*own).mapInArrow(lambda it: _grams(it, shards, lengths), WIRE).groupBy("shard").applyInArrow(_judge, WIRE), "none")
+    suffixes = table.select(*own).groupBy("block").cogroup(judged.groupBy("block")).applyInArrow(_suffixes(shards, lengths), SUFFIX)
     # Kept as a table: dealing by ranges reads its rows twice, once for the sample of splitters.
     suffixes = B.stored(suffixes)
-    dealt = suffixes.repartitionByRange(shards, "lead", "salt").drop("lead", "salt")
-    found = dealt.mapInArrow(lambda it: _bucket(it, shards, length), WIRE).groupBy("shard", F.when(F.col("shard") < 0, F.col("block"))).applyInArrow(lambda t: _across(t.select(["shard", "block", "body"])), WIRE)
+    dealt = suffixes.repartitionByRange(shards * len(lengths), "which", "lead", "salt").drop("lead", "salt")
+    found = dealt.mapInArrow(lambda it: _buckets(it, shards, lengths), WIRE).groupBy("shard", F.when(F.col("shard") < 0, F.col("block"))).applyInArrow(lambda t: _across(t.select(["shard", "block", "body"]), shards), WIRE)
     schema = T.StructType([*(docs.schema[c] for c in keep), *T.StructType.fromDDL(result)])
     arrow = pa.schema([pa.field(f.name, _arrow(f.dataType)) for f in schema])
-    return table.groupBy("block").cogroup(judged.unionByName(found).groupBy("block")).applyInArrow(_cut(shards, finish, arrow, length), schema)
+    return table.groupBy("block").cogroup(judged.unionByName(found).groupBy("block")).applyInArrow(_cut(shards, finish, arrow, lengths), schema)
