@@ -7,6 +7,8 @@ answer by (block, row in block), never by document id, so null and repeated ids
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 
 import numpy as np
@@ -62,6 +64,13 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(BATCH_KEY, BATCH)
 
 
+def trim() -> None:
+    """Give freed memory back to the system: an idle worker stays for a while, beside those that run."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # other systems have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def shards(spark: SparkSession, times: int = 4) -> int:
     """Groups to deal rows to: a few for each shuffle partition, so that a group stays small."""
     return max(1, times * int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -77,6 +77,7 @@ def cut(batches: Iterator[pa.RecordBatch], n_shards: int) -> Iterator[pa.RecordB
                 meta = np.concatenate([[len(mine)], sizes, rows[refs], refs, local]).astype(np.uint32)
                 out.append((shard, block, B.press(meta), B.press(b"".join([chunks[k] for k in mine]), 6)))
             yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["shard", "block", "meta", "body"])
+        B.trim()
 
 
 def encode_shard(table: pa.Table, path: str) -> pa.Table:
@@ -99,6 +100,8 @@ def encode_shard(table: pa.Table, path: str) -> pa.Table:
         size = np.dtype(enc.kind).itemsize
         metas.append(B.press(np.concatenate([m[:1], np.array([len(v) // size for v in mine], np.uint32), m[1 + n :]])))
         bodies.append(B.press(b"".join(mine), 6))
+    del known
+    B.trim()
     return pa.table([table["shard"], table["block"], pa.array(metas, pa.binary()), pa.array(bodies, pa.binary())], ["shard", "block", "meta", "body"])
 
 
@@ -160,6 +163,8 @@ def assemble(table: pa.Table, path: str, finish: Callable, schema: pa.Schema) ->
     for own in parts:
         own = [next(again) if isinstance(x, str) else x for x in own]
         done.append(np.concatenate(own) if own else np.zeros(0, enc.kind))
+    del parts, pieces, of
+    B.trim()
     return finish(head, done, enc).cast(schema)
 
 

@@ -244,6 +244,7 @@ def _verified(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[p
             out += [(int(node[lo + x]), int(node[lo + y]), 0) for x, y in forest(n, a, b)]
         if out:
             yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "b", "links"])
+        B.trim()
 
 
 def kept_groups(light: DataFrame, key: str, node: str, weight: str | None = None) -> DataFrame:

@@ -139,6 +139,7 @@ def _verified(batches: Iterator[pa.RecordBatch], ratio: Fraction, n_bands: int)
             out += [(int(node[lo + k]), int(node[lo + r]), 0) for k, r in forest(n, a, b)]
         if out:
             yield pa.record_batch([pa.array(v, pa.int64()) for v in zip(*out, strict=True)], ["a", "b", "links"])
+        B.trim()
 
 
 def _text_hash(text: Column) -> Column:

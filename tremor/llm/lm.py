@@ -82,6 +82,7 @@ def _count(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.Record
                 ],
                 ["block", "head", "size", "body", "words", "seen", "learned"],
             )
+        B.trim()
 
 
 def _rank(seen: np.ndarray) -> np.ndarray:
@@ -129,6 +130,7 @@ def _number(table: pa.Table, shards: int) -> pa.Table:
         out.append(np.uint32(len(ids)).tobytes() + ids + n)
     types, tokens = int((count > 0).sum()), int(count.sum())
     m = len(out)
+    B.trim()
     return pa.table([table["shard"], table["block"], pa.array([types] * m, pa.int64()), pa.array([tokens] * m, pa.int64()), pa.array(out, pa.binary())], ["shard", "block", "types", "tokens", "body"])
 
 
@@ -189,6 +191,7 @@ def _pairs(shards: int, n: int, v: int, docs: int, mu: float):
             ]
             packed = [B.planes(p) for p in parts]
             rows.append((s, block, np.array([len(p) for p in packed], np.uint32).tobytes() + b"".join(packed)))
+        B.trim()
         return pa.table([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary()), strict=True)], ["shard", "block", "body"])
 
     return make
@@ -232,6 +235,8 @@ def _score_shard(mu: float):
             on = np.flatnonzero(np.bincount(g[6]))
             ids = B.planes(np.diff(on, prepend=0).astype(np.uint32))
             out.append(np.uint32(len(ids)).tobytes() + ids + total[on].tobytes())
+        del got, c, room, w, p, times
+        B.trim()
         return pa.table([table["shard"], table["block"], pa.array(out, pa.binary())], ["shard", "block", "body"])
 
     return score

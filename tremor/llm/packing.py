@@ -113,6 +113,7 @@ def _packed(batches: Iterator[pa.RecordBatch], path: str, length: int, end: int,
                         done, wait, fill, sequence = done + wait, [], 0, sequence + 1
             if done:
                 yield batch(done)
+        B.trim()
     done, left = [], fill
     room = 1 << left.bit_length() - 1 if left else 0
     fill = 0

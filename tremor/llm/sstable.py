@@ -215,6 +215,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, path: str, end: int)
                 writer = Writer(fs.open_output_stream(own), np.dtype(enc.kind).itemsize)
             for i, t in zip(ids, enc.encode([t or "" for t in texts]), strict=True):
                 writer.add(key_of(i), np.append(t, enc.kind(end)).tobytes())
+        B.trim()
     if writer:
         writer.finish()
         writer.out.close()

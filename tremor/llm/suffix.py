@@ -39,7 +39,7 @@ from .bpe import _arrow
 LENGTH, GRAM = 400, 32
 #: A repeated passage of over so many words counts, however short they are.
 WORDS = 50
-BLOCK, SLAB = (13 << 20) // 6, 1 << 19
+BLOCK, SLAB = 1 << 20, 1 << 18
 LEAD = 64
 #: Of the compression of texts, which are stored once and dealt twice.
 LEVEL = 6
@@ -122,6 +122,7 @@ def _table(batches: Iterator[pa.RecordBatch], lengths: tuple[int, ...]) -> Itera
             put = [B.press(sink.getvalue().to_pybytes()), B.planes(np.diff(offsets).astype(np.uint64)), B.press(raw, LEVEL)]
             each = [[B.planes(np.diff(f, prepend=0)) for f, _, _ in spots], [B.planes(t - f) for f, t, _ in spots], [B.planes(p - f) for f, _, p in spots]]
             yield pa.record_batch([pa.array([number()]), *(pa.array([x], pa.binary()) for x in put), *(pa.array([x], pa.list_(pa.binary())) for x in each)], ["block", "head", "size", "text", "first", "last", "place"])
+        B.trim()
 
 
 def _opened(row: dict) -> Iterator[tuple[np.ndarray, ...]]:
@@ -156,6 +157,7 @@ def _grams(batches: Iterator[pa.RecordBatch], shards: int, lengths: tuple[int, .
                     o = np.flatnonzero(shard == s)
                     out.append((which * shards + s, row["block"], np.uint32(len(o)).tobytes() + gram[at][o].tobytes() + one[o].tobytes() + np.packbits(twice[o]).tobytes()))
                 yield pa.record_batch([pa.array(v, t) for v, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.binary()), strict=True)], ["shard", "block", "body"])
+        B.trim()
 
 
 def _judge(table: pa.Table) -> pa.Table:
@@ -176,6 +178,7 @@ def _judge(table: pa.Table) -> pa.Table:
     for g, _, _ in got:
         out.append(B.press(each[k : k + len(g)]))
         k += len(g)
+    B.trim()
     return pa.table([table["shard"], table["block"], pa.array(out, pa.binary())], ["shard", "block", "body"])
 
 
@@ -212,6 +215,7 @@ def _suffixes(shards: int, lengths: tuple[int, ...]):
                     ["which", "block", "region", "twice", "before", "lead", "suffix", "starts", "salt"],
                 )
             )
+        B.trim()
         return pa.concat_tables(out)
 
     return make
@@ -265,6 +269,8 @@ def _buckets(batches: Iterator[pa.RecordBatch], shards: int, lengths: tuple[int,
     which = table["which"].to_numpy()
     for k in np.unique(which).tolist():
         yield from _bucket(table.filter(pa.array(which == k)), k, shards, lengths[k])
+    del table
+    B.trim()
 
 
 def _bucket(table: pa.Table, which: int, shards: int, length: int) -> Iterator[pa.RecordBatch]:
@@ -272,6 +278,7 @@ def _bucket(table: pa.Table, which: int, shards: int, length: int) -> Iterator[p
     block, region, starts = (table[c].to_numpy() for c in ("block", "region", "starts"))
     twice = table["twice"].to_numpy()
     before, suffix = table["before"].to_pylist(), table["suffix"].to_pylist()
+    del table
     order, common = multikey(suffix)
     gram = np.array([x[:GRAM] for x in suffix], f"S{GRAM}")[order]  # a trailing zero byte only joins runs
     raw_gram = [suffix[k][:GRAM] for k in order.tolist()]
@@ -408,6 +415,7 @@ def _cut(shards: int, finish: Callable, arrow: pa.Schema, lengths: tuple[int, ..
         gone = [_gone(row, right, shards, k, opened, length) for k, (opened, length) in enumerate(zip(_opened(row), lengths, strict=True))]
         offsets = np.concatenate([[0], np.cumsum(B.unplanes(row["size"], np.uint64).astype(np.int64))])
         head = pa.ipc.open_stream(B.unpress(row["head"])).read_all()
+        B.trim()
         return finish(head, B.unpress(row["text"], np.uint8), offsets, *gone).rename_columns(arrow.names).cast(arrow)
 
     return cut
@@ -507,7 +515,7 @@ def remove_repeats(
     suffixes = table.select(*own).groupBy("block").cogroup(judged.groupBy("block")).applyInArrow(_suffixes(shards, lengths), SUFFIX)
     # Kept as a table: dealing by ranges reads its rows twice, once for the sample of splitters.
     suffixes = B.stored(suffixes)
-    dealt = suffixes.repartitionByRange(shards * len(lengths), "which", "lead", "salt").drop("lead", "salt")
+    dealt = suffixes.repartitionByRange(2 * shards * len(lengths), "which", "lead", "salt").drop("lead", "salt")
     found = dealt.mapInArrow(lambda it: _buckets(it, shards, lengths), WIRE).groupBy("shard", F.when(F.col("shard") < 0, F.col("block"))).applyInArrow(lambda t: _across(t.select(["shard", "block", "body"]), shards), WIRE)
     schema = T.StructType([*(docs.schema[c] for c in keep), *T.StructType.fromDDL(result)])
     arrow = pa.schema([pa.field(f.name, _arrow(f.dataType)) for f in schema])
