@@ -53,7 +53,7 @@ def test_hint_scores(spark, hint, name, want):
     assert one(spark, X.symbol_hint_score(F.lit(hint), F.lit(name))) == (None if want is None else pytest.approx(want))
 
 
-@pytest.mark.parametrize(("prompt", "want"), [("Add a new plot graph to the codebase", ["plot", "graph"]), ("Add rate limiting to all API routes", ["rate", "limiting", "api", "routes"])])
+@pytest.mark.parametrize(("prompt", "want"), [("Rename the invoice totals for every supplier", ["rename", "invoice", "totals", "supplier"]), ("Let customers merge 2 open ORDERS, then order", ["let", "customers", "merge", "open", "orders", "order"])])
 def test_keywords(spark, prompt, want):
     assert one(spark, X.keywords(F.lit(prompt))) == want
 
@@ -91,13 +91,14 @@ def test_version_control_text(spark):
         ("{ b: 1; a: 2; }", "{ a: 2;; b: 1 }"),  # the last member keeps its semicolon
     ],
 )
-def test_canonical_types(raw, want):
-    assert Y.canonical(raw) == want
+def test_canonical_types(spark, raw, want):
+    assert one(spark, Y.canonical_type(F.lit(raw))) == want
+    assert one(spark, Y.canonical_types(F.array(F.lit(raw), F.lit(None)))) == [want, ""]
 
 
-def test_closing_brackets_hide_separators_behind_arrows():
-    assert Y.split_top("a, b", ", ") == ["a", "b"]
-    assert Y.split_top("() => b | a", " | ") == ["() => b | a"]
+def test_closing_brackets_hide_separators_behind_arrows(spark):
+    assert one(spark, Y.split_top(F.lit("a, b"), ", ")) == ["a", "b"]
+    assert one(spark, Y.split_top(F.lit("() => b | a"), " | ")) == ["() => b | a"]
     assert Y.split_top("a | ", " | ") == ["a"]
 
 

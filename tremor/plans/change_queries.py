@@ -314,6 +314,20 @@ def canonicalize_type(w: Workspace) -> DataFrame:
     return w.spark.createDataFrame([(a,) for a, _ in _TYPES], "raw string").withColumn("canonical", Y.canonical_type(F.col("raw")))
 
 
+@query(
+    """SELECT p_partkey AS k, array_to_string(list_sort(['Map<' || p_name || ' | ' || p_brand || '>', p_type, p_brand]), ' | ') AS anyof,
+array_to_string(list_sort(['[' || p_brand || ' & ' || p_name || ']', p_name || p_size, 'Z']), ' & ') AS allof,
+'{ ' || array_to_string(list_sort(['size: ' || p_size, 'name?: ' || p_name, 'of(x: { b: 1; a: 2 }): ' || p_brand]), '; ') || ' }' AS members FROM part"""
+)
+def canonical_members(w: Workspace) -> DataFrame:
+    p = w.table("part")
+    cat = lambda *xs: Y.canonical_type(F.concat(*(F.col(x) if x.startswith("p_") else F.lit(x) for x in xs)))
+    return p.select(
+        F.col("p_partkey").alias("k"), cat("Map<", "p_name", " | ", "p_brand", "> |\n", "p_type", "  | ", "p_brand").alias("anyof"), cat("Z & ", "[", "p_brand", " & ", "p_name", "] & ", "p_name", "p_size").alias("allof"),
+        cat(" { size: ", "p_size", "; of(x: { b: 1; a: 2 }): ", "p_brand", "; name?:\t", "p_name", " }").alias("members"),
+    )
+
+
 @query(
     """SELECT p_partkey AS k, '(' || p_name || ':' || CASE WHEN p_brand < p_type THEN p_brand || ' | ' || p_type ELSE p_type || ' | ' || p_brand END || ',n:number):void' AS callable,
 'class:' || p_brand || ':[' || CASE WHEN p_name < p_type THEN p_name || ',' || p_type ELSE p_type || ',' || p_name END || ']' AS class_sig,
