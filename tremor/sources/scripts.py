@@ -127,6 +127,8 @@ class Reader:
 
     def past(self, i: int) -> int:
         """Behind the token, or behind the bracket's partner."""
+        if i >= len(self.t):
+            return i + 1
         t = self.t[i]
         return t.pair + 1 if t.kind == "mark" and t.text in _OPEN and t.pair > i else i + 1
 
@@ -167,6 +169,7 @@ class Reader:
         return min(i, end)
 
     def slice(self, i: int, j: int) -> str:
+        j = min(j, len(self.t))
         return self.text[self.t[i].start : self.t[j - 1].end] if i < j else ""
 
     def offset(self, at: int) -> int:
@@ -178,7 +181,7 @@ class Reader:
     # Declarations.
 
     def add(self, group: str, name: str, kind: str, i: int, j: int, exported: bool, parent: str | None = None, shape: str = "value", names: list | None = None, types: list | None = None, result: str = "", span: tuple | None = None) -> None:
-        a, b = self.t[i].start, self.t[j - 1].end
+        a, b = self.t[i].start, self.t[min(j, len(self.t)) - 1].end
         c, d = span or (a, b)
         row = {"name": name, "kind": kind, "start_line": self.line(a), "end_line": self.line(b - 1), "start_pos": self.offset(c), "end_pos": self.offset(d), "is_exported": exported, "parent": parent, "shape": shape, "names": names or [], "types": types or [], "result": result}
         self.found.setdefault(group, [[]])[-1].append(row)
