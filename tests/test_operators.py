@@ -220,3 +220,39 @@ def test_prompt_and_stream(spark):
     assert "CONTEXT" in text and text.endswith("do it")
     chunks = spark.createDataFrame([(1, 2, "b"), (1, 1, "a")], "intent_id long, seq int, text string")
     assert intent.joined_stream(chunks).first().response == "ab"
+
+
+def test_keys_find_every_pair_that_scores(spark):
+    """Pairs by shared keys against all pairs, on short names and hints that contain and overlap each other."""
+    import random
+
+    r = random.Random(5)
+    word = lambda: "".join(r.choices(["a", "ab", "Ab", "bc", "Abc", "abcd", "Z", "9", "_", "é", "😀"], k=r.randint(0, 4)))
+    symbols = spark.createDataFrame([(f"/ws/{word()}.ts#{k}", word(), f"/ws/{word()}.ts", k % 3 == 0, k) for k in range(70)], "id string, name string, file_path string, is_exported boolean, ord int").cache()
+    rows = [(k, f"{word()} {word()}c {word()}abc", "modify", [word() for _ in range(k % 3)], [f"{word()}.ts" for _ in range(k % 2)], True) for k in range(50)]
+    rows += [(100 + k, "", "modify", [], [s.file_path[4:].upper()], True) for k, s in enumerate(symbols.limit(10).collect())]
+    intents = spark.createDataFrame(rows, "intent_id long, prompt string, change_type string, symbol_hints array<string>, file_hints array<string>, affects_public_api boolean")
+    found = {(x.intent_id, x.id, round(x.score, 9)) for x in intent.hint_candidates(intents, symbols, "/ws").collect()}
+    said = {(x.intent_id, x.id, round(x.score, 9)) for x in intent.keyword_candidates(intents, symbols).collect()}
+    pairs, same = intent._paired, F.array(F.lit("k"))
+    try:
+        intent._paired = lambda s, i: pairs(s.withColumn("keys", same), i.withColumn("keys", same))
+        assert found == {(x.intent_id, x.id, round(x.score, 9)) for x in intent.hint_candidates(intents, symbols, "/ws").collect()} and len(found) > 100
+        assert said == {(x.intent_id, x.id, round(x.score, 9)) for x in intent.keyword_candidates(intents, symbols).collect()} and len(said) > 100
+    finally:
+        intent._paired = pairs
+
+
+def test_numbers_are_dense_along_the_order(spark):
+    from tremor.operators.numbering import numbered
+
+    df = spark.range(0, 5000).select(((F.col("id") * 7919) % 5000).alias("k"), F.lit("x").alias("at"))
+    got = numbered(df, "n", F.desc("k")).collect()
+    assert sorted((r.n, r.k) for r in got) == [(n, 4999 - n) for n in range(5000)] and got[0].at == "x"
+    assert numbered(df.limit(0), "n", "k").collect() == []
+
+
+def test_positions_count_utf16_units(spark):
+    text = "a😀\né\n😀x"
+    assert tuple(one(spark, index.char_range(F.lit(text), F.lit(2), F.lit(2)))) == (4, 5)
+    assert tuple(one(spark, index.char_range(F.lit(text), F.lit(3), F.lit(9)))) == (6, 8)

@@ -107,7 +107,7 @@ def tokenise(text: Column) -> Column:
     """Lower-case tokens at case changes and at what is neither letter nor digit; short ones only of short texts."""
     spaced = F.regexp_replace(F.regexp_replace(text, "([a-z])([A-Z])", "$1 $2"), "([A-Z]+)([A-Z][a-z])", "$1 $2")
     raw = F.filter(F.split(F.lower(spaced), "[^a-z0-9]+"), lambda t: t != "")
-    return F.when(F.length(text) <= 4, raw).otherwise(F.filter(raw, lambda t: F.length(t) > 2))
+    return F.when(units16(text) <= 4, raw).otherwise(F.filter(raw, lambda t: F.length(t) > 2))  # tokens are ASCII
 
 
 def overlap(a: Column, b: Column) -> Column:
@@ -124,7 +124,8 @@ def token_overlap(a: Column, b: Column, ta: Column, tb: Column) -> Column:
 def symbol_hint_score(hint: Column, name: Column, hint_tokens: Column | None = None, name_tokens: Column | None = None) -> Column:
     """1 for equal names, a length ratio for containment (nothing below 0.4), else scaled token overlap; or null."""
     h, n = F.lower(hint), F.lower(name)
-    ratio = F.least(F.length(h), F.length(n)).cast("double") / F.greatest(F.length(h), F.length(n))
+    lh, ln = units16(h), units16(n)
+    ratio = F.least(lh, ln).cast("double") / F.greatest(lh, ln)
     shared = token_overlap(hint, name, tokenise(hint) if hint_tokens is None else hint_tokens, tokenise(name) if name_tokens is None else name_tokens)
     inside = F.when(ratio >= 0.40, F.lit(0.5) + F.lit(0.3) * ratio)
     return F.when(h == n, F.lit(1.0)).when(n.contains(h) | h.contains(n), inside).when(shared >= 0.25, shared * 0.9)

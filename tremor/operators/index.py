@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from tremor.functions.text import name_of_first, normal_path
+from tremor.functions.text import name_of_first, normal_path, units16
+from tremor.operators.numbering import numbered
 
 #: Symbol kinds that an extractor may emit.
 KINDS = ("function", "class", "method", "property", "interface", "type", "enum", "variable")
@@ -98,7 +99,7 @@ def ghosts(edges: DataFrame, symbols: DataFrame) -> DataFrame:
 
 
 def char_range(text: Column, start_line: Column, end_line: Column) -> Column:
-    """(start, end) offsets of a range of lines (from 1, clamped); (0, -1) for an empty text.
+    """(start, end) offsets, in UTF-16 units, of a range of lines (from 1, clamped); (0, -1) for an empty text.
 
     The end is the place before the next line's start, or the last character in the last line.
     """
@@ -106,8 +107,8 @@ def char_range(text: Column, start_line: Column, end_line: Column) -> Column:
     n = F.size(lines)
     lo = F.least(F.greatest(start_line, F.lit(1)), n)
     hi = F.least(F.greatest(end_line, F.lit(1)), n)
-    before = lambda k: F.aggregate(F.slice(lines, 1, k), F.lit(0), lambda acc, x: acc + F.length(x) + 1)
-    end = F.when(hi >= n, F.length(text) - 1).otherwise(before(hi) - 1)
+    before = lambda k: F.aggregate(F.slice(lines, 1, k), F.lit(0), lambda acc, x: acc + units16(x) + 1)
+    end = F.when(hi >= n, units16(text) - 1).otherwise(before(hi) - 1)
     return F.struct(F.when(text == "", 0).otherwise(before(lo - 1)).alias("start"), F.when(text == "", -1).otherwise(end).alias("end"))
 
 
@@ -139,7 +140,6 @@ def graph_elements(edges: DataFrame, symbols: DataFrame, roots: DataFrame, impac
     """Nodes (id, symbol_id, label, role, degree) and edges (id, source, target) for a drawing.
 
     Nodes are all ends of edges and all roots and impacted symbols; dense ids follow symbol ids, edge ids follow ends.
-    Numbering a whole graph needs one order over it: dense ids are for what a screen can show.
     """
     ends = edges.select(F.col("src").alias("symbol_id")).union(edges.select(F.col("dst").alias("symbol_id")))
     every = ends.union(roots.select("symbol_id")).union(impact.select("symbol_id")).distinct()
@@ -148,10 +148,8 @@ def graph_elements(edges: DataFrame, symbols: DataFrame, roots: DataFrame, impac
     known = every.join(symbols.select(F.col("id").alias("symbol_id"), "name"), "symbol_id", "left")
     known = known.join(roots.select("symbol_id").distinct().withColumn("is_root", F.lit(True)), "symbol_id", "left").join(impact.select("symbol_id", "role"), "symbol_id", "left")
     degree = ends.groupBy("symbol_id").agg(F.count("*").alias("degree"))
-    number = F.row_number().over(Window.orderBy("symbol_id")) - 1
-    nodes = known.join(degree, "symbol_id", "left").select(F.concat(F.lit("n"), number).alias("id"), "symbol_id", label.alias("label"), role.alias("role"), F.coalesce("degree", F.lit(0)).alias("degree"))
-    pair = F.row_number().over(Window.orderBy("src", "dst")) - 1
-    arrows = edges.select("src", "dst", F.concat(F.lit("e"), pair).alias("id"))
+    nodes = numbered(known.join(degree, "symbol_id", "left"), "at", "symbol_id").select(F.concat(F.lit("n"), "at").alias("id"), "symbol_id", label.alias("label"), role.alias("role"), F.coalesce("degree", F.lit(0)).alias("degree"))
+    arrows = numbered(edges.select("src", "dst"), "at", "src", "dst").select("src", "dst", F.concat(F.lit("e"), "at").alias("id"))
     a, b = nodes.select(F.col("symbol_id").alias("src"), F.col("id").alias("source")), nodes.select(F.col("symbol_id").alias("dst"), F.col("id").alias("target"))
     return nodes, arrows.join(a, "src").join(b, "dst").select("id", "source", "target")
 

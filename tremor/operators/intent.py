@@ -8,15 +8,43 @@ from tremor.functions import text as X
 from tremor.operators import roots as R, traversal
 from tremor.plans.lineage import cut
 
-#: Intents that are sent to every task of a scan over symbols; more are paired by partitions.
-BROADCAST = 4096
 HINTS, KEYWORDS = 20, 10
+#: Below so many characters names also have keys of one and two; a shorter text inside a longer one has two fifths of it.
+SHORT = 10
+
+
+def _grams(text: Column) -> Column:
+    """Strings of three characters in a text; of a short one also those of one and two, of an empty one itself."""
+    n, none = F.length(text), F.array().cast("array<string>")
+    of = lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(1), n - (k - 1)), lambda i: F.substring(text, i, F.lit(k)))).otherwise(none)
+    return F.concat(of(3), F.when(n < SHORT, F.concat(of(1), of(2))).otherwise(none), F.when(n == 0, F.array(F.lit(""))).otherwise(none))
+
+
+def _tagged(tag: str, values: Column) -> Column:
+    return F.transform(values, lambda v: F.concat(F.lit(tag), v))
+
+
+def _name_keys(name: Column, tokens: Column) -> Column:
+    """What a name can meet a hint or word by: strings in it (i), its own start (s), its tokens (t)."""
+    low = F.lower(name)
+    return F.concat(_tagged("i", _grams(low)), _tagged("s", F.array(F.substring(low, 1, 3))), _tagged("t", tokens))
+
+
+def _hint_keys(hint: Column, tokens: Column) -> Column:
+    """Equal names, a name around the hint, one inside of it, or shared tokens: one key at least is a name's, too."""
+    low = F.lower(hint)
+    return F.concat(_tagged("i", F.array(F.substring(low, 1, 3))), _tagged("s", _grams(low)), _tagged("t", tokens))
+
+
+def _word_keys(word: Column) -> Column:
+    """A word in a name, at a token's start or going on from a token, which may be of one or two letters."""
+    return F.concat(_tagged("i", F.array(F.substring(word, 1, 3))), _tagged("t", F.array(F.substring(word, 1, 1), F.substring(word, 1, 2))))
 
 
 def _paired(symbols: DataFrame, intents: DataFrame) -> DataFrame:
-    """Each symbol with each intent. Prompts are few beside symbols, which is checked before they are broadcast."""
-    few = len(intents.select("intent_id").limit(BROADCAST + 1).collect()) <= BROADCAST
-    return symbols.crossJoin(F.broadcast(intents) if few else intents)
+    """Symbols and intents that share a key, each pair once; both have an array ``keys``, which goes."""
+    each = symbols.select("id", F.explode(F.array_distinct("keys")).alias("key")).join(intents.select("intent_id", F.explode(F.array_distinct("keys")).alias("key")), "key")
+    return each.select("id", "intent_id").distinct().join(symbols.drop("keys"), "id").join(intents.drop("keys"), "intent_id")
 
 
 def _improving(hints: Column, score) -> Column:
@@ -38,9 +66,13 @@ def _with_tokens(hints: Column, text=lambda h: h) -> Column:
 def hint_candidates(intents: DataFrame, symbols: DataFrame, root: str) -> DataFrame:
     """Symbols that hints point to: intent_id, id, name, file_path, ord, score (0.45 and above), matched_hints."""
     asked = intents.select("intent_id", _with_tokens(F.col("symbol_hints")).alias("sh"), _with_tokens(F.col("file_hints"), lambda h: F.lower(X.normal_path(h))).alias("fh")).filter("size(sh) + size(fh) > 0")
+    # By the least score that counts, an intent with name hints needs one that scores, another one the very file.
+    by_names = F.flatten(F.transform("sh", lambda h: _hint_keys(h["hint"], h["tokens"])))
+    by_files = _tagged("f", F.transform("fh", lambda h: F.lower(X.normal_path(h["hint"]))))
+    asked = asked.withColumn("keys", F.when(F.size("sh") > 0, by_names).otherwise(by_files))
     key = X.file_key(F.col("file_path"), root)
     own = symbols.select("id", "name", "file_path", "is_exported", "ord", X.tokenise(F.col("name")).alias("tokens"), key.alias("key"), X.tokenise(key).alias("key_tokens"))
-    pairs = _paired(own, asked)
+    pairs = _paired(own.withColumn("keys", F.concat(_name_keys(F.col("name"), F.col("tokens")), _tagged("f", F.array("key")))), asked)
     by_name = _improving(F.col("sh"), lambda h: X.symbol_hint_score(h["hint"], F.col("name"), h["tokens"], F.col("tokens")))
     by_file = _improving(F.col("fh"), lambda h: X.file_hint_score(h["hint"], F.col("key"), h["tokens"], F.col("key_tokens")))
     s, f = F.col("s.best"), F.col("f.best")
@@ -54,7 +86,7 @@ def keyword_candidates(intents: DataFrame, symbols: DataFrame, least: float = 0.
     """Symbols that words of the prompt point to, like hint_candidates."""
     asked = intents.select("intent_id", X.keywords(F.col("prompt")).alias("words")).filter("size(words) > 0")
     own = symbols.select("id", "name", "file_path", "is_exported", "ord", X.tokenise(F.col("name")).alias("tokens"))
-    pairs = _paired(own, asked)
+    pairs = _paired(own.withColumn("keys", _name_keys(F.col("name"), F.col("tokens"))), asked.withColumn("keys", F.flatten(F.transform("words", _word_keys))))
     plain = X.keyword_score(F.col("words"), F.col("name"), F.col("tokens"))
     scored = pairs.withColumn("plain", plain).filter("plain is not null")
     score = F.least(F.lit(1.0), F.when(F.col("is_exported"), F.col("plain") + 0.05).otherwise(F.col("plain")))
@@ -127,11 +159,14 @@ def confidence_histogram(predicted: DataFrame) -> DataFrame:
     return predicted.groupBy("confidence").agg(F.count("*").alias("n"))
 
 
-def without_deleted(intents: DataFrame, resolved: DataFrame, symbols: DataFrame) -> DataFrame:
-    """The index as deletions would leave it, for each intent that deletes (intent_id, id)."""
-    gone = resolved.join(intents.filter("change_type = 'delete'").select("intent_id"), "intent_id", "left_semi").select("intent_id", F.col("symbol_id").alias("id"))
-    runs = intents.filter("change_type = 'delete'").select("intent_id")
-    return _paired(symbols.select("id"), runs).join(gone, ["intent_id", "id"], "left_anti")
+def deletions(intents: DataFrame, resolved: DataFrame) -> DataFrame:
+    """What each intent that deletes takes from the index (intent_id, id)."""
+    return resolved.join(intents.filter("change_type = 'delete'").select("intent_id"), "intent_id", "left_semi").select("intent_id", F.col("symbol_id").alias("id")).distinct()
+
+
+def without_deleted(intents: DataFrame, resolved: DataFrame, symbols: DataFrame, intent_id: int) -> DataFrame:
+    """The index as one intent's deletion would leave it; the graph stays as it is."""
+    return symbols.join(deletions(intents, resolved).filter(F.col("intent_id") == intent_id).select("id"), "id", "left_anti").select(*symbols.columns)
 
 
 # Text for a language model, and its answer.

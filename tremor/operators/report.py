@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tremor.functions.text import file_of_first, name_of_first, relative_path
+from tremor.operators.numbering import numbered
 
 ROLE_ORDER = ("root", "direct", "indirect")
 HIGH_RISK = ("deleted", "signature-ripple")
@@ -44,6 +45,16 @@ def impacted_modules(listed: DataFrame) -> DataFrame:
     return listed.groupBy("rel_path").agg(count("root").alias("root_count"), count("direct").alias("direct_count"), count("indirect").alias("indirect_count"), F.count("*").alias("total"))
 
 
+def ranked_modules(listed: DataFrame) -> DataFrame:
+    """Files with rank (from 0): most roots first, then most symbols, then by path."""
+    return numbered(impacted_modules(listed), "rank", F.desc("root_count"), F.desc("total"), F.col("rel_path"))
+
+
+def ranked_risks(listed: DataFrame, confidence: Column | None = None) -> DataFrame:
+    """Risky symbols with rank (from 0): high to low, roots before direct and indirect ones, then by id."""
+    return numbered(risks(listed, confidence), "rank", risk_rank(F.col("level")), role_rank(F.col("role")), F.col("symbol_id"))
+
+
 def downstream(roots: DataFrame, edges: DataFrame) -> DataFrame:
     """Direct dependents of each root (root_id, dependent); roots without are left out."""
     return roots.select(F.col("symbol_id").alias("dst")).join(edges, "dst").select(F.col("dst").alias("root_id"), F.col("src").alias("dependent")).distinct()

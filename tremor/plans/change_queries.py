@@ -55,13 +55,15 @@ def pre_removal(w: Workspace) -> DataFrame:
     return diff.dependents_before(w.star_edges(), w.star_symbols().filter("tbl = 'customer' and k % 5 = 0"))
 
 
+#: Length in UTF-16 units.
+_UNITS = r"length(regexp_replace({}, '[^\x{{0}}-\x{{FFFF}}]', 'xx', 'g'))"
 _RANGES = """, spans AS (SELECT h.file_path, n.text, h.new_start AS a, h.new_start + h.new_count - 1 AS b, h.new_count FROM doc_hunks h JOIN doc_new n USING (file_path)),
 sp AS (SELECT *, len(string_split(text, chr(10))) AS lines FROM spans),
 cl AS (SELECT *, least(greatest(a, 1), lines) AS lo, least(greatest(b, 1), lines) AS hi FROM sp),
-r AS (SELECT file_path, new_count, CAST(list_sum(list_transform(string_split(text, chr(10))[1:lo - 1], lambda x: length(x) + 1)) AS BIGINT) AS s0,
-  CAST(list_sum(list_transform(string_split(text, chr(10))[1:hi], lambda x: length(x) + 1)) AS BIGINT) AS e0, length(text) AS n, hi >= lines AS final, text FROM cl),
+r AS (SELECT file_path, new_count, CAST(list_sum(list_transform(string_split(text, chr(10))[1:lo - 1], lambda x: {u} + 1)) AS BIGINT) AS s0,
+  CAST(list_sum(list_transform(string_split(text, chr(10))[1:hi], lambda x: {u} + 1)) AS BIGINT) AS e0, {ut} AS n, hi >= lines AS final, text FROM cl),
 ranges AS (SELECT file_path, new_count, CASE WHEN text = '' THEN 0 ELSE CAST(coalesce(s0, 0) AS INTEGER) END AS "start", CASE WHEN text = '' THEN -1 WHEN final THEN CAST(n - 1 AS INTEGER) ELSE CAST(e0 - 1 AS INTEGER) END AS "end" FROM r)
-"""
+""".replace("{u}", _UNITS.format("x")).replace("{ut}", _UNITS.format("text"))
 
 
 @query(oracle(_RANGES + 'SELECT file_path, "start" AS start_pos, "end" AS end_pos FROM ranges', "doc_hunks"))

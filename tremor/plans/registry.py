@@ -31,4 +31,4 @@ def query(sql: str | None = None, bounded: str | None = None):
     return add
 
 
-from tremor.plans import change_queries, graph_queries, intent_queries, report_queries, source_queries  # noqa: E402, F401  they register
+from tremor.plans import cache_queries, change_queries, graph_queries, intent_queries, report_queries, source_queries  # noqa: E402, F401  they register
