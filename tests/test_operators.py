@@ -222,7 +222,7 @@ def test_prompt_and_stream(spark):
     assert intent.joined_stream(chunks).first().response == "ab"
 
 
-def test_keys_find_every_pair_that_scores(spark):
+def test_keys_find_every_pair_that_scores(spark, monkeypatch):
     """Pairs by shared keys against all pairs, on short names and hints that contain and overlap each other."""
     import random
 
@@ -232,15 +232,12 @@ def test_keys_find_every_pair_that_scores(spark):
     rows = [(k, f"{word()} {word()}c {word()}abc", "modify", [word() for _ in range(k % 3)], [f"{word()}.ts" for _ in range(k % 2)], True) for k in range(50)]
     rows += [(100 + k, "", "modify", [], [s.file_path[4:].upper()], True) for k, s in enumerate(symbols.limit(10).collect())]
     intents = spark.createDataFrame(rows, "intent_id long, prompt string, change_type string, symbol_hints array<string>, file_hints array<string>, affects_public_api boolean")
-    found = {(x.intent_id, x.id, round(x.score, 9)) for x in intent.hint_candidates(intents, symbols, "/ws").collect()}
-    said = {(x.intent_id, x.id, round(x.score, 9)) for x in intent.keyword_candidates(intents, symbols).collect()}
-    pairs, same = intent._paired, F.array(F.lit("k"))
-    try:
-        intent._paired = lambda s, i: pairs(s.withColumn("keys", same), i.withColumn("keys", same))
-        assert found == {(x.intent_id, x.id, round(x.score, 9)) for x in intent.hint_candidates(intents, symbols, "/ws").collect()} and len(found) > 100
-        assert said == {(x.intent_id, x.id, round(x.score, 9)) for x in intent.keyword_candidates(intents, symbols).collect()} and len(said) > 100
-    finally:
-        intent._paired = pairs
+    score = lambda df: {(x.intent_id, x.id, round(x.score, 9)) for x in df.collect()}
+    both = lambda: (score(intent.hint_candidates(intents, symbols, "/ws")), score(intent.keyword_candidates(intents, symbols)))
+    every = both()
+    assert intents.count() <= intent.BROADCAST and all(len(x) > 100 for x in every)
+    monkeypatch.setattr(intent, "BROADCAST", 5)
+    assert both() == every
 
 
 def test_numbers_are_dense_along_the_order(spark):

@@ -96,3 +96,16 @@ def test_it_never_stops_early_in_silence(spark):
     chain = [(f"n{i + 1}", f"n{i}") for i in range(6)]
     with pytest.raises(RuntimeError):
         traversal.propagate(edges_of(spark, chain), roots_of(spark, [("n0", "deep")]), most=3).collect()
+
+
+def test_hubs_are_dealt_in_slices(spark, monkeypatch):
+    rows = [("h", "deep"), ("z", "deep"), ("k", "shallow")]
+    pairs = [(f"n{i}", "h") for i in range(40)] + [(f"m{i}", f"n{i % 3}") for i in range(30)] + [(f"s{i}", "k") for i in range(20)] + [("h", "m1"), ("k", "z")]
+    plain = impact(spark, pairs, rows)
+    paths = {tuple(r.path) for r in traversal.explain(edges_of(spark, pairs), roots_of(spark, rows)).collect()}
+    by_root = {tuple(r) for r in traversal.reach_by_root(edges_of(spark, pairs), roots_of(spark, rows)).collect()}
+    monkeypatch.setattr(traversal, "HUB", 4)
+    assert traversal._Edges(edges_of(spark, pairs)).sliced
+    assert impact(spark, pairs, rows) == plain and len(plain) > 80
+    assert {tuple(r.path) for r in traversal.explain(edges_of(spark, pairs), roots_of(spark, rows)).collect()} == paths
+    assert {tuple(r) for r in traversal.reach_by_root(edges_of(spark, pairs), roots_of(spark, rows)).collect()} == by_root

@@ -8,6 +8,8 @@ from tremor.functions import text as X
 from tremor.operators import roots as R, traversal
 from tremor.plans.lineage import cut
 
+#: Intents, and bytes of them, that are sent to every task of a scan over symbols; more are joined by keys.
+BROADCAST, BROADCAST_BYTES = 64, 1 << 20
 HINTS, KEYWORDS = 20, 10
 #: Below so many characters names also have keys of one and two; a shorter text inside a longer one has two fifths of it.
 SHORT = 10
@@ -42,7 +44,14 @@ def _word_keys(word: Column) -> Column:
 
 
 def _paired(symbols: DataFrame, intents: DataFrame) -> DataFrame:
-    """Symbols and intents that share a key, each pair once; both have an array ``keys``, which goes."""
+    """Symbols and intents that share a key, each pair once; both have an array ``keys``, which goes.
+
+    A few intents, whose size is checked, are held against each symbol in place, whatever the keys: nothing is shuffled.
+    """
+    size = F.octet_length(F.to_json(F.struct(*intents.columns)))
+    first = intents.limit(BROADCAST + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
+    if first.n <= BROADCAST and first.bytes <= BROADCAST_BYTES:
+        return symbols.drop("keys").crossJoin(F.broadcast(intents.drop("keys")))
     each = symbols.select("id", F.explode(F.array_distinct("keys")).alias("key")).join(intents.select("intent_id", F.explode(F.array_distinct("keys")).alias("key")), "key")
     return each.select("id", "intent_id").distinct().join(symbols.drop("keys"), "id").join(intents.drop("keys"), "intent_id")
 

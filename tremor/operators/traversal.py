@@ -13,6 +13,8 @@ from tremor.plans.lineage import cut
 
 #: Levels after which the search gives up with an error; it never stops early in silence.
 MOST = 10_000
+#: Edges into one symbol that a task joins.
+HUB = 1_000_000
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -36,10 +38,29 @@ def _levels(start: DataFrame, keys: list[str], step, most: int) -> DataFrame:
     raise RuntimeError(f"impact has not settled after {most} levels")
 
 
-def _by_target(edges: DataFrame, *columns) -> DataFrame:
-    """Distinct edges, dealt by dst and kept: each level joins with them in place and shuffles only its frontier."""
-    n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return cut(edges.select("src", "dst", *columns).repartition(n, "dst").distinct())
+class _Edges:
+    """Distinct edges, dealt by dst and kept: each level joins with them in place and shuffles only its frontier.
+
+    The edges of a hub, a dst with more than HUB of them, are dealt in slices; a frontier's hubs go to all of theirs.
+    """
+
+    def __init__(self, edges: DataFrame, *columns):
+        n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        kept = edges.select("src", "dst", *columns).distinct()
+        self.hubs = cut(kept.groupBy("dst").agg(F.count("*").alias("n")).filter(F.col("n") > HUB).select("dst", F.ceil(F.col("n") / HUB).cast("int").alias("slices")))
+        self.sliced = not self.hubs.isEmpty()
+        if self.sliced:  # hubs are at most one for every HUB edges; Spark checks their size before it broadcasts
+            salt = F.pmod(F.xxhash64("src"), F.coalesce("slices", F.lit(1))).cast("int")
+            kept = kept.join(self.hubs, "dst", "left").withColumn("slice", salt).drop("slices")
+        self.table = cut(kept.repartition(n, "dst", *(["slice"] if self.sliced else [])))
+
+    def out_of(self, frontier: DataFrame, node: str = "node") -> DataFrame:
+        """Rows of the frontier with each edge into their node."""
+        if not self.sliced:
+            return frontier.join(self.table, F.col(node) == F.col("dst"))
+        wide = frontier.join(self.hubs.select(F.col("dst").alias("_hub"), "slices"), F.col(node) == F.col("_hub"), "left")
+        wide = wide.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.coalesce("slices", F.lit(1)) - 1))).drop("_hub", "slices")
+        return wide.join(self.table, (F.col(node) == F.col("dst")) & (F.col("_slice") == F.col("slice"))).drop("_slice", "slice")
 
 
 def _with_run(roots: DataFrame) -> DataFrame:
@@ -57,16 +78,16 @@ def propagate(edges: DataFrame, roots: DataFrame, most: int = MOST) -> DataFrame
     roots reach keeps its depth even if a shallow root depends on it directly.
     """
     roots = cut(_with_run(roots).select("run", "symbol_id", "mode").distinct())
-    edges = _by_target(edges)
+    edges = _Edges(edges)
     deep = roots.filter("mode = 'deep'").select("run", F.col("symbol_id").alias("node"), F.lit(0).alias("depth"))
 
     def step(frontier: DataFrame) -> DataFrame:
-        return frontier.join(edges, F.col("node") == F.col("dst")).select("run", F.col("src").alias("node"), (F.col("depth") + 1).alias("depth")).distinct()
+        return edges.out_of(frontier).select("run", F.col("src").alias("node"), (F.col("depth") + 1).alias("depth")).distinct()
 
     reached = _levels(deep, ["run", "node"], step, most)
     names = roots.select("run", F.col("symbol_id").alias("node")).distinct()
     listed = reached.filter("depth > 0").join(names, ["run", "node"], "left_anti")
-    near = roots.filter("mode = 'shallow'").join(edges, F.col("symbol_id") == F.col("dst")).select("run", F.col("src").alias("node")).distinct()
+    near = edges.out_of(roots.filter("mode = 'shallow'"), "symbol_id").select("run", F.col("src").alias("node")).distinct()
     near = near.join(names, ["run", "node"], "left_anti").join(reached.select("run", "node"), ["run", "node"], "left_anti").withColumn("depth", F.lit(1))
     out = listed.unionByName(near)
     return out.select("run", F.col("node").alias("symbol_id"), "depth", role_of(F.col("depth")).alias("role"))
@@ -75,11 +96,11 @@ def propagate(edges: DataFrame, roots: DataFrame, most: int = MOST) -> DataFrame
 def reach_by_root(edges: DataFrame, roots: DataFrame, most: int = MOST) -> DataFrame:
     """Which roots reach a symbol: run, symbol_id, root_id, depth; what ``explain`` gives, without the paths."""
     roots = cut(_with_run(roots).groupBy("run", "symbol_id").agg(F.min("ord").alias("ord"), F.max(F.col("mode") == "deep").alias("is_deep")))
-    edges = _by_target(edges)
+    edges = _Edges(edges)
     start = roots.filter("is_deep").select("run", F.col("symbol_id").alias("root_id"), F.col("symbol_id").alias("node"), F.lit(0).alias("depth"))
 
     def step(frontier: DataFrame) -> DataFrame:
-        return frontier.join(edges, F.col("node") == F.col("dst")).select("run", "root_id", F.col("src").alias("node"), (F.col("depth") + 1).alias("depth")).distinct()
+        return edges.out_of(frontier).select("run", "root_id", F.col("src").alias("node"), (F.col("depth") + 1).alias("depth")).distinct()
 
     reached = _levels(start, ["run", "root_id", "node"], step, most)
     names = roots.select("run", F.col("symbol_id").alias("node"))
@@ -88,9 +109,9 @@ def reach_by_root(edges: DataFrame, roots: DataFrame, most: int = MOST) -> DataF
     return deep.unionByName(near).select("run", F.col("node").alias("symbol_id"), "root_id", "depth")
 
 
-def _shallow(edges: DataFrame, roots: DataFrame, names: DataFrame, reached: DataFrame) -> DataFrame:
+def _shallow(edges: _Edges, roots: DataFrame, names: DataFrame, reached: DataFrame) -> DataFrame:
     """Direct dependents of shallow roots that are no roots and that no deep root reaches, with the first such root."""
-    near = roots.filter("not is_deep").join(edges, F.col("symbol_id") == F.col("dst")).select("run", F.col("src").alias("node"), F.col("symbol_id").alias("root_id"), F.col("ord").alias("root_ord"))
+    near = edges.out_of(roots.filter("not is_deep"), "symbol_id").select("run", F.col("src").alias("node"), F.col("symbol_id").alias("root_id"), F.col("ord").alias("root_ord"))
     near = near.join(names, ["run", "node"], "left_anti").join(reached.select("run", "node").distinct(), ["run", "node"], "left_anti")
     return near.groupBy("run", "node").agg(F.min_by("root_id", "root_ord").alias("root_id"), F.min("root_ord").alias("root_ord"))
 
@@ -104,12 +125,12 @@ def explain(edges: DataFrame, roots: DataFrame, most: int = MOST) -> DataFrame:
     """
     roots = cut(_with_run(roots).groupBy("run", "symbol_id").agg(F.min("ord").alias("ord"), F.max(F.col("mode") == "deep").alias("is_deep")))
     place = F.struct(F.col("ord")) if "ord" in edges.columns else F.struct("src", "dst")
-    edges = _by_target(edges, place.alias("place"))
+    edges = _Edges(edges, place.alias("place"))
     start = roots.filter("is_deep").select("run", F.col("symbol_id").alias("root_id"), F.col("ord").alias("root_ord"), F.col("symbol_id").alias("node"), F.array("symbol_id").alias("path"))
-    start = start.withColumn("places", F.array().cast(f"array<{edges.schema['place'].dataType.simpleString()}>"))
+    start = start.withColumn("places", F.array().cast(f"array<{edges.table.schema['place'].dataType.simpleString()}>"))
 
     def step(frontier: DataFrame) -> DataFrame:
-        found = frontier.join(edges, F.col("node") == F.col("dst"))
+        found = edges.out_of(frontier)
         found = found.select("run", "root_id", "root_ord", F.col("src").alias("node"), F.concat("path", F.array("src")).alias("path"), F.concat("places", F.array("place")).alias("places"))
         return found.groupBy("run", "root_id", "root_ord", "node").agg(F.min_by("path", "places").alias("path"), F.min("places").alias("places"))
 
