@@ -83,6 +83,25 @@ def key(r):
     return tuple((x is None, x or 0) for x in r)
 
 
+def test_far_blocks_are_not_looked_at(spark, monkeypatch):
+    monkeypatch.setattr(topk, "DATA", 64)
+    monkeypatch.setattr(topk, "QUERIES", 16)
+    r = np.random.default_rng(12)
+    way = r.standard_normal((12, 24))
+    way *= 4000 / np.linalg.norm(way, axis=1, keepdims=True)
+    x = np.floor(way[np.arange(1500) % 12] + r.standard_normal((1500, 24)) * 60).astype(np.int64)
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, vector array<long>")
+    hits, pairs, left = topk.searched(rows, 5, 20)
+    assert left.count() < pairs.count() // 2  # of pairs of blocks beside the first of each query block
+    got = {}
+    for h in hits.collect():
+        got.setdefault(h.query_id, set()).add((-h.score, h.vec_id))
+    for q in range(0, 1500, 20):
+        score = x @ x[q]
+        want = sorted((-int(s), k) for k, s in enumerate(score.tolist()) if k != q)[:5]
+        assert sorted(got[q])[:5] == want
+
+
 def test_cap_filters_on_odd_rows(spark, odd):
     got = sorted((tuple(r) for r in caps.near_duplicates(odd).collect()), key=key)
     assert got == sorted(brute_links([(r.vec_id, r.embedding) for r in odd.collect()]), key=key)

@@ -3,13 +3,19 @@
 Data and queries are cut into blocks; each block is indexed once.  A cover tree's node is a centre, the largest distance
 from it to the node's points (its covering radius) and a range of points.  A node's children have centres that are
 further apart than half its radius, each the point farthest from those before it, until all points are covered within
-that (or ``FANOUT`` centres stand; a child that is still wide is cut again).  Each data block meets each query block in one task, which walks
-both trees together: a pair of nodes is left out when no inner product between their points can reach the worst k-th
+that (or ``FANOUT`` centres stand; a child that is still wide is cut again).  A task walks the trees of a query block and a
+data block together: a pair of nodes is left out when no inner product between their points can reach the worst k-th
 score in the query node,
 
     <q, p>  <=  <cq, cp> + Rq |cp| + Rp |cq| + Rq Rp,
 
-and pairs are taken in the order of that bound.  The k best of each query and block are merged by a window.
+and pairs are taken in the order of that bound.
+
+Rows are dealt to blocks by the nearest of a few pivots (the rows of the smallest hashes, ``PIVOTS`` at most), so that a
+block is a neighbourhood; a pivot with many rows has several blocks.  A query block first meets the data block of the
+best bound between their roots.  The k-th scores that this gives go with it to the others, and pairs of blocks whose
+bound is below the worst of them are dropped before their trees are sent anywhere.  The k best of each query and block
+are merged by a window.
 
 The result is exact: ties go to the smaller id, and a pair whose bound equals the k-th score is still looked at.
 Components are integers, floor(scale * x), so scores are exact as long as they are below 2**53.
@@ -31,7 +37,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from . import blocks as B
 
 #: Rows of a data block and of a query block.
-DATA, QUERIES, LEAF, FANOUT = 8192, 8192, 48, 96
+DATA, QUERIES, LEAF, FANOUT = 8192, 2048, 48, 96
+#: Rows that blocks gather around.
+PIVOTS = 256
 
 
 class Tree:
@@ -102,10 +110,14 @@ class Tree:
             todo += self.children[k]
 
 
-def search(q: Tree, p: Tree, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each query (in q's order) the k best scores, highest first, and their ids; -inf and -1 where there are fewer."""
+def search(q: Tree, p: Tree, k: int, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """For each query (in q's order) the k best scores, highest first, and their ids; -inf and -1 where there are fewer.
+
+    floor: scores (in q's order) below which nothing need be found.
+    """
     n = len(q.ids)
     score, ids = np.full((n, k), -np.inf), np.full((n, k), -1, np.int64)
+    least = np.full(n, -np.inf) if floor is None else floor.astype(np.float64)  # the k-th score, or the floor
     if not n or not len(p.ids):
         return score, ids
 
@@ -120,24 +132,25 @@ def search(q: Tree, p: Tree, k: int) -> tuple[np.ndarray, np.ndarray]:
     while stack:
         bound, a, b = stack.pop()
         lo, hi = q.range[a]
-        if slack(bound) < score[lo:hi, -1].min():
+        if slack(bound) < least[lo:hi].min():
             continue
         ca, cb = q.children[a], p.children[b]
         if not ca and not cb:
             s, e = p.range[b]
             new = q.points[lo:hi] @ p.points[s:e].T
             new[q.ids[lo:hi][:, None] == p.ids[s:e][None]] = -np.inf
-            rows = np.flatnonzero((new >= score[lo:hi, -1:]).any(axis=1)) if np.isfinite(score[lo:hi]).all() else np.arange(hi - lo)
+            rows = np.flatnonzero((np.isfinite(new) & (new >= least[lo:hi, None])).any(axis=1))
             if len(rows):
                 both = np.concatenate([score[lo + rows], new[rows]], axis=1)
                 name = np.concatenate([ids[lo + rows], np.broadcast_to(p.ids[s:e], (len(rows), e - s))], axis=1)
                 top = np.lexsort((name, -both), axis=1)[:, :k]
                 score[lo + rows], ids[lo + rows] = np.take_along_axis(both, top, 1), np.take_along_axis(name, top, 1)
+                least[lo + rows] = np.maximum(least[lo + rows], score[lo + rows, -1])
             continue
         left = ca if ca and (not cb or q.radius[a] > p.radius[b]) else [a]
         right = cb if left == [a] else [b]
         u = bounds(left, right)
-        worst = np.array([score[slice(*q.range[x]), -1].min() for x in left])
+        worst = np.array([least[slice(*q.range[x])].min() for x in left])
         ok = u + 1e-9 * np.abs(u) + 1e-6 >= worst[:, None]
         for flat in np.argsort(u, axis=None):  # the best bound comes to the top of the stack
             x, y = divmod(int(flat), len(right))
@@ -158,34 +171,106 @@ def _indexed(table: pa.Table) -> pa.Table:
     order = np.argsort(ids, kind="stable")  # rows arrive in any order; the tree shall not depend on it
     x = np.array(v.flatten()).reshape(len(ids), -1)
     assert (size == x.shape[1]).all()
-    return pa.table([table["block"][:1], pa.array([int(size[0])], pa.int32()), pa.array([B.press(pickle.dumps(Tree(x[order], ids[order])))], pa.binary())], ["block", "dims", "tree"])
+    tree = Tree(x[order], ids[order])
+    root = [pa.array([tree.centre[0].tolist()], pa.list_(pa.float64())), pa.array([float(tree.radius[0])]), pa.array([float(tree.norm[0])])]
+    return pa.table([table["block"][:1], pa.array([int(size[0])], pa.int32()), pa.array([B.press(pickle.dumps(tree))], pa.binary()), *root], ["block", "dims", "tree", "centre", "radius", "norm"])
 
 
-def _blocks(rows: DataFrame, most: int, n: int, name: str) -> DataFrame:
-    """An index for each block: ``name``, dims, tree. Blocks are dealt by a hash of the row, so equal ids can't crowd one."""
-    block = F.pmod(F.xxhash64("id", "vector"), F.lit(max(1, -(-n // most)))) * 100_003 + F.size("vector")
-    return rows.withColumn("block", block).groupBy("block").applyInArrow(_indexed, "block long, dims int, tree binary").withColumnRenamed("block", name)
+def _around(rows: DataFrame, pivots: list[list[int]]) -> DataFrame:
+    """rows with the number of the nearest pivot of their length (0, if there is none)."""
+    of: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for size in {len(p) for p in pivots}:
+        own = [k for k, p in enumerate(pivots) if len(p) == size]
+        of[size] = np.array(own), np.array([pivots[k] for k in own], np.float64)
 
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = batch["vector"]
+            size, flat = np.array(v.value_lengths()), np.array(v.flatten())
+            at, out = np.cumsum(size) - size, np.zeros(len(v), np.int32)
+            for d in np.unique(size).tolist():
+                on = np.flatnonzero(size == d)
+                if d in of:
+                    own, p = of[d]
+                    for lo in range(0, len(on), 4096):
+                        part = on[lo : lo + 4096]
+                        x = flat[at[part][:, None] + np.arange(d)].astype(np.float64)
+                        out[part] = own[((p * p).sum(axis=1) - 2 * x @ p.T).argmin(axis=1)]
+            yield pa.record_batch([batch["id"], v, pa.array(out)], ["id", "vector", "pivot"])
+
+    return rows.select("id", "vector").mapInArrow(nearest, "id long, vector array<long>, pivot int")
+
+
+def _blocks(rows: DataFrame, most: int, name: str) -> DataFrame:
+    """An index for each block: ``name``, dims, tree and the root's centre, radius and norm. rows: id, vector, pivot.
+
+    The rows around a pivot are dealt by a hash of the row to as many blocks as they need, so equal ids can't crowd one.
+    """
+    many = F.broadcast(rows.groupBy("pivot").agg(F.ceil(F.count("*") / F.lit(most)).alias("parts")))  # PIVOTS rows at most
+    dealt = rows.withColumn("dims", F.size("vector")).join(many, "pivot")
+    block = (F.col("dims").cast("long") * F.lit(PIVOTS) + F.col("pivot")) * F.lit(1 << 32) + F.pmod(F.xxhash64("id", "vector"), "parts")
+    schema = "block long, dims int, tree binary, centre array<double>, radius double, norm double"
+    return B.stored(dealt.select(block.alias("block"), "id", "vector").groupBy("block").applyInArrow(_indexed, schema)).withColumnRenamed("block", name)
+
+
+HITS = "query_id long, vec_id long, score long"
 
-def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: the k best for each row whose id is divisible by ``every``."""
-    x = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter(F.col("id").isNotNull() & usable(F.col("v")))
-    rows = B.stored(x.select("id", F.transform("v", lambda c: F.floor(c * F.lit(float(scale))).cast("long")).alias("vector")))
-    queries = rows.filter(F.col("id") % every == 0).dropDuplicates(["id", "vector"])
-    n, nq = rows.count(), queries.count()
-    data = _blocks(rows, DATA, n, "d")
-    asked = B.stored(_blocks(queries, QUERIES, nq, "q")).withColumnRenamed("tree", "asked")
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _hits(q: Tree, score: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    i, j = np.nonzero(np.isfinite(score))
+    return q.ids[i], ids[i, j], score[i, j].astype(np.int64)
+
+
+def _opened(batch: pa.RecordBatch) -> Iterator[tuple[int, Tree, Tree]]:
+    for k, (a, b) in enumerate(zip(batch["asked"], batch["tree"], strict=True)):
+        yield k, *(pickle.loads(B.unpress(t.as_py())) for t in (a, b))
+
+
+def searched(rows: DataFrame, k: int, every: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Hits (query_id, vec_id, score), all pairs of blocks (q, d, bound), and those that were looked at after the first of
+    each query block."""
+    B.small_batches(rows.sparkSession)
+    shards = B.shards(rows.sparkSession, 1)
+    n = rows.count()
+    pivots = rows.orderBy(F.xxhash64("id", "vector"), "id", "vector").limit(min(PIVOTS, max(1, 2 * n // DATA))).collect()
+    near = _around(rows, [r.vector for r in pivots])
+    data = _blocks(near, DATA, "d")
+    asked = _blocks(near.filter(F.col("id") % every == 0).dropDuplicates(["id", "vector"]), QUERIES, "q")
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in zip(batch["asked"], batch["tree"], strict=True):
-                q, p = (pickle.loads(B.unpress(t.as_py())) for t in (a, b))
+            for at, q, p in _opened(batch):
                 score, ids = search(q, p, k)
-                i, j = np.nonzero(np.isfinite(score))
-                yield pa.record_batch([pa.array(q.ids[i]), pa.array(ids[i, j]), pa.array(score[i, j].astype(np.int64))], ["query_id", "vec_id", "score"])
+                floor = score[:, -1]
+                hits = [pa.array([x], pa.list_(pa.int64())) for x in _hits(q, score, ids)]
+                yield pa.record_batch([batch["q"].slice(at, 1), pa.array([float(floor.min())]), pa.array([B.press(floor)], pa.binary()), *hits], ["q", "low", "floor", "query_id", "vec_id", "score"])
+
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, q, p in _opened(batch):
+                found = _hits(q, *search(q, p, k, B.unpress(batch["floor"][at].as_py(), np.float64)))
+                yield pa.record_batch([pa.array(x) for x in found], ["query_id", "vec_id", "score"])
+
+    trees = lambda pairs: pairs.join(asked.select("q", F.col("tree").alias("asked")), "q").join(data.select("d", "tree"), "d")
+    roots = asked.select("q", "dims", F.col("centre").alias("qc"), F.col("radius").alias("qr"), F.col("norm").alias("qn")).join(data.select("d", "dims", "centre", "radius", "norm"), "dims")
+    dot = F.aggregate(F.zip_with("qc", "centre", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
+    bound = dot + F.col("qr") * F.col("norm") + F.col("radius") * F.col("qn") + F.col("qr") * F.col("radius")
+    pairs = B.stored(roots.select("q", "d", bound.alias("bound")))
+    best = pairs.groupBy("q").agg(F.max_by("d", F.struct("bound", "d")).alias("d"))
+    lists = "array<long>"
+    begun = B.stored(trees(best).repartition(shards, "q").select("q", "asked", "tree").mapInArrow(first, f"q long, low double, floor binary, query_id {lists}, vec_id {lists}, score {lists}"))
+    hits = begun.select(F.explode(F.arrays_zip("query_id", "vec_id", "score")).alias("h")).select("h.query_id", "h.vec_id", "h.score")
+    slack = F.abs("bound") * 1e-9 + 1e-6
+    left = pairs.join(best, ["q", "d"], "left_anti").join(begun.select("q", "low", "floor"), "q").filter(F.col("bound") + slack >= F.col("low")).select("q", "d", "floor")
+    more = trees(left).repartition(shards, "q", "d").select("asked", "tree", "floor").mapInArrow(rest, HITS)
+    return hits.union(more), pairs, left
+
 
-    met = asked.join(data, "dims").repartition(B.shards(vectors.sparkSession, 1), "d", "q").select("asked", "tree")
-    best = met.mapInArrow(meet, "query_id long, vec_id long, score long")
+def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """query_id, rank (from 1), vec_id, score: the k best for each row whose id is divisible by ``every``."""
+    x = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter(F.col("id").isNotNull() & usable(F.col("v")))
+    rows = B.stored(x.select("id", F.transform("v", lambda c: F.floor(c * F.lit(float(scale))).cast("long")).alias("vector")))
+    best, _, _ = searched(rows, k, every)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
