@@ -30,8 +30,8 @@ def make_id(file_path: Column, name: Column) -> Column:
 
 
 def units16(text: Column) -> Column:
-    """Length in UTF-16 code units, in which editors count positions."""
-    return (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("int")
+    """Length in UTF-16 code units, in which editors count positions; texts of ASCII alone need no encoding."""
+    return F.when(F.octet_length(text) == F.length(text), F.length(text)).otherwise((F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("int"))
 
 
 def normal_path(path: Column) -> Column:
