@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, caps, chat, cnn, jaccard, lm, packing, sstable, suffix, topk, urls
+from . import bpe, caps, chat, cnn, jaccard, lm, packing, spelling, sstable, suffix, topk, urls
 from .tokens import vocabulary
 
 
@@ -73,6 +73,11 @@ def op10_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", cnn.in_fold("doc_id", keep=False).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """word, form, root, n, n_near, form_n of every word of the documents."""
+    return spelling.variants(_read(spark, sf_dir, "documents"))
+
+
 def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, host, path, rule, verdict of every page's url."""
     return urls.judge(_read(spark, sf_dir, "pages"), urls.train(urls.labels(spark)))
@@ -89,7 +94,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_ngram_trie": op9_ngram_trie,
     "op10_quality_cnn": op10_quality_cnn,
+    "op11_spelling_variants": op11_spelling_variants,
     "op13_url_filters": op13_url_filters,
 }
 
-ORACLES: dict[str, str] = {"op2_cover_topk": topk.ORACLE, "op3_chat_format": chat.ORACLE}
+ORACLES: dict[str, str] = {"op2_cover_topk": topk.ORACLE, "op3_chat_format": chat.ORACLE, "op11_spelling_variants": spelling.ORACLE}
