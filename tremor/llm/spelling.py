@@ -8,7 +8,7 @@ after a segment of the word.  The edit lies in one of a word's two halves, so tw
 words share is replaced by the two frames around the halves of its segment, again and again until its group is small or
 the segment is one letter (then the group is no larger than the alphabet, for each of two lengths).  No pair is lost by
 any of this, and a pair counts under one frame and one band only: the segment of the first letter that differs, and the
-first equal band.  What meets is verified by edit distance.  Groups send numbers of near words and their best one.
+first equal band.  Frames are known by 64-bit hashes; what meets is verified by edit distance.  Groups send numbers of near words and their best one.
 
 Forms lead to words at least ``ratio`` times as frequent, so chains are short; they are followed by pointer doubling.
 
@@ -19,30 +19,86 @@ empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import blocks as B
 
-LETTERS = r"A-Za-zÀ-ÿ"
-#: Letters of a piece of a longer text; a piece ends with a run.
-PIECE = 1 << 20
-#: Bits of the mask, and of a band.
-BITS, BAND = 60, 20
+#: Bytes of texts that are looked through at once.
+SLAB = 1 << 20
+#: Bits of the mask, bands, and bits of a band; letters from the most frequent one on.
+BITS, BANDS = 60, 3
+BAND = BITS // BANDS
+COMMON = "etaoinshrdlcumwfgypbvkjxqz"
 #: Words of a frame's group from which on it is cut; groups are measured on one word in SAMPLE.
-LARGE, SAMPLE = 2048, 32
+LARGE, SAMPLE = 256, 16
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_ASCII = np.zeros(256, bool)
+_ASCII[[*_UPPER.encode(), *_LOWER.encode(), 0xC3]] = True
+_LOW = np.arange(256, dtype=np.uint8)
+_LOW[[*_UPPER.encode()]] += 32
+
+
+def _letters(raw: np.ndarray) -> np.ndarray:
+    """Which bytes belong to letters: A to Z, a to z, and both bytes of U+00C0 to U+00FF, whose first one is 0xC3."""
+    on = _ASCII[raw]
+    on[1:] |= raw[:-1] == 0xC3
+    return on
+
+
+def _slabs(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """Bytes, offsets and first row of slabs of about SLAB bytes; a longer text is cut between its runs."""
+    for lo, hi in B.cuts(offsets, SLAB):
+        a, b = int(offsets[lo]), int(offsets[hi])
+        while b - a > SLAB and hi == lo + 1:
+            c, step = a + SLAB, 1 << 10
+            while c < b:  # the next byte that ends a run
+                gap = np.flatnonzero(~_letters(raw[c : c + step]))
+                gap = gap[gap > 0]  # the first byte may be the second of a letter
+                if len(gap):
+                    c += int(gap[0])
+                    break
+                c, step = min(b, c + step - 1), 2 * step
+            c = min(c, b)
+            yield raw[a:c], np.array([0, c - a]), lo
+            a = c
+        yield raw[a:b], np.maximum(offsets[lo : hi + 1], a) - a, lo
+
+
+def _found(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        raw, offsets = B.flat(batch["text"])
+        for part, at, row in _slabs(raw, offsets):
+            on = _letters(part)
+            edge = np.zeros(len(part) + 1, bool)
+            edge[1:-1] = on[1:] != on[:-1]
+            edge[at] = True
+            cut = np.flatnonzero(edge)
+            cut = cut[: np.searchsorted(cut, len(part), side="right")]
+            start, end = cut[:-1], cut[1:]
+            whole = np.concatenate([[0], np.cumsum((part & 0xC0) != 0x80)])
+            keep = on[start] & (whole[end] - whole[start] >= least) if len(start) else np.zeros(0, bool)
+            start, end = start[keep], end[keep]
+            size = end - start
+            inside = np.zeros(len(part) + 1, np.int8)
+            inside[start] = 1
+            inside[end] -= 1
+            data = _LOW[part[np.cumsum(inside[:-1]).astype(bool)]]
+            offs = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+            run = pa.StringArray.from_buffers(len(size), pa.py_buffer(offs), pa.py_buffer(data))
+            rows = pa.array(row + np.searchsorted(at, start, side="right") - 1)
+            yield pa.record_batch([batch["id"].take(rows), run], ["id", "run"])
+        B.trim()
 
 
 def runs(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
     """id, run: all maximal letter runs of at least ``least`` letters, A-Z lower-cased."""
-    text = F.col("text")
-    long = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{PIECE}}}+[{LETTERS}]*+"), F.lit(0))
-    pieces = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).filter("text is not null")
-    pieces = pieces.select("id", F.explode(F.when(F.length(text) > PIECE, long).otherwise(F.array(text))).alias("text"))
-    found = pieces.select("id", F.explode(F.regexp_extract_all(text, F.lit(f"[{LETTERS}]{{{least},}}+"), F.lit(0))).alias("run"))
-    plain = F.lower("run") == F.col("run")  # lower() also turns letters beyond z, so it only tells that there is nothing to do
-    return found.select("id", F.when(plain, F.col("run")).otherwise(F.translate("run", _UPPER, _LOWER)).alias("run"))
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).filter("text is not null")
+    return rows.mapInArrow(lambda it: _found(it, least), "id string, run string")
 
 
 def words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 7, often: int = 2, drop: int = 31) -> DataFrame:
@@ -59,10 +115,16 @@ def words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
 
 
 def mask(word: Column) -> Column:
-    """Parities of the word's letter classes."""
-    code = lambda c: F.ascii(c)
-    bit = lambda c: F.when(code(c) < 128, code(c) - 97).otherwise(26 + (code(c) - 192) % (BITS - 26))
-    return F.aggregate(F.split(word, ""), F.lit(0).cast("long"), lambda m, c: m.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), bit(c).cast("int"))))
+    """Parities of the word's letter classes; the classes are dealt to the bands in turn, frequent letters first."""
+
+    def bit(c: Column) -> Column:
+        code = F.ascii(c)
+        place = F.when(code < 128, F.instr(F.lit(COMMON), c) - 1).otherwise(26 + (code - 192) % (BITS - 26))
+        return (place % BANDS * BAND + F.floor(place / BANDS)).cast("int")
+
+    one = F.lit(1).cast("long")
+    letters = F.filter(F.split(word, ""), lambda c: c != "")
+    return F.aggregate(letters, F.lit(0).cast("long"), lambda m, c: m.bitwiseXOR(F.call_function("shiftleft", one, bit(c))))
 
 
 def _segments(known: DataFrame) -> DataFrame:
@@ -85,7 +147,9 @@ def _band(m: Column, band: Column) -> Column:
 
 def _keyed(rows: DataFrame) -> DataFrame:
     frame = (F.col("len"), F.col("lo"), F.col("hi"), F.substring("word", F.lit(1), F.col("lo")), F.expr("right(word, len - hi)"))
-    return rows.withColumn("key", F.xxhash64("band", _band(F.col("mask"), F.col("band")), *frame))
+    mid = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
+    own = rows.withColumn("key", F.xxhash64("band", _band(F.col("mask"), F.col("band")), *frame))
+    return own.withColumn("p", F.hash(F.substring("word", F.lit(1), mid))).withColumn("q", F.hash(F.right("word", F.col("len") - mid)))
 
 
 def _crowded(rows: DataFrame, large: int, sample: int) -> DataFrame:
@@ -96,7 +160,7 @@ def _crowded(rows: DataFrame, large: int, sample: int) -> DataFrame:
 
 def met(known: DataFrame, large: int = LARGE, sample: int = SAMPLE) -> DataFrame:
     """Rows with keys under which they meet; known: word, n, mask."""
-    rows = _keyed(_segments(known).withColumn("band", F.explode(F.array(*(F.lit(k) for k in range(BITS // BAND))))))
+    rows = _keyed(_segments(known).withColumn("band", F.explode(F.array(*(F.lit(k) for k in range(BANDS))))))
     done, longest = None, known.agg(F.max(F.length("word"))).first()[0] or 1
     for _ in range(max(1, int(longest)).bit_length()):
         crowded = B.stored(_crowded(rows, large, sample))
@@ -111,14 +175,15 @@ def met(known: DataFrame, large: int = LARGE, sample: int = SAMPLE) -> DataFrame
 def near(known: DataFrame, large: int = LARGE, sample: int = SAMPLE) -> DataFrame:
     """word, n, other, other_n: each word with each of its near words; a pair is found once and sent both ways."""
     rows = met(known, large, sample)
-    a = rows.filter("not short").select("key", "len", "lo", "hi", "band", F.col("word").alias("a"), F.col("n").alias("an"), F.col("mask").alias("am"))
-    b = rows.select("key", F.col("len").alias("blen"), F.col("lo").alias("blo"), F.col("hi").alias("bhi"), F.col("band").alias("bband"), "short", F.col("word").alias("b"), F.col("n").alias("bn"), F.col("mask").alias("bm"))
+    a = rows.filter("not short").select("key", "lo", "hi", "band", F.col("word").alias("a"), F.col("n").alias("an"), F.col("mask").alias("am"), F.col("p").alias("ap"), F.col("q").alias("aq"))
+    b = rows.select("key", "short", F.col("word").alias("b"), F.col("n").alias("bn"), F.col("mask").alias("bm"), F.col("p").alias("bp"), F.col("q").alias("bq"))
     flipped = F.col("am").bitwiseXOR(F.col("bm"))
-    same_key = (F.col("len") == F.col("blen")) & (F.col("lo") == F.col("blo")) & (F.col("hi") == F.col("bhi")) & (F.col("band") == F.col("bband"))
+    once = F.col("short") | (F.col("a") < F.col("b"))
     first_band = (F.col("band") == 0) | (_band(flipped, F.lit(0)) != 0) & ((F.col("band") == 1) | (_band(flipped, F.lit(1)) != 0))
     here = (F.substring("a", F.lit(1), F.col("lo")) == F.substring("b", F.lit(1), F.col("lo"))) & (F.substring("a", F.lit(1), F.col("hi")) != F.substring("b", F.lit(1), F.col("hi")))
-    once = F.col("short") | (F.col("a") < F.col("b"))
-    pairs = a.join(b, (a["key"] == b["key"]) & same_key & once & (F.bit_count(flipped) <= 2) & first_band & here & (F.levenshtein("a", "b", 1) == 1))
+    either = (F.col("ap") == F.col("bp")) | (F.col("aq") == F.col("bq"))  # true of all that are one edit apart, and no string is looked at
+    # Sizes of exploded rows are guessed too small by the planner: no broadcast here.
+    pairs = a.hint("merge").join(b, (a["key"] == b["key"]) & (F.bit_count(flipped) <= 2) & either & once & first_band & here & (F.levenshtein("a", "b", 1) == 1))
     both = F.inline(F.array(F.struct(F.col("a").alias("word"), F.col("an").alias("n"), F.col("b").alias("other"), F.col("bn").alias("other_n")), F.struct(F.col("b").alias("word"), F.col("bn").alias("n"), F.col("a").alias("other"), F.col("an").alias("other_n"))))
     return pairs.select(both)
 
@@ -136,6 +201,7 @@ def roots(forms: DataFrame) -> DataFrame:
 
 def variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ratio: int = 10, large: int = LARGE, sample: int = SAMPLE) -> DataFrame:
     """word, form, root, n, n_near, form_n of every word."""
+    B.small_batches(docs.sparkSession)
     known = B.stored(words(docs, id_col, text_col).withColumn("mask", mask(F.col("word"))))
     best = near(known, large, sample).groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("other_n")).alias("m"), F.col("other").alias("w"))).alias("best"))
     led = F.col("n_near").isNotNull() & (-F.col("best.m") >= ratio * F.col("n"))
