@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, caps, chat, cnn, jaccard, lm, packing, spelling, sstable, suffix, topk, urls
+from . import bpe, caps, chat, cnn, jaccard, lm, packing, phrases, spelling, sstable, suffix, topk, urls
 from .tokens import vocabulary
 
 
@@ -78,6 +78,11 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(_read(spark, sf_dir, "documents"))
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lang, rank, phrase, a, l, r, n, score: the best phrases of each language."""
+    return phrases.collocations(_read(spark, sf_dir, "documents"))
+
+
 def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, host, path, rule, verdict of every page's url."""
     return urls.judge(_read(spark, sf_dir, "pages"), urls.train(urls.labels(spark)))
@@ -95,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_ngram_trie": op9_ngram_trie,
     "op10_quality_cnn": op10_quality_cnn,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_phrases": op12_phrases,
     "op13_url_filters": op13_url_filters,
 }
 
