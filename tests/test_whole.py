@@ -1,39 +1,16 @@
-"""Queries over whole tables whose SQL covers part of them: the part against the SQL, the whole against plain Python."""
+"""Queries over whole tables against plain Python."""
 
 import re
 
 import pytest
 
-from test_oracles import SF, duck, rows  # noqa: F401  duck is a fixture
+from test_oracles import SF, duck  # noqa: F401  duck is a fixture
 from test_traversal import model
 from tremor.functions import text as X
 from tremor.plans import graph_queries as G, intent_queries as I, registry
 from tremor.sources.workspaces import Workspace
 
 
-class Bounded(Workspace):
-    """The part of the tables that the SQL has."""
-
-    tables = ("region", "nation", "customer")
-
-    def cyc_edges(self, most=2):
-        return super().cyc_edges(most)
-
-    def placed_symbols(self):
-        return super().placed_symbols().filter(f"tbl in {self.tables}")
-
-
-class Contexts(Bounded):
-    tables = ("region", "nation")
-
-
-@pytest.mark.parametrize("name", sorted(registry.BOUNDED))
-def test_bounded_query_matches_its_sql(spark, duck, name):  # noqa: F811
-    f, sql = registry.BOUNDED[name]
-    w = (Contexts if name == "repo_context" else Bounded)(spark, SF)
-    assert rows(f(w).toPandas()) == rows(duck.sql(sql).df())
-
-
 def tokens(x):
     spaced = re.sub("([A-Z]+)([A-Z][a-z])", r"\1 \2", re.sub("([a-z])([A-Z])", r"\1 \2", x))
     return {t for t in re.split("[^a-z0-9]+", spaced.lower()) if t and (len(x) <= 4 or len(t) > 2)}

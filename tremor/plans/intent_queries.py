@@ -79,7 +79,7 @@ def prompt_keywords(w: Workspace) -> DataFrame:
     return user.select("conv_id", "turn", F.array_join(X.keywords(F.col("text")), " ").alias("words"))
 
 
-# Intents over the star-shaped graph. The SQL pairs hints and words with part of the symbols: the bounded workspace of the tests.
+# Intents over the star-shaped graph.
 
 INTENTS = [
     (1, "Add rate limiting to Nation3", "modify", ["Nation3", "nation"], [], True),
@@ -106,7 +106,7 @@ def _list(xs: list[str]) -> str:
 
 
 _INTENTS_SQL = "intents AS (SELECT * FROM (VALUES " + ", ".join(f"(CAST({i} AS BIGINT), '{p}', '{c}', {_list(s)}, {_list(f)}, {a})" for i, p, c, s, f, a in INTENTS) + ") t(intent_id, prompt, change_type, sh, fh, api))"
-_WHERE = "sy AS (SELECT *, CASE tbl WHEN 'region' THEN 0 WHEN 'nation' THEN 1000 ELSE 10000 END + k AS ord FROM star_symbols WHERE tbl IN ('region', 'nation', 'customer'))"
+_WHERE = "sy AS (SELECT *, CASE tbl WHEN 'region' THEN 0 WHEN 'nation' THEN 1000 WHEN 'customer' THEN 10000 WHEN 'supplier' THEN 1000000000000 ELSE 2000000000000 END + k AS ord FROM star_symbols)"
 
 
 def _overlap_sql(a: str, b: str, ta: str, tb: str) -> str:
@@ -141,18 +141,18 @@ def _sql(body: str, recursive: bool = False) -> str:
     return oracle(_RESOLVE + body, "star_edges", recursive=recursive)
 
 
-@query(bounded=_sql("SELECT intent_id, CAST(rank AS INTEGER) AS rank, symbol_id, name, file_path, confidence, CAST(round(score * 1000000) AS BIGINT) AS score, source FROM rc"))
+@query(_sql("SELECT intent_id, CAST(rank AS INTEGER) AS rank, symbol_id, name, file_path, confidence, CAST(round(score * 1000000) AS BIGINT) AS score, source FROM rc"))
 def resolve_topk(w: Workspace) -> DataFrame:
     return intent.resolve(intents(w), symbols(w), ROOT).withColumn("score", F.round(F.col("score") * 1000000).cast("long")).drop("matched_hints")
 
 
-@query(bounded=_sql("SELECT intent_id, id, CAST(round(score * 1000000) AS BIGINT) AS score FROM kc"))
+@query(_sql("SELECT intent_id, id, CAST(round(score * 1000000) AS BIGINT) AS score FROM kc"))
 def keyword_scores(w: Workspace) -> DataFrame:
     return intent.keyword_candidates(intents(w), symbols(w)).select("intent_id", "id", F.round(F.col("score") * 1000000).cast("long").alias("score"))
 
 
 @query(
-    bounded=_sql(
+    _sql(
         """SELECT i.intent_id, CAST(round(coalesce(k.best, 0) * 1000000) AS BIGINT) AS best_keyword, (i.intent_id IN (SELECT intent_id FROM hc) OR coalesce(k.best, 0) >= 0.30::DOUBLE) AS is_relevant
 FROM intents i LEFT JOIN (SELECT intent_id, max(score) AS best FROM kc GROUP BY intent_id) k USING (intent_id)"""
     )
@@ -169,7 +169,7 @@ def virtual_roots(w: Workspace) -> DataFrame:
 
 
 @query(
-    bounded=_sql(
+    _sql(
         """, hn AS (SELECT intent_id, unnest(sh) AS hint FROM intents WHERE change_type = 'add')
 SELECT DISTINCT intent_id, '__phantom__#' || hint AS symbol_id FROM hn WHERE NOT EXISTS (SELECT 1 FROM resolved r WHERE r.intent_id = hn.intent_id AND lower(r.name) = lower(hint))"""
     )
@@ -199,23 +199,26 @@ def _predicted(w: Workspace) -> DataFrame:
     return intent.predict(intents(w), resolved, w.star_edges())
 
 
-@query(bounded=_sql(_PREDICT + "SELECT intent_id, symbol_id, depth, role, confidence FROM kept", recursive=True))
+@query(_sql(_PREDICT + "SELECT intent_id, symbol_id, depth, role, confidence FROM kept", recursive=True))
 def predict_confidence(w: Workspace) -> DataFrame:
     return _predicted(w)
 
 
-@query(bounded=_sql(_PREDICT + "SELECT intent_id, confidence, count(*) AS n FROM kept GROUP BY ALL", recursive=True))
+@query(_sql(_PREDICT + "SELECT intent_id, confidence, count(*) AS n FROM kept GROUP BY ALL", recursive=True))
 def confidence_histogram(w: Workspace) -> DataFrame:
     return _predicted(w).groupBy("intent_id", "confidence").agg(F.count("*").alias("n"))
 
 
 @query(
-    bounded=oracle(
-        """, rel AS (SELECT *, substr(file_path, 5) AS f FROM star_symbols WHERE tbl IN ('region', 'nation')),
-fs AS (SELECT f, min(CASE tbl WHEN 'region' THEN 0 ELSE 1000 END + k) AS ord FROM rel GROUP BY f)
-SELECT '## Repository context' || chr(10) || chr(10) || 'Source files (' || (SELECT count(*) FROM fs) || '):' || chr(10) || (SELECT string_agg('  ' || f, chr(10) ORDER BY ord) FROM fs) || chr(10) || chr(10)
-  || 'Indexed symbols (' || (SELECT count(*) FROM rel) || ', exported first):' || chr(10)
-  || (SELECT string_agg('  ' || name || ' [' || kind || CASE WHEN is_exported THEN ', exported' ELSE '' END || '] — ' || f || ':' || start_line, chr(10) ORDER BY is_exported DESC, file_path, name) FROM rel) AS context""",
+    oracle(
+        f""", rel AS (SELECT *, substr(file_path, 5) AS f, CASE tbl WHEN 'region' THEN 0 WHEN 'nation' THEN 1000 WHEN 'customer' THEN 10000 WHEN 'supplier' THEN 1000000000000 ELSE 2000000000000 END + k AS ord FROM star_symbols),
+fs AS (SELECT f, min(ord) AS ord FROM rel GROUP BY f),
+ff AS (SELECT * FROM fs ORDER BY ord LIMIT {intent.FILES_SHOWN}),
+ss AS (SELECT * FROM rel ORDER BY is_exported DESC, file_path, name, ord LIMIT {intent.SYMBOLS_SHOWN}),
+n AS (SELECT (SELECT count(*) FROM fs) AS f, (SELECT count(*) FROM rel) AS s)
+SELECT '## Repository context' || chr(10) || chr(10) || 'Source files (' || least(n.f, {intent.FILES_SHOWN}) || CASE WHEN n.f > {intent.FILES_SHOWN} THEN ' (' || (n.f - {intent.FILES_SHOWN}) || ' more not shown)' ELSE '' END || '):' || chr(10) || (SELECT string_agg('  ' || f, chr(10) ORDER BY ord) FROM ff) || chr(10) || chr(10)
+  || 'Indexed symbols (' || least(n.s, {intent.SYMBOLS_SHOWN}) || CASE WHEN n.s > {intent.SYMBOLS_SHOWN} THEN ' (' || (n.s - {intent.SYMBOLS_SHOWN}) || ' more not shown)' ELSE '' END || ', exported first):' || chr(10)
+  || (SELECT string_agg('  ' || name || ' [' || kind || CASE WHEN is_exported THEN ', exported' ELSE '' END || '] — ' || f || ':' || start_line, chr(10) ORDER BY is_exported DESC, file_path, name, ord) FROM ss) AS context FROM n""",
         "star_symbols",
     )
 )

@@ -123,8 +123,8 @@ SELECT file_path || '#' || name AS id, name, kind, file_path, CAST(10 * (k % 50)
   CAST(100 * (k % 50) AS INTEGER) AS start_pos, CAST(100 * (k % 50) + 120 AS INTEGER) AS end_pos, is_exported, substr(sha256(name || '|' || kind), 1, 16) AS signature_hash, tbl, k, ptbl, pk FROM star_nodes""",
     "star_edges": "SELECT c.id AS src, p.id AS dst FROM star_symbols c JOIN star_symbols p ON c.ptbl = p.tbl AND c.pk = p.k",
     "cyc_edges": """
-SELECT DISTINCT 'part#' || l_partkey AS src, 'supplier#' || l_suppkey AS dst FROM lineitem WHERE l_returnflag = 'A' AND l_quantity <= 2
-UNION SELECT DISTINCT 'supplier#' || l_suppkey, 'part#' || l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity <= 2""",
+SELECT DISTINCT 'part#' || l_partkey AS src, 'supplier#' || l_suppkey AS dst FROM lineitem WHERE l_returnflag = 'A'
+UNION SELECT DISTINCT 'supplier#' || l_suppkey, 'part#' || l_partkey FROM lineitem WHERE l_returnflag = 'R'""",
     "doc_old": "SELECT '/ws/doc/' || doc_id || '.ts' AS file_path, doc_id, text FROM documents WHERE doc_id % 11 <> 0",
     "doc_new": "SELECT '/ws/doc/' || doc_id || '.ts' AS file_path, doc_id, CASE WHEN doc_id % 5 = 0 THEN text || ' changed' ELSE text END AS text FROM documents WHERE doc_id % 7 <> 0",
     "doc_hunks": "SELECT file_path, CAST(1 + doc_id % 4 AS INTEGER) AS new_start, CAST(doc_id % 3 AS INTEGER) AS new_count FROM doc_new WHERE doc_id % 3 <> 0",
