@@ -1,10 +1,12 @@
 """Change events in batch and as streams."""
 
 import datetime
+import random
 
 from pyspark.sql import functions as F
 
 from tremor.streaming import events as E
+from tremor.streaming.latest import latest_wins_stream
 
 
 def at(ms):
@@ -65,3 +67,37 @@ def test_handlers_run_by_action(spark, tmp_path):
     seen = []
     E.apply_stream(source, lambda action, df: seen.append((action, sorted(r.file_path for r in df.collect()))), str(tmp_path / "cp")).awaitTermination(120)
     assert seen == [("change", ["a", "c"]), ("delete", ["b"])]
+
+
+def _runs(spark, rows):
+    return spark.createDataFrame([(i, k, at(s), at(e)) for i, k, s, e in rows], "run_id long, key string, started timestamp, ended timestamp")
+
+
+def _shown(spark, source, folder, name):
+    """All rows the stream has written after one more run over the source."""
+    out, cp = str(folder / f"out-{name}"), str(folder / f"cp-{name}")
+    found = latest_wins_stream(spark.readStream.schema("run_id long, key string, started timestamp, ended timestamp").parquet(source), "1 hour")
+    found.writeStream.format("parquet").option("checkpointLocation", cp).trigger(availableNow=True).start(out).awaitTermination(240)
+    return sorted((r.key, r.run_id) for r in spark.read.schema("key string, run_id long").parquet(out).collect())
+
+
+def test_latest_wins_stream_equals_batch_whatever_the_order(spark, tmp_path):
+    r = random.Random(4)
+    rows = [(i, f"k{r.randrange(5)}", s := r.randrange(0, 600_000, 500), s + r.choice([0, 500, 20_000, 200_000])) for i in range(120)]
+    end = [(1000, "end", 90_000_000, 90_000_001)]
+    want = sorted((x.key, x.run_id) for x in E.latest_wins(_runs(spark, rows)).collect())
+    for name in ("a", "b"):
+        r.shuffle(rows)
+        source = str(tmp_path / f"in-{name}")
+        for part in (rows[:50], rows[50:90], rows[90:] + rows[:5], end):  # a restart after each; five runs are read twice
+            _runs(spark, part).coalesce(1).write.mode("append").parquet(source)
+            got = _shown(spark, source, tmp_path, name)
+        assert got == want, name
+
+
+def test_latest_wins_stream_waits_for_the_watermark(spark, tmp_path):
+    source = str(tmp_path / "in")
+    _runs(spark, [(1, "k", 0, 10), (2, None, 0, 1), (3, "k", 5, 7)]).coalesce(1).write.parquet(source)
+    assert _shown(spark, source, tmp_path, "w") == []
+    _runs(spark, [(4, "z", 10_000_000, 10_000_000)]).coalesce(1).write.mode("append").parquet(source)
+    assert _shown(spark, source, tmp_path, "w") == [("k", 3)]

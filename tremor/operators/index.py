@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tremor.functions.text import name_of_first, normal_path, units16
+from tremor.operators import intervals
 from tremor.operators.numbering import numbered
 
 #: Symbol kinds that an extractor may emit.
@@ -67,9 +68,9 @@ def build_edges(refs: DataFrame, symbols: DataFrame) -> DataFrame:
 
 def owners(refs: DataFrame, symbols: DataFrame) -> DataFrame:
     """References (file_path, pos, dst) with the innermost symbol around them as src; those outside of all are dropped."""
-    inside = refs.join(symbols.select("file_path", F.col("id").alias("src"), "start_pos", "end_pos", "ord"), "file_path").filter("start_pos <= pos and pos <= end_pos")
-    size = F.struct(F.col("end_pos") - F.col("start_pos"), "ord")
-    return inside.groupBy("file_path", "pos", "dst").agg(F.min_by("src", size).alias("src"))
+    s = symbols.select("file_path", F.col("start_pos").alias("start"), F.col("end_pos").alias("end"), "ord", "id")
+    found = intervals.smallest_around(refs.select("file_path", F.col("pos").alias("at")).distinct(), s, "file_path")
+    return refs.join(found.select("file_path", F.col("at").alias("pos"), F.col("id").alias("src")), ["file_path", "pos"]).select("file_path", "pos", "dst", "src")
 
 
 def dependents(edges: DataFrame, ids: list[str]) -> DataFrame:
@@ -112,9 +113,36 @@ def char_range(text: Column, start_line: Column, end_line: Column) -> Column:
     return F.struct(F.when(text == "", 0).otherwise(before(lo - 1)).alias("start"), F.when(text == "", -1).otherwise(end).alias("end"))
 
 
+def line_index(contents: DataFrame) -> DataFrame:
+    """A row for each line of each text: file_path, line (from 1), start and end (places of its first and last unit, the
+    line feed included), n_lines and units of the file.  Computed once for a version of a file, whatever asks for it."""
+    lines = contents.filter("text is not null").select("file_path", F.posexplode(F.split("text", "\n")).alias("line", "body"))
+    sized = lines.select("file_path", (F.col("line") + 1).alias("line"), (units16(F.col("body")) + 1).alias("size"))
+    file = Window.partitionBy("file_path")
+    upto = file.orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    end = F.sum("size").over(upto).cast("int")
+    ends = sized.select("file_path", "line", (end - F.col("size")).alias("start"), (end - 1).alias("end"))
+    totals = ends.groupBy("file_path").agg(F.max("line").alias("n_lines"), F.max("end").alias("units"))
+    return ends.join(totals, "file_path")
+
+
+def line_ranges(hunks: DataFrame, lines: DataFrame) -> DataFrame:
+    """file_path, start, end: offsets of hunks (file_path, new_start, new_count), looked up in a line index.
+
+    The same as ``char_range``, at the cost of two lookups a hunk.
+    """
+    asked = hunks.filter("new_count > 0").select("file_path", "new_start", (F.col("new_start") + F.col("new_count") - 1).alias("new_end")).distinct()
+    totals = lines.filter("line = 1").select("file_path", "n_lines", "units")
+    clamp = lambda c: F.least(F.greatest(F.col(c), F.lit(1)), F.col("n_lines")).cast("int")
+    own = asked.join(totals, "file_path").select("file_path", clamp("new_start").alias("line"), clamp("new_end").alias("last"), "n_lines", "units").distinct()
+    first = own.join(lines.select("file_path", "line", "start"), ["file_path", "line"])
+    ended = first.join(lines.select("file_path", F.col("line").alias("last"), F.col("end").alias("end")), ["file_path", "last"])
+    return ended.select("file_path", "start", F.when(F.col("last") >= F.col("n_lines"), F.col("units") - 1).otherwise(F.col("end")).cast("int").alias("end"))
+
+
 def overlapping(ranges: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Symbols whose offsets meet a range of their file (both closed). ranges: file_path, start, end."""
-    return ranges.join(symbols, "file_path").filter("start_pos <= end and end_pos >= start")
+    """Symbols whose offsets meet a range of their file (both closed), each once. ranges: file_path, start, end."""
+    return intervals.meeting(symbols, ranges, "file_path", "start_pos", "end_pos")
 
 
 def hunk_symbols(hunks: DataFrame, contents: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -122,18 +150,15 @@ def hunk_symbols(hunks: DataFrame, contents: DataFrame, symbols: DataFrame) -> D
 
     A hunk of no lines and a file without content touch nothing.
     """
-    there = hunks.filter("new_count > 0").join(contents.select("file_path", "text").filter("text is not null"), "file_path")
-    span = char_range(F.col("text"), F.col("new_start"), F.col("new_start") + F.col("new_count") - 1)
-    ranges = there.select("file_path", span.alias("r")).select("file_path", F.col("r.start").alias("start"), F.col("r.end").alias("end"))
-    return overlapping(ranges, symbols).select("id").distinct()
+    asked = contents.select("file_path", "text").join(hunks.filter("new_count > 0").select("file_path"), "file_path", "left_semi")
+    return overlapping(line_ranges(hunks, line_index(asked)), symbols).select("id").distinct()
 
 
 def innermost(probes: DataFrame, symbols: DataFrame) -> DataFrame:
     """For each probe (probe_id, file_path, line) the smallest symbol around the line, earliest first on ties; or null."""
-    s = symbols.select("file_path", "id", "start_line", "end_line", "ord")
-    hit = probes.join(s, "file_path").filter("start_line <= line and line <= end_line")
-    best = hit.groupBy("probe_id").agg(F.min_by("id", F.struct(F.col("end_line") - F.col("start_line"), "ord")).alias("id"))
-    return probes.join(best, "probe_id", "left")
+    s = symbols.select("file_path", F.col("start_line").alias("start"), F.col("end_line").alias("end"), "ord", "id")
+    found = intervals.smallest_around(probes.select("file_path", F.col("line").alias("at")).distinct(), s, "file_path")
+    return probes.join(found.select("file_path", F.col("at").alias("line"), "id"), ["file_path", "line"], "left").select(*probes.columns, "id")
 
 
 def graph_elements(edges: DataFrame, symbols: DataFrame, roots: DataFrame, impact: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tremor.operators.numbering import numbered
 from tremor.plans.lineage import cut
 
 #: Levels after which the search gives up with an error; it never stops early in silence.
@@ -116,30 +117,58 @@ def _shallow(edges: _Edges, roots: DataFrame, names: DataFrame, reached: DataFra
     return near.groupBy("run", "node").agg(F.min_by("root_id", "root_ord").alias("root_id"), F.min("root_ord").alias("root_ord"))
 
 
-def explain(edges: DataFrame, roots: DataFrame, most: int = MOST) -> DataFrame:
+def explain(edges: DataFrame, roots: DataFrame, most: int = MOST, asked: DataFrame | None = None) -> DataFrame:
     """Paths: run, symbol_id, root_id, root_ord, path, depth of the path; one for each deep root, at most one shallow.
 
-    roots also have ord, edges may have ord (their place, else by (src, dst)).  Of equally short paths from a root the
-    one found first stands, which is the one with the smallest sequence of edge places.  A symbol that a deep root reaches
-    has no shallow path; of several shallow roots the first one counts.
+    roots also have ord, edges may have ord (their place, else by (src, dst)); asked: the symbols (symbol_id) whose paths
+    are wanted, else all.  Of equally short paths from a root the one found first stands, which is the one with the
+    smallest sequence of edge places.  A symbol that a deep root reaches has no shallow path; of several shallow roots the
+    first one counts.
+
+    The search keeps a parent for each node and nothing longer: a level's nodes are numbered in the order of their paths,
+    and a node's parent is the one with the smallest number, then the smallest place of the edge.
     """
     roots = cut(_with_run(roots).groupBy("run", "symbol_id").agg(F.min("ord").alias("ord"), F.max(F.col("mode") == "deep").alias("is_deep")))
     place = F.struct(F.col("ord")) if "ord" in edges.columns else F.struct("src", "dst")
     edges = _Edges(edges, place.alias("place"))
-    start = roots.filter("is_deep").select("run", F.col("symbol_id").alias("root_id"), F.col("ord").alias("root_ord"), F.col("symbol_id").alias("node"), F.array("symbol_id").alias("path"))
-    start = start.withColumn("places", F.array().cast(f"array<{edges.table.schema['place'].dataType.simpleString()}>"))
+    start = roots.filter("is_deep").select("run", F.col("symbol_id").alias("root_id"), F.col("ord").alias("root_ord"), F.col("symbol_id").alias("node"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("depth"), F.lit(0).cast("long").alias("rank"))
 
     def step(frontier: DataFrame) -> DataFrame:
-        found = edges.out_of(frontier)
-        found = found.select("run", "root_id", "root_ord", F.col("src").alias("node"), F.concat("path", F.array("src")).alias("path"), F.concat("places", F.array("place")).alias("places"))
-        return found.groupBy("run", "root_id", "root_ord", "node").agg(F.min_by("path", "places").alias("path"), F.min("places").alias("places"))
+        first = F.min(F.struct("rank", "place", "node")).alias("by")
+        found = edges.out_of(frontier).groupBy("run", "root_id", "root_ord", "src", (F.col("depth") + 1).alias("depth")).agg(first)
+        ranked = numbered(found, "rank", "by.rank", "by.place", "src", "root_ord", "run", "root_id")
+        return ranked.select("run", "root_id", "root_ord", F.col("src").alias("node"), F.col("by.node").alias("parent"), "depth", "rank")
 
-    reached = _levels(start, ["run", "root_id", "node"], step, most)
+    reached = _levels(start, ["run", "root_id", "node"], step, most).drop("rank")
     names = roots.select("run", F.col("symbol_id").alias("node"))
-    deep = reached.filter(F.size("path") > 1).join(names, ["run", "node"], "left_anti").select("run", "node", "root_id", "root_ord", "path")
-    near = _shallow(edges, roots, names, reached)
+    deep, near = reached.filter("depth > 0").join(names, ["run", "node"], "left_anti"), _shallow(edges, roots, names, reached)
+    if asked is not None:
+        own = asked.select(F.col("symbol_id").alias("node")).distinct()
+        deep, near = deep.join(own, "node", "left_semi"), near.join(own, "node", "left_semi")
     near = near.select("run", "node", "root_id", "root_ord", F.array("root_id", "node").alias("path"))
-    return deep.unionByName(near).select("run", F.col("node").alias("symbol_id"), "root_id", "root_ord", "path", (F.size("path") - 1).alias("depth"))
+    found = _climbed(reached, deep).unionByName(near)
+    return found.select("run", F.col("node").alias("symbol_id"), "root_id", "root_ord", "path", (F.size("path") - 1).alias("depth"))
+
+
+def _climbed(reached: DataFrame, asked: DataFrame) -> DataFrame:
+    """run, node, root_id, root_ord, path of the asked nodes, from parents by pointer doubling.
+
+    Jumps of 1, 2, 4 and so on steps are tables of their own; every ancestor is a sum of distinct jumps, in one way.
+    """
+    deepest = asked.agg(F.max("depth")).first()[0] or 0
+    jump = cut(reached.filter("parent is not null").select("run", "root_id", F.col("node").alias("at"), F.col("parent").alias("up")))
+    jumps = [jump]
+    while 2 << (len(jumps) - 1) <= deepest:
+        half = jumps[-1]
+        onward = half.select("run", "root_id", F.col("at").alias("up"), F.col("up").alias("top"))
+        jumps.append(cut(half.join(onward, ["run", "root_id", "up"]).select("run", "root_id", "at", F.col("top").alias("up"))))
+    rows = asked.select("run", "root_id", "root_ord", "node", F.col("node").alias("at"), F.col("depth").alias("place"))
+    for k in reversed(range(len(jumps))):
+        both = F.array(F.struct("at", "place"), F.struct(F.col("up").alias("at"), (F.col("place") - (1 << k)).alias("place")))
+        joined = rows.join(jumps[k], ["run", "root_id", "at"], "left")
+        rows = joined.select("run", "root_id", "root_ord", "node", F.explode(F.filter(both, lambda x: x["at"].isNotNull())).alias("x")).select("run", "root_id", "root_ord", "node", "x.at", "x.place")
+    path = F.array_sort(F.collect_list(F.struct("place", "at")))
+    return rows.groupBy("run", "node", "root_id", "root_ord").agg(F.transform(path, lambda x: x["at"]).alias("path"))
 
 
 def paths_by_symbol(paths: DataFrame) -> DataFrame:

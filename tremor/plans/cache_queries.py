@@ -10,7 +10,7 @@ from tremor.operators import diff, incremental, intent, report
 from tremor.plans import lineage
 from tremor.plans.registry import query
 from tremor.plans.report_queries import _parts, _sql as report_sql
-from tremor.plans.source_queries import _FILES, _sources
+from tremor.plans.source_queries import _FILES, _REFERENCES, _sources
 from tremor.sources import formats
 from tremor.sources.workspaces import Workspace, oracle
 from tremor.streaming import events as E, upkeep
@@ -238,6 +238,40 @@ def event_upkeep(w: Workspace) -> DataFrame:
     return upkeep.current(spark, log).symbols.select("id")
 
 
+_NAMES = "unnest(['help' || k, 'C' || k, 'C' || k || '.run', 'C' || k || '.size', 'Tone' || k, 'make' || k])"
+
+
+@query(
+    _FILES
+    + f""", own AS (SELECT k, file_path, '/ws/m' || k || '.ts' AS moved, {_NAMES} AS name FROM f),
+refs AS ({" UNION ALL ".join(f"SELECT k, file_path || {src} AS src, {dst} AS dst FROM f" for src, dst in _REFERENCES)}),
+fresh AS (SELECT file_path || CASE k % 4 WHEN 0 THEN '#e' ELSE '#N' END || k AS id FROM f WHERE k % 4 IN (0, 2) UNION ALL SELECT moved || '#' || name FROM own WHERE k % 4 = 1)
+SELECT 'symbol' AS what, '/ws/base.ts#Base' AS id UNION ALL SELECT 'symbol', '/ws/base.ts#Kind' UNION ALL SELECT 'symbol', file_path || '#' || name FROM own WHERE k % 4 = 3
+UNION ALL SELECT 'symbol', id FROM fresh UNION ALL SELECT 'added', id FROM fresh
+UNION ALL SELECT 'removed', file_path || '#' || name FROM own WHERE k % 4 < 3
+UNION ALL SELECT DISTINCT 'before', dst || '<' || src FROM refs WHERE k % 4 < 3 AND NOT starts_with(dst, '/ws/base.ts')"""
+)
+def stream_moves(w: Workspace) -> DataFrame:
+    """A micro-batch of edits that are saved without text, renames, and files that go and come back: the symbols after it,
+    its signature changes, and the dependents that removed symbols had."""
+    spark, log, events = w.spark, lineage.folder(w.spark), lineage.folder(w.spark)
+    upkeep.put(spark, log, 0, _sources(w), "/ws", whole=True)
+    k = F.col("c_custkey")
+    text = lambda *x: F.concat(*(F.lit(v) if isinstance(v, str) else v.cast("string") for v in x))
+    path, none = text("/ws/c", k, ".ts"), F.lit(None).cast("string")
+    row = lambda n, kind, path, content=none, old=none: F.struct(F.lit(n).alias("n"), F.lit(kind).alias("kind"), path.alias("file_path"), content.alias("content"), old.alias("old_path"))
+    edited = F.array(row(0, "edit", path, text("function e", k, "() { return Base }")), row(1, "save", path))
+    moved = F.array(row(0, "rename", text("/ws/m", k, ".ts"), none, path))
+    again = F.array(row(0, "delete", path), row(1, "create", path, text("class N", k, " {}")))
+    rows = w.table("customer").filter(k % 4 < 3).select(k.alias("k"), F.explode(F.when(k % 4 == 0, edited).when(k % 4 == 1, moved).otherwise(again)).alias("e"))
+    rows = rows.select((F.col("k") * 2 + F.col("e.n")).cast("long").alias("event_id"), F.lit("2024-01-01").cast("timestamp").alias("ts"), "e.kind", "e.file_path", "e.content", "e.old_path")
+    rows.coalesce(1).write.parquet(events)
+    upkeep.follow(spark.readStream.schema(rows.schema).parquet(events), log, "/ws", lineage.folder(spark)).awaitTermination()
+    did = upkeep.changed(spark, log, 1)
+    found = did.state.symbols.select(F.lit("symbol").alias("what"), "id").union(did.changes.select("change", "symbol_id"))
+    return found.union(did.before.select(F.lit("before"), F.concat("removed_id", F.lit("<"), "src")))
+
+
 @query("SELECT '.git/HEAD' AS path, true AS ref, false AS staging UNION ALL SELECT '.git/refs/heads/a/b', true, false UNION ALL SELECT '.git/index', false, true UNION ALL SELECT 'src/HEAD', false, false")
 def event_triggers(w: Workspace) -> DataFrame:
     paths = w.spark.createDataFrame([(".git/HEAD",), (".git/refs/heads/a/b",), (".git/index",), ("src/HEAD",)], "path string")

@@ -14,6 +14,7 @@ from tremor.plans.registry import query
 from tremor.sources import formats
 from tremor.sources.workspaces import Workspace, oracle
 from tremor.streaming import events as E
+from tremor.streaming.latest import latest_wins_stream
 
 
 def _signatures(docs: DataFrame) -> DataFrame:
@@ -289,18 +290,36 @@ def self_save_suppress(w: Workspace) -> DataFrame:
     return E.suppress_own_saves(w.file_events(), "6 hours").select("event_id", "file_path", "kind")
 
 
-@query(
-    oracle(
-        """, r AS (SELECT event_id AS run_id, file_path AS key, ts AS started, ts + to_seconds(CAST(600 + event_id % 100 * 3600 AS BIGINT)) AS ended FROM file_events),
+_LATEST = oracle(
+    """, r AS (SELECT event_id AS run_id, file_path AS key, ts AS started, ts + to_seconds(CAST(600 + event_id % 100 * 3600 AS BIGINT)) AS ended FROM file_events),
 n AS (SELECT *, lead(started) OVER (PARTITION BY key ORDER BY started, run_id) AS newer FROM r)
 SELECT run_id, key FROM n WHERE newer IS NULL OR newer > ended""",
-        "file_events",
-    )
+    "file_events",
 )
+
+
+def _file_runs(events: DataFrame) -> DataFrame:
+    ended = F.timestamp_seconds(F.unix_micros("ts") / 1000000 + 600 + F.col("event_id") % 100 * 3600)
+    return events.select(F.col("event_id").alias("run_id"), F.col("file_path").alias("key"), F.col("ts").alias("started"), ended.alias("ended"))
+
+
+@query(_LATEST)
 def latest_wins(w: Workspace) -> DataFrame:
-    e = w.file_events()
-    runs = e.select(F.col("event_id").alias("run_id"), F.col("file_path").alias("key"), F.col("ts").alias("started"), F.timestamp_seconds(F.unix_micros("ts") / 1000000 + 600 + F.col("event_id") % 100 * 3600).alias("ended"))
-    return E.latest_wins(runs).select("run_id", "key")
+    return E.latest_wins(_file_runs(w.file_events())).select("run_id", "key")
+
+
+@query(_LATEST)
+def stream_latest_wins(w: Workspace) -> DataFrame:
+    """The same through a stateful stream; a run far in the future moves the watermark past all others."""
+    spark, source, out = w.spark, lineage.folder(w.spark), lineage.folder(w.spark)
+    rows = _file_runs(w.file_events())
+    rows.write.parquet(source)
+    end = rows.agg(F.lit(-1).cast("long").alias("run_id"), F.lit("end").alias("key"), (F.max("ended") + F.expr("interval 2 days")).alias("started"), (F.max("ended") + F.expr("interval 2 days")).alias("ended"))
+    found = lambda: latest_wins_stream(spark.readStream.schema(rows.schema).parquet(source), "1 day").writeStream.format("parquet").option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start(out).awaitTermination()
+    found()
+    end.write.mode("append").parquet(source)
+    found()
+    return spark.read.schema("run_id long, key string").parquet(out)
 
 
 # Types and signatures, on literal declarations.

@@ -726,6 +726,20 @@ def _joined_path(path: F.Column, source: F.Column) -> F.Column:
     return F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
 
 
+#: What a path without extension can stand for.
+ENDINGS = tuple(f"{index}.{end}" for index in ("", "/index") for end in ("ts", "tsx", "d.ts", "js", "jsx"))
+
+
+def _local_stem(file_path: F.Column, source: F.Column) -> F.Column:
+    return _joined_path(file_path, F.regexp_replace(source, r"\.(js|jsx|ts|tsx)$", ""))
+
+
+def import_targets(files: DataFrame) -> DataFrame:
+    """path: all paths that the relative imports of files may stand for."""
+    stems = imports(files).filter("source like '.%'").select(_local_stem(F.col("file_path"), F.col("source")).alias("stem")).distinct()
+    return stems.select(F.explode(F.array(*(F.concat("stem", F.lit(e)) for e in ENDINGS))).alias("path"))
+
+
 def walk_references(files: DataFrame, symbols: DataFrame, root: str = "", strict: bool = False) -> DataFrame:
     """Edges (src, dst) of the references in files: the innermost owner that is indexed, and what the name stands for.
 
@@ -738,7 +752,7 @@ def walk_references(files: DataFrame, symbols: DataFrame, root: str = "", strict
     known = symbols.select("id", F.col("file_path").alias("at"), "name").distinct()
     # sources: names by the file without its extension
     stem = F.regexp_replace("at", r"(/index)?\.(d\.ts|tsx?|jsx?)$", "")
-    brought = imports(own).filter("source like '.%'").select("file_path", F.col("local").alias("base"), _joined_path(F.col("file_path"), F.regexp_replace("source", r"\.(js|jsx|ts|tsx)$", "")).alias("stem"), "imported")
+    brought = imports(own).filter("source like '.%'").select("file_path", F.col("local").alias("base"), _local_stem(F.col("file_path"), F.col("source")).alias("stem"), "imported")
     files_of = known.select("at", stem.alias("stem")).distinct()
     brought = brought.join(files_of, "stem").select("file_path", "base", "at", "imported")
     this = F.regexp_extract("base", r"^(?:this|super)\.(.*)$", 1)
