@@ -104,3 +104,27 @@ def test_files_from_a_folder(spark, tmp_path):
     (tmp_path / "b.md").write_text("const y = 2")
     got = scripts.extract_symbols(formats.read_project(spark, str(tmp_path))).collect()
     assert [(r.name, r.is_exported, r.parent_id, r.ord) for r in got] == [("x", True, None, 0)] and got[0].id == f"{tmp_path}/src/a.ts#x"
+
+
+def named(text):
+    return {(tuple(owners), base) for owners, _, base, _ in Reader("/w/a.ts", text).references()}
+
+
+def test_long_type_lists_lose_nothing():
+    many = ", ".join(f"T{i} extends Map<string, X{i}>" for i in range(900))
+    assert ("function", "wide") in declared(f"function wide<{many}>(a: T1): void {{}}")
+    members = "; ".join(f"p{i}: number" for i in range(300))
+    for result in (f"{{ {members} }}", " | ".join(f"A{i}" for i in range(300)), "{ x: number }", "A | { x: 1 } & B"):
+        got = named(f"const f = (a: number): {result} => g(a)")
+        assert (("f",), "g") in got and (("f",), "a") not in got, result[:20]
+    assert (("h",), "k") in named("function h(c) { return c ? (a) : { k: k } }")
+
+
+def test_comparisons_are_no_type_lists():
+    assert (("f",), "b") in named("function f(x) { if (x < a && b > c) { return b < d } }")
+
+
+def test_catch_binds_its_name():
+    got = named("function f() { try { g() } catch (e) { h(e) } e2() } function k() { p.catch(e => e) } function m() { try {} catch { n() } return e }")
+    assert {(("f",), "g"), (("f",), "h"), (("f",), "e2"), (("m",), "n"), (("m",), "e")} <= got and (("f",), "e") not in got
+    assert (("f",), "w") in named("function f() { try {} catch ({ v, message: m }: any) { w(v, m) } }") and (("f",), "v") not in named("function f() { try {} catch ({ v }) { v() } }")

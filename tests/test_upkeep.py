@@ -113,25 +113,26 @@ def test_ripples_of_a_batch_are_those_of_an_edit(spark, tmp_path):
     edges = scripts.walk_references(files(spark, new), own, "/ws")
     want = incremental.change_files(before, files(spark, new), own, edges)
     rows = lambda x: sorted(map(tuple, x.collect()))
-    for _ in range(2):
+    for again in (True, False):
         did = upkeep.changed(spark, log, 1)
         assert rows(did.changes) == rows(want.changes.select("symbol_id", "change")) == seen[0]
         assert rows(did.before) == rows(want.before) == [("/ws/b.ts#g", "/ws/a.ts#f")]
         assert rows(engine.edit_impact(did, "/ws").impact) == rows(engine.edit_impact(want, "/ws").impact) == [("/ws/a.ts#f", 1, "direct")]
-        upkeep.put(spark, log, 1, files(spark, new), "/ws")  # the batch runs again
+        if again:
+            upkeep.put(spark, log, 1, files(spark, new), "/ws")  # the batch runs again
 
 
 def test_a_log_with_snapshots_does_not_grow_for_its_readers(spark, tmp_path):
     log, texts = str(tmp_path / "log"), dict(START)
     upkeep.put(spark, log, 0, files(spark, START), "/ws", whole=True)
     read = []
-    for v in range(1, 13):
+    for v in range(1, 8):
         texts["/ws/b.ts"] = f"export function g() {{ h() }}\nfunction h() {{}}\nexport const n{v} = {v}"
         upkeep.put(spark, log, v, files(spark, {"/ws/b.ts": texts["/ws/b.ts"]}), "/ws")
-        if len(upkeep._needed(spark, log, v + 1)) > 4:
+        if len(upkeep._needed(spark, log, v + 1)) > 3:
             upkeep.compact(spark, log, v)
         now = upkeep.known(spark, log, v + 1, upkeep._buckets(files(spark, {"/ws/b.ts": ""}).select("file_path")))
         read.append(sum(len(x.inputFiles()) for x in now))
-    assert max(read[4:]) <= max(read[:4]) and state(spark, log) == whole(spark, texts)
+    assert max(read[3:]) <= max(read[:3]) and state(spark, log) == whole(spark, texts)
     assert state(spark, log, before=1) == whole(spark, START)
     assert now.symbols.select(F.count_distinct("file_path")).first()[0] <= len(texts)

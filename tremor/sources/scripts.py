@@ -116,6 +116,7 @@ class Reader:
         self.imports: list[tuple[str, str, str]] = []
         self.exported: set[str] = set()
         self.found: dict[str, list[list[dict]]] = {}
+        self.closed: dict[int, int] | None = None
 
     # Looking at tokens.
 
@@ -134,18 +135,28 @@ class Reader:
 
     def angles(self, i: int) -> int:
         """Behind type parameters or arguments that open at i, or i."""
-        depth, k = 0, i
-        while k < len(self.t) and k < i + 400:
-            if self.is_(k, "<"):
-                depth += 1
-            elif self.is_(k, ">"):
-                depth -= 1
-                if depth == 0:
-                    return k + 1
-            elif self.is_(k, ";", "}", ")"):
-                return i
-            k = self.past(k)
-        return i
+        if self.closed is None:
+            self.closed = self.angle_pairs()
+        return self.closed.get(i, i - 1) + 1
+
+    def angle_pairs(self) -> dict[int, int]:
+        """The ``>`` of each ``<`` that has one in its bracket before the next ``;``, in one pass over all tokens."""
+        pairs: dict[int, int] = {}
+        levels: list[list[int]] = [[]]  # open ones of each bracket around the token
+        for k, t in enumerate(self.t):
+            if t.kind != "mark":
+                continue
+            if t.text in _OPEN and t.pair > k:
+                levels.append([])
+            elif 0 <= t.pair < k and len(levels) > 1:
+                levels.pop()
+            elif t.text == "<":
+                levels[-1].append(k)
+            elif t.text == ">" and levels[-1]:
+                pairs[levels[-1].pop()] = k
+            elif t.text in (";", "}", ")"):
+                levels[-1].clear()
+        return pairs
 
     def breaks(self, i: int) -> bool:
         """Whether a statement may end before token i: a line ends there and neither side goes on."""
@@ -558,6 +569,12 @@ class Reader:
                         continue
                     i += 1
                     continue
+                elif t.text == "catch" and self.is_(i + 1, "(") and self.is_(self.t[i + 1].pair + 1, "{"):
+                    bound: set[str] = set()
+                    self.bind(i + 2, bound)
+                    ends.append((self.t[self.t[i + 1].pair + 1].pair, None, bound))
+                    i += 1
+                    continue
             if self.is_(i, "(") and t.pair > i and (self.is_(t.pair + 1, "=>") or self.is_(t.pair + 1, ":") and self.arrow_result(t.pair + 1)):
                 self.arrow(i, ends)
             elif t.kind == "word" and self.is_(i + 1, "=>") and t.text not in _KEYWORDS and not self.is_(i - 1, ":", "|", "&", ".", "is", "typeof", "keyof"):
@@ -610,8 +627,15 @@ class Reader:
         return k
 
     def arrow_result(self, k: int) -> bool:
-        stop = self.until(k + 1, min(len(self.t), k + 60), ("=>", ",", ";", "{", "=", ")", "?"), True)
-        return self.is_(stop, "=>")
+        """Whether what follows the colon at k is a result type and an arrow; object types belong to it."""
+        stop = k
+        while True:
+            stop = self.until(stop + 1, len(self.t), ("=>", ",", ";", "{", "=", ")", "?"), True)
+            if not (self.is_(stop, "{") and self.t[stop].pair > stop and self.is_(stop - 1, ":", "|", "&")):
+                return self.is_(stop, "=>")
+            stop = self.t[stop].pair
+            if self.is_(stop + 1, "=>"):
+                return True
 
     def arrow(self, i: int, ends: list) -> None:
         """An arrow function whose parameters open at i: its scope begins there; a variable that it is assigned to owns it."""

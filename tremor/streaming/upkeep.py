@@ -19,6 +19,7 @@ do.  Without ``disk`` it is ignored.
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -128,21 +129,29 @@ def current(spark: SparkSession, folder: str, before: int | None = None) -> Stat
 
 def _dependents(spark: SparkSession, folder: str, of: list[Version], removed: DataFrame) -> DataFrame:
     """Dependents (removed_id, src) of removed ids, from the folders that lead to their files."""
-    own = _read(spark, folder, "back", of, _buckets(removed.select(path_of(F.col("id")))))
+    where = _buckets(removed.select(path_of(F.col("id"))))
+    if not where:
+        return spark.createDataFrame([], "removed_id string, src string")
+    own = _read(spark, folder, "back", of, where)
     asked = cut(own.join(removed.select(F.col("id").alias("dst")), "dst", "left_semi"))
     last = _last(spark, folder, of, _buckets(asked.select("file_path")))
     return asked.join(last, ["file_path", "version"], "left_semi").select(F.col("dst").alias("removed_id"), "src").distinct()
 
 
 def _write(spark: SparkSession, folder: str, version: Version, **tables: DataFrame) -> None:
-    """Write a version and then its mark."""
-    for name, rows in tables.items():
+    """Write a version, its tables side by side, and then its mark."""
+
+    def one(name: str, rows: DataFrame) -> None:
         where = {"back": path_of(F.col("dst")), "changes": path_of(F.col("symbol_id")), "before": path_of(F.col("removed_id"))} if name in ("back", "changes", "before") else {}
         out = rows.withColumn("bucket", bucket(where.get(name, F.col("file_path"))))
         if "version" not in out.columns:
             out = out.withColumn("version", F.lit(version.number).cast("long"))
         names = [x.split()[0] for x in _TABLES[name].split(", ")]
         out.select(*names).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/data/{name}/at={version.name}")
+
+    with ThreadPoolExecutor(len(tables)) as pool:
+        for done in [pool.submit(one, *x) for x in tables.items()]:
+            done.result()
     fs, mark = _hadoop(spark, f"{folder}/manifest/{version.name}")
     fs.create(mark, True).close()
 
@@ -159,14 +168,13 @@ def put(spark: SparkSession, folder: str, version: int, files: DataFrame, root:
     if whole:
         around = found
     else:
-        own = _buckets(files.select("file_path"))
-        near = sorted({*own, *_buckets(scripts.import_targets(texts))})
+        near = _buckets(files.select("file_path").union(scripts.import_targets(texts)))
         around = known(spark, folder, version, near).symbols.join(files.select("file_path"), "file_path", "left_anti").select(*SYMBOLS.names).unionByName(found)
     edges = scripts.walk_references(texts, around, root, strict)
     edges = cut(edges.join(found.select(F.col("id").alias("src"), "file_path").distinct(), "src").select("file_path", "src", "dst"))
     tables = {"files": files if not whole else texts, "symbols": found, "edges": edges, "back": edges}
     if not whole:
-        old = known(spark, folder, version, own).symbols.join(files.select("file_path"), "file_path", "left_semi")
+        old = known(spark, folder, version, near).symbols.join(files.select("file_path"), "file_path", "left_semi")
         changes = cut(diff.signature_diff(old, found))
         tables |= {"changes": changes, "before": _dependents(spark, folder, of, changes.filter("change = 'removed'").select(F.col("symbol_id").alias("id")))}
     _write(spark, folder, Version(version, whole), **tables)
