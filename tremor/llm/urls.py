@@ -30,13 +30,15 @@ RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 BLOCKED = """
 casino-royal online-casino win-casino free-bets bets-today sports-bets cheap-pills cheap-meds pills-online adult-x adult-video
 xxx-adult spam-farm link-farm spam-links ads-track ad-tracker track-ads poker-win slots-jackpot free-lottery replica-watches
-payday-loans cheap-viagra
+payday-loans cheap-viagra big-jackpot porn-site hot-singles fast-loans click-bait buy-followers malware-download crypto-giveaway
 """.split()
 ALLOWED = """
 weather the-times nations theory thinking stations gardening history mountain reader cooking painting education others weaving
 handbook tables research letters anthem island shelter nestling thread together theatre
+university school market travel recipes football bridge village hospital journal garden concert orchestra biology physics chemistry
 """.split()
-PLACES = ("http://{}.example.com/en/1204", "https://www.{}.example.org/de/77.html", "http://blog.{}.example.net/fr/310/?page=2", "https://m.{}.example.com/es/942#top")
+PLACES = ("http://{}.example.com/en/1204", "https://www.{}.example.org/de/77.html", "http://blog.{}.example.net/fr/310/?page=2", "https://m.{}.example.com/es/942#top",
+          "http://{}.com/news/12", "https://www.{}.edu/index.html", "http://{}.de/", "https://blog.{}.info/a/b")
 
 SIZES, BUCKETS = (2, 3, 4), 32768
 MOST_LABELS, STEPS, RATE, DECAY = 500, 400, 2.0, 0.0005
