@@ -118,6 +118,20 @@ def hunk_parse(w: Workspace) -> DataFrame:
     return formats.diff_hunks(_diff_text(w), key="diff_id")
 
 
+@query(
+    """SELECT 'src/d' || doc_id || '.ts' AS file_path, CAST(doc_id % 90 + 1 AS INTEGER) AS new_start, CAST(CASE WHEN doc_id % 3 = 0 THEN 1 ELSE doc_id % 4 END AS INTEGER) AS new_count
+FROM documents WHERE doc_id % 7 <> 0 AND NOT (doc_id % 3 <> 0 AND doc_id % 4 = 0)"""
+)
+def hunk_lines(w: Workspace) -> DataFrame:
+    """The same hunks out of one diff of all documents, as a table of lines."""
+    n = F.col("doc_id")
+    s = lambda c: c.cast("string")
+    path = F.when(n % 7 == 0, "+++ /dev/null").otherwise(F.concat(F.lit("+++ b/src/d"), s(n), F.lit(".ts")))
+    head = F.concat(F.lit("@@ -"), s(n % 9), F.lit(",2 +"), s(n % 90 + 1), F.when(n % 3 == 0, "").otherwise(F.concat(F.lit(","), s(n % 4))), F.lit(" @@ fn()"))
+    lines = w.table("documents").select("doc_id", F.posexplode(F.array(F.lit("--- a/x"), path, F.lit("+added"), head, F.lit("@@ bad header @@"))).alias("k", "line"))
+    return formats.diff_lines(lines.select((n * 10 + F.col("k")).alias("at"), "line"))
+
+
 # Maintenance.
 
 

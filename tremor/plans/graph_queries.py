@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tremor.operators import diff, index, roots as R, traversal
+from tremor.plans import lineage
 from tremor.plans.registry import query
+from tremor.sources import adjacency as adjacency_store
 from tremor.sources.workspaces import Workspace, oracle
 
 ROOT = "/ws"
@@ -113,6 +115,18 @@ def dependents(w: Workspace) -> DataFrame:
     return index.dependents(w.star_edges(), [REGION1, NATION2])
 
 
+_BOTH = f" SELECT 'dependent' AS way, dst AS id, src AS other FROM star_edges WHERE dst IN ('{REGION1}', '{NATION2}') UNION SELECT 'dependency', src, dst FROM star_edges WHERE src IN ('{REGION1}', '{NATION2}')"
+
+
+@query(oracle(_BOTH, "star_edges"))
+def stored_neighbours(w: Workspace) -> DataFrame:
+    """Both lookups in edges stored by src and by dst; a folder holds a thousand edges."""
+    kept = adjacency_store.store(w.star_edges(), lineage.folder(w.spark), 1000)
+    ids = [REGION1, NATION2]
+    up = kept.dependents(ids).select(F.lit("dependent").alias("way"), F.col("dst").alias("id"), F.col("src").alias("other"))
+    return up.union(kept.dependencies(ids).select(F.lit("dependency"), "src", "dst"))
+
+
 @query(oracle(f" SELECT DISTINCT src, dst FROM star_edges WHERE src IN ('{REGION1}', '{NATION2}')", "star_edges"))
 def dependencies(w: Workspace) -> DataFrame:
     return index.dependencies(w.star_edges(), [REGION1, NATION2])

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+
+from tremor.operators.numbering import carried
 
 
 def _schema(**fields: T.DataType) -> T.StructType:
@@ -27,18 +29,37 @@ def name_status(raw: DataFrame, column: str = "raw", key: str | None = None) ->
     return lines.filter(F.size(f) >= 2).select(*by, status.alias("status"), F.when(moved, get(3)).otherwise(get(2)).alias("file_path"), F.when(moved, get(2)).alias("old_file_path"))
 
 
-def diff_hunks(raw: DataFrame, column: str = "raw", key: str | None = None) -> DataFrame:
-    """Changed ranges (file_path, new_start, new_count) of a unified diff without context; empty ranges are dropped."""
-    by = [key] if key else []
-    lines = raw.select(*by, F.posexplode(F.split(column, "\n")).alias("at", "line"))
+_HUNK = r"^@@ -\d+(?:,\d+)? \+(\d+)(?:,(\d+))? @@"
+
+
+def _named_path() -> Column:
+    """The path that a line names as a diff's new file; empty for none, null for other lines."""
     named = F.rtrim(F.substring("line", 5, 1 << 30))
-    path = F.when(F.col("line").startswith("+++ "), F.when(named == "/dev/null", "").otherwise(F.regexp_replace(named, "^b/", "")))
-    order = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    header = r"^@@ -\d+(?:,\d+)? \+(\d+)(?:,(\d+))? @@"
-    hit = lines.withColumn("path", F.last(path, ignorenulls=True).over(order)).filter(F.col("line").rlike(header) & (F.coalesce("path", F.lit("")) != ""))
-    count = F.regexp_extract("line", header, 2)
-    out = hit.select(*by, F.col("path").alias("file_path"), F.regexp_extract("line", header, 1).cast("int").alias("new_start"), F.when(count == "", 1).otherwise(F.expr("try_cast(regexp_extract(line, '^@@ -\\\\d+(?:,\\\\d+)? \\\\+(\\\\d+)(?:,(\\\\d+))? @@', 2) as int)")).alias("new_count"))
-    return out.filter("new_count > 0")
+    return F.when(F.col("line").startswith("+++ "), F.when(named == "/dev/null", "").otherwise(F.regexp_replace(named, "^b/", "")))
+
+
+def _ranges(lines: DataFrame, *by: str) -> DataFrame:
+    """file_path, new_start, new_count of hunk headers in lines (line, path: the file they belong to)."""
+    hit = lines.filter(F.col("line").rlike(_HUNK) & (F.coalesce("path", F.lit("")) != ""))
+    number = lambda k: F.regexp_extract("line", _HUNK, k)
+    return hit.select(*by, F.col("path").alias("file_path"), number(1).cast("int").alias("new_start"), F.when(number(2) == "", 1).otherwise(number(2).try_cast("int")).alias("new_count")).filter("new_count > 0")
+
+
+def diff_hunks(raw: DataFrame, column: str = "raw", key: str | None = None) -> DataFrame:
+    """Changed ranges (file_path, new_start, new_count) of a unified diff without context; empty ranges are dropped.
+
+    key: the column that tells several diffs apart; without it, all rows are one diff, in the order of nothing but lines.
+    """
+    lines = raw.select(*([key] if key else []), F.posexplode(F.split(column, "\n")).alias("at", "line"))
+    if key is None:
+        return diff_lines(lines)
+    order = Window.partitionBy(key).orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return _ranges(lines.withColumn("path", F.last(_named_path(), ignorenulls=True).over(order)), key)
+
+
+def diff_lines(lines: DataFrame, order: str = "at") -> DataFrame:
+    """The same for one diff of any length as a table of lines (column line, and their order): its lines stay dealt."""
+    return _ranges(carried(lines, "path", _named_path(), order))
 
 
 # JSON caches. A file that is missing, blank, broken, {} or [] reads as nothing.
