@@ -35,8 +35,8 @@ def remove_files(state: State, files: DataFrame, keep_incoming: DataFrame | None
 
 def add_files(state: State, symbols: DataFrame, edges: DataFrame) -> State:
     """Upsert of a file's symbols and edges; what the file had before stays."""
-    later = state.symbols.agg(F.coalesce(F.max("ord"), F.lit(-1)) + 1).first()[0]
-    new = symbols.withColumn("ord", F.col("ord") + F.lit(later))
+    later = state.symbols.agg(F.coalesce(F.max("ord"), F.lit(-1)) + 1).scalar()  # one value, asked for when the plan runs
+    new = symbols.withColumn("ord", F.col("ord") + later)
     return State(build_index(state.symbols.unionByName(new)), upsert_edges(state.edges, edges))
 
 

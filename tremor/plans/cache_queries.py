@@ -209,11 +209,11 @@ def shadow_index(w: Workspace) -> DataFrame:
 
 
 @query(
-    "SELECT c_custkey AS k, length('" + intent.PROMPT.replace("{context}", "").replace("{prompt}", "") + "') + length(c_name) + CASE WHEN c_custkey % 2 = 0 THEN length('Use only names and paths of this list; leave a list empty if nothing fits.' || chr(10) || 'seen ' || c_custkey) ELSE 0 END AS size FROM customer"
+    f"""SELECT c_custkey AS k, replace(replace('{intent.PROMPT}', '{{context}}', CASE WHEN c_custkey % 2 = 0 THEN 'Use only names and paths of this list; leave a list empty if nothing fits.' || chr(10) || 'seen ' || c_custkey ELSE '' END), '{{prompt}}', c_name) AS text FROM customer"""
 )
 def model_prompt(w: Workspace) -> DataFrame:
     context = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("seen "), F.col("c_custkey").cast("string")))
-    return w.table("customer").select(F.col("c_custkey").alias("k"), F.length(intent.prompt_text(F.col("c_name"), context)).cast("long").alias("size"))
+    return w.table("customer").select(F.col("c_custkey").alias("k"), intent.prompt_text(F.col("c_name"), context).alias("text"))
 
 
 # Events that reach the state.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tremor.plans.registry import query
-from tremor.sources import scripts
+from tremor.sources import projects, scripts
 from tremor.sources.workspaces import Workspace
 
 #: A file in parts; <k> stands for the customer's key and <n> for its nation's.
@@ -79,3 +79,23 @@ _REFERENCES = [
 def walk_references(w: Workspace) -> DataFrame:
     files = _sources(w)
     return scripts.walk_references(files, scripts.extract_symbols(files), "/ws")
+
+
+@query(
+    """WITH f AS (SELECT '/ws/n' || (p_partkey % 25) || '/' || ['src/', 'lib/', 'src/deep/', ''][p_size % 4 + 1] || CASE WHEN p_partkey % 6 = 0 THEN 'skip' ELSE 'f' END || p_partkey || CASE WHEN p_partkey % 10 = 0 THEN '.js' ELSE '.ts' END AS file_path,
+  p_partkey % 25 AS n, p_size % 2 = 0 AND p_partkey % 10 <> 0 AS own, p_partkey % 6 = 0 AS skip FROM part),
+c AS (SELECT n_nationkey AS k, n_nationkey % 3 AS r FROM nation)
+SELECT '/ws/n' || k || '/tsconfig.json' AS config, file_path FROM c JOIN f ON f.n = k - r WHERE own AND NOT (r > 0 AND skip)
+UNION ALL SELECT '/ws/n' || k || '/tsconfig.json', '/ws/n' || k || '/only.ts' FROM c WHERE r = 2"""
+)
+def project_files(w: Workspace) -> DataFrame:
+    """Files of a project for each nation: every third has settings of its own, the next two extend the one before."""
+    n, p = F.col("n_nationkey"), F.col("p_partkey")
+    text = lambda *x: F.concat(*(F.lit(v) if isinstance(v, str) else v.cast("string") for v in x))
+    above = text('{"extends": "../n', n - 1, '/tsconfig.json", ')
+    own = F.when(n % 3 == 0, '{"include": ["src"], /* the rest is not */}').when(n % 3 == 1, F.concat(above, F.lit('"exclude": ["../**/skip*"]}'))).otherwise(F.concat(above, F.lit('"files": ["only.ts"]}')))
+    configs = w.table("nation").select(text("/ws/n", n, "/tsconfig.json").alias("file_path"), own.alias("content"))
+    folder = F.element_at(F.array(*map(F.lit, ("src/", "lib/", "src/deep/", ""))), (F.col("p_size") % 4 + 1).cast("int"))
+    named = text("/ws/n", p % 25, "/", folder, F.when(p % 6 == 0, "skip").otherwise("f"), p, F.when(p % 10 == 0, ".js").otherwise(".ts"))
+    paths = w.table("part").select(named.alias("file_path")).union(w.table("nation").select(text("/ws/n", n, "/only.ts")))
+    return projects.included(projects.settings(configs), paths)
