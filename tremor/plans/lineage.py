@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def _top(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where that is unset (one machine, tests), a folder under the warehouse."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/tremor-checkpoints"
+    """``spark.checkpoint.dir``; where that is unset, a folder under the warehouse, on one machine only."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not top and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return top or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/tremor-checkpoints"
 
 
 def folder(spark: SparkSession) -> str:
