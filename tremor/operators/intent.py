@@ -11,6 +11,8 @@ from tremor.plans.lineage import cut
 HINTS, KEYWORDS = 20, 10
 #: Below so many characters names also have keys of one and two; a shorter text inside a longer one has two fifths of it.
 SHORT = 10
+#: Keys of all intents together that are sent to the executors.
+FEW = 100_000
 
 
 def _grams(text: Column) -> Column:
@@ -42,9 +44,18 @@ def _word_keys(word: Column) -> Column:
 
 
 def _paired(symbols: DataFrame, intents: DataFrame) -> DataFrame:
-    """Symbols and intents that share a key, each pair once; both have an array ``keys``, which goes."""
-    each = symbols.select("id", F.explode(F.array_distinct("keys")).alias("key")).join(intents.select("intent_id", F.explode(F.array_distinct("keys")).alias("key")), "key")
-    return each.select("id", "intent_id").distinct().join(symbols.drop("keys"), "id").join(intents.drop("keys"), "intent_id")
+    """Symbols and intents that share a key, each pair once; both have an array ``keys``, which goes.
+
+    Symbols are many, so they are never what a join sends whole to the executors: intents are, up to FEW keys, which are
+    counted; beyond that both are shuffled by their keys.
+    """
+    asked = intents.select("intent_id", F.explode(F.array_distinct("keys")).alias("_key"))
+    if asked.count() > FEW:
+        each = symbols.select("id", F.explode(F.array_distinct("keys")).alias("_key")).hint("merge").join(asked, "_key")
+        return each.select("id", "intent_id").distinct().join(symbols.drop("keys").hint("merge"), "id").join(intents.drop("keys").hint("merge"), "intent_id")
+    each = symbols.withColumn("_key", F.explode(F.array_distinct("keys"))).join(F.broadcast(asked), "_key")
+    both = each.join(F.broadcast(intents.withColumnRenamed("keys", "_asked")), "intent_id")
+    return both.filter(F.col("_key") == F.array_intersect("keys", "_asked")[0]).drop("_key", "keys", "_asked")  # of several shared keys the first
 
 
 def _improving(hints: Column, score) -> Column:
