@@ -63,7 +63,7 @@ class Workspace:
         s = self.star_symbols()
         child = s.filter("ptbl is not null").select(F.col("id").alias("src"), "ptbl", "pk")
         parent = s.select(F.col("id").alias("dst"), F.col("tbl").alias("ptbl"), F.col("k").alias("pk"))
-        return child.join(parent, ["ptbl", "pk"]).select("src", "dst")
+        return child.hint("merge").join(parent, ["ptbl", "pk"]).select("src", "dst")  # files are small, the rows made of them are not
 
     def cyc_edges(self, most: float | None = None) -> DataFrame:
         """Parts and suppliers of all line items, or of those of at most so many pieces."""
