@@ -4,6 +4,7 @@ import pytest
 
 from tremor.operators import intent
 from tremor.plans import intent_queries as Q
+from tremor.sources import scripts
 from tremor.sources.workspaces import Workspace
 
 SF = "/root/testdata/sf0.001"
@@ -40,3 +41,14 @@ def test_both_ways_of_pairing_give_the_same_pairs(spark, monkeypatch):
 
 def test_edges_of_the_star_are_joined_without_a_broadcast_of_symbols(spark):
     assert not broadcast_scans(Workspace(spark, SF).star_edges())
+
+
+def test_files_of_one_split_are_read_by_all_tasks_and_once(spark):
+    df = spark.range(40).coalesce(1).selectExpr("concat('/ws/f', id, '.ts') AS file_path", "concat('function f', id, '() { return g', id, '() } function g', id, '() {}') AS content")
+    assert df.rdd.getNumPartitions() == 1 < scripts.extract_symbols(df).rdd.getNumPartitions()
+    read = scripts.read(df)
+    symbols = scripts.extract_symbols(read)
+    edges = scripts.walk_references(read, symbols, "/ws")
+    for out in (symbols, edges, scripts.imports(read)):
+        assert "MapIn" not in out._jdf.queryExecution().executedPlan().toString()
+    assert symbols.count() == 80 and {(r.src, r.dst) for r in edges.collect()} == {(f"/ws/f{k}.ts#f{k}", f"/ws/f{k}.ts#g{k}") for k in range(40)}

@@ -77,7 +77,7 @@ _REFERENCES = [
 
 @query(_FILES + " UNION ALL ".join(f"SELECT file_path || {src} AS src, {dst} AS dst FROM f" for src, dst in _REFERENCES))
 def walk_references(w: Workspace) -> DataFrame:
-    files = _sources(w)
+    files = scripts.read(_sources(w))
     return scripts.walk_references(files, scripts.extract_symbols(files), "/ws")
 
 
