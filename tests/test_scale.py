@@ -2,8 +2,8 @@
 
 import pytest
 
-from tremor.operators import intent
-from tremor.plans import intent_queries as Q
+from tremor.operators import intent, report
+from tremor.plans import cache_queries, intent_queries as Q, report_queries
 from tremor.sources import scripts
 from tremor.sources.workspaces import Workspace
 
@@ -52,3 +52,14 @@ def test_files_of_one_split_are_read_by_all_tasks_and_once(spark):
     for out in (symbols, edges, scripts.imports(read)):
         assert "MapIn" not in out._jdf.queryExecution().executedPlan().toString()
     assert symbols.count() == 80 and {(r.src, r.dst) for r in edges.collect()} == {(f"/ws/f{k}.ts#f{k}", f"/ws/f{k}.ts#g{k}") for k in range(40)}
+
+
+def test_a_stored_report_is_no_single_row(spark, monkeypatch):
+    monkeypatch.setattr(report, "document", None)  # one row that holds all
+    w = Workspace(spark, SF)
+    got = cache_queries.stored_report(w).first()
+    edges, roots, listed = report_queries._parts(w)
+    parts = report.sections(listed, roots, edges)
+    assert got.roots == 4 and got.apis == parts["impacted_apis"].count() and got.unknown == parts["impact_zones"].filter("zone = 'unknown'").count()
+    ranks = sorted(r["rank"] for r in parts["impact_zones"].select("rank").collect())
+    assert ranks == list(range(listed.count()))

@@ -99,10 +99,27 @@ def named_paths(paths: DataFrame, symbols: DataFrame) -> DataFrame:
     return named.groupBy("run", "symbol_id", "root_id").agg(F.transform(ordered, lambda x: x["name"]).alias("names"))
 
 
+def sections(listed: DataFrame, roots: DataFrame, edges: DataFrame, confidence: Column | None = None) -> dict[str, DataFrame]:
+    """The lists of the document as tables, a row for each entry, with rank (from 0) in the document's order.
+
+    Downstream dependencies are a row for each dependent, so that a root with many of them is not one row.
+    """
+    ref = F.struct("symbol_id", "name", "kind", "rel_path", "start_line", "exported")
+    zoned, by_role = zones(listed, confidence), role_rank(F.col("role"))
+    ranked = lambda df, *order: numbered(df, "rank", *order)
+    return {
+        "impacted_apis": ranked(impacted_apis(listed), by_role, F.col("symbol_id"), F.col("depth"), F.col("reason")).select("rank", ref.alias("symbol"), "role", "reason", "depth"),
+        "impacted_modules": ranked_modules(listed).select("rank", "rel_path", "root_count", "direct_count", "indirect_count"),
+        "downstream_dependencies": ranked(downstream(roots, edges), F.col("root_id"), F.col("dependent")),
+        "high_risk_areas": ranked_risks(listed, confidence).select("rank", ref.alias("symbol"), "level", "reasons"),
+        "impact_zones": ranked(zoned, F.col("zone"), F.col("symbol_id")).select("rank", "zone", ref.alias("symbol")),
+    }
+
+
 def document(listed: DataFrame, roots: DataFrame, edges: DataFrame, source: str, confidence: Column | None = None) -> DataFrame:
-    """The whole report as one row of nested columns; for a sink, so it is gathered once at the end.
+    """The whole report as one row of nested columns, for a report that a person reads.
 
-    Everything else in this module stays a table; use those at scale.
+    One task holds all of it; ``sections`` are the same lists for a report of any size.
     """
     ref = F.struct("symbol_id", "name", "kind", "rel_path", "start_line", "exported")
 

@@ -142,13 +142,19 @@ def project_hashes(w: Workspace) -> DataFrame:
 
 @query(report_sql("SELECT count(*) FILTER (role = 'root') AS roots, count(*) FILTER (exported OR role = 'root') AS apis, count(DISTINCT rel_path) AS modules, count(*) FILTER (NOT indexed) AS unknown FROM listed"))
 def stored_report(w: Workspace) -> DataFrame:
-    """Figures of a report that was written as JSON and read again."""
+    """Figures of a report that was written as JSON and read again, all of it by sections."""
     edges, roots, listed = _parts(w)
-    folder = lineage.folder(w.spark)
-    formats.write_report(report.document(listed, roots, edges, "edit"), folder)
-    text = w.spark.read.text(f"{folder}/impact").select(F.from_json("value", "struct<impacted_apis: array<struct<role: string>>, impacted_modules: array<struct<rel_path: string>>, impact_zones: struct<unknown: array<struct<name: string>>>>").alias("d"))
-    is_root = F.size(F.filter("d.impacted_apis", lambda x: x["role"] == "root"))
-    return text.select(is_root.cast("long").alias("roots"), F.size("d.impacted_apis").cast("long").alias("apis"), F.size("d.impacted_modules").cast("long").alias("modules"), F.size("d.impact_zones.unknown").cast("long").alias("unknown"))
+    listed, folder = lineage.cut(listed), lineage.folder(w.spark)  # asked for by every section
+    formats.write_report_sections(report.sections(listed, roots, edges), report.summary(listed), "edit", folder)
+
+    def entries(section: str, schema: str, *figures: Column) -> DataFrame:
+        text = w.spark.read.text(f"{folder}/impact/{section}")
+        return text.select(F.from_json("value", schema).alias("d")).agg(*figures)
+
+    apis = entries("impacted_apis", "struct<role: string>", F.count_if(F.col("d.role") == "root").alias("roots"), F.count("*").alias("apis"))
+    modules = entries("impacted_modules", "struct<rel_path: string>", F.count("d.rel_path").alias("modules"))
+    unknown = entries("impact_zones", "struct<zone: string>", F.count_if(F.col("d.zone") == "unknown").alias("unknown"))
+    return apis.crossJoin(modules).crossJoin(unknown)  # one row each
 
 
 @query("SELECT event_type AS type, arg_max(event_id, event_id) AS payload FROM events GROUP BY event_type")

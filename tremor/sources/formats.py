@@ -156,6 +156,13 @@ def write_report(report: DataFrame, folder: str) -> None:
     report.select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").text(f"{folder}/impact")
 
 
+def write_report_sections(sections: dict[str, DataFrame], summary: DataFrame, source: str, folder: str) -> None:
+    """A report of any size as JSON text: a folder for each section with a line for each entry, and one for the summary."""
+    total = summary.select(F.current_timestamp().alias("generated_at"), F.lit(source).alias("source"), F.struct("*").alias("summary"))
+    for name, rows in (sections | {"summary": total}).items():
+        rows.select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").text(f"{folder}/impact/{name}")
+
+
 def _there(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
