@@ -163,14 +163,15 @@ def put(spark: SparkSession, folder: str, version: int, files: DataFrame, root:
     """
     files = cut(files.select(scripts.normal_path(F.col("file_path")).alias("file_path"), "content").filter("file_path is not null").dropDuplicates(["file_path"]))
     texts = files.filter("content is not null")
-    found = cut(scripts.extract_symbols(texts).select(*SYMBOLS.names))
+    read = scripts.read(texts)
+    found = cut(scripts.extract_symbols(read).select(*SYMBOLS.names))
     of = _needed(spark, folder, version)
     if whole:
         around = found
     else:
-        near = _buckets(files.select("file_path").union(scripts.import_targets(texts)))
+        near = _buckets(files.select("file_path").union(scripts.import_targets(read)))
         around = known(spark, folder, version, near).symbols.join(files.select("file_path"), "file_path", "left_anti").select(*SYMBOLS.names).unionByName(found)
-    edges = scripts.walk_references(texts, around, root, strict)
+    edges = scripts.walk_references(read, around, root, strict)
     edges = cut(edges.join(found.select(F.col("id").alias("src"), "file_path").distinct(), "src").select("file_path", "src", "dst"))
     tables = {"files": files if not whole else texts, "symbols": found, "edges": edges, "back": edges}
     if not whole:
