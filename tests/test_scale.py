@@ -1,11 +1,16 @@
 """Tables that grow are never sent whole to the driver, to the executors or to one task."""
 
+import datetime
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 from tremor.operators import intent, report
 from tremor.plans import cache_queries, intent_queries as Q, report_queries
 from tremor.sources import scripts
 from tremor.sources.workspaces import Workspace
+from tremor.streaming import events as E
 
 SF = "/root/testdata/sf0.001"
 
@@ -63,3 +68,26 @@ def test_a_stored_report_is_no_single_row(spark, monkeypatch):
     assert got.roots == 4 and got.apis == parts["impacted_apis"].count() and got.unknown == parts["impact_zones"].filter("zone = 'unknown'").count()
     ranks = sorted(r["rank"] for r in parts["impact_zones"].select("rank").collect())
     assert ranks == list(range(listed.count()))
+
+
+def test_bursts_of_one_handler_are_many_tasks(spark):
+    r = random.Random(7)
+    rows, at = [], 0
+    for i in range(400):
+        at += r.choice([0, 1, 59, 60, 61, 300])  # at 60 seconds a burst has fired
+        rows.append((i, datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=at), f"f{i}", "edit", r.choice(["h", None])))
+    want = []
+    for h in ("h", None):
+        for i, ts, path, _, _ in sorted(x for x in rows if x[4] == h):
+            if not want or want[-1][0] != h or (ts - want[-1][2]).total_seconds() >= 60:
+                want.append([h, ts, ts, 0, i])
+            want[-1][2:] = [ts, want[-1][3] + 1, i]
+    r.shuffle(rows)
+    events = spark.createDataFrame(rows, "event_id long, ts timestamp, file_path string, kind string, handler string").repartition(5)
+    found = E.debounce(events, "60 seconds")
+    assert sorted([x.handler or "", x.started, x.n_events, x.event_id] for x in found.collect()) == sorted([h or "", a, n, i] for h, a, _, n, i in want)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so few bytes become one partition
+    try:
+        assert E.debounce(events.filter("handler = 'h'"), "60 seconds").select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")

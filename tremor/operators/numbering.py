@@ -17,6 +17,11 @@ def _dealt(df: DataFrame, *order: Column | str) -> DataFrame:
     return cut(dealt)  # ranges follow a sample: they are drawn once
 
 
+def parted(df: DataFrame, *order: Column | str) -> DataFrame:
+    """df in ranges of the order, with _part, the range's place among them, and _at, which grows along the order."""
+    return _dealt(df, *order).withColumn("_part", F.shiftright("_at", _ROW_BITS))
+
+
 def numbered(df: DataFrame, name: str, *order: Column | str) -> DataFrame:
     """df with a column ``name``: 0, 1, 2 and so on along the order, which should be total.
 
@@ -38,7 +43,7 @@ def carried(df: DataFrame, name: str, value: Column, *order: Column | str) -> Da
     A range carries its own values forward; what it begins with comes from the last values of the ranges before, of which
     there is one each.
     """
-    dealt = _dealt(df.withColumn("_value", value), *order).withColumn("_part", F.shiftright("_at", _ROW_BITS))
+    dealt = parted(df.withColumn("_value", value), *order)
     upto = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     lasts = dealt.groupBy("_part").agg(F.max_by("_value", F.when(F.col("_value").isNotNull(), F.col("_at"))).alias("_last"))
     before = F.last("_last", ignorenulls=True).over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))

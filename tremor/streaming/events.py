@@ -10,6 +10,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tremor.operators.numbering import parted
+
 #: Silence before a handler fires, and how long a save hides the external change that follows it.
 GAPS = {"edit": "300 milliseconds", "external": "400 milliseconds", "staging": "400 milliseconds", "refs": "600 milliseconds"}
 OWN_SAVE = "5000 milliseconds"
@@ -26,13 +28,42 @@ def gap_of(kind: Column, gaps: dict[str, str] = GAPS, default: str = "0 millisec
 
 
 def debounce(events: DataFrame, gap: str | Column) -> DataFrame:
-    """One row for each burst: handler, started, fires, event_id, file_path, kind of the burst's last event.
+    """One row for each burst: handler, started, fires, event_id, file_path, kind of the burst's last event, n_events.
+
+    A handler's events are dealt by ranges of time, so that one handler is no single task.  Works on a stream as well (with
+    a watermark on ts for append mode); then a burst is out once the watermark passes it, and a handler is one task.
+    """
+    if events.isStreaming:
+        last = F.max_by(F.struct("event_id", "file_path", "kind"), F.struct("ts", "event_id")).alias("e")
+        bursts = events.groupBy("handler", F.session_window("ts", gap).alias("w")).agg(last, F.count("*").alias("n_events"))
+        return bursts.select("handler", F.col("w.start").alias("started"), F.col("w.end").alias("fires"), "e.event_id", "e.file_path", "e.kind", "n_events")
+    fires = F.col("ts") + (F.lit(gap) if isinstance(gap, str) else gap).cast("interval")
+    own = events.select("handler", F.col("ts").alias("started"), fires.alias("fires"), F.struct("ts", "event_id", "file_path", "kind").alias("e"), F.lit(1).cast("long").alias("n_events"))
+    return _opened(_joined(own.filter("fires > started")))
+
+
+def _joined(bursts: DataFrame) -> DataFrame:
+    """Bursts (handler, started, fires, e, n_events) with those that overlap made one.
 
-    Works on a stream as well (with a watermark on ts for append mode); then a burst is out once the watermark passes it.
+    Ranges carry on what the ranges before them leave: the time up to which a handler waits, and when its last burst began.
     """
-    last = F.max_by(F.struct("event_id", "file_path", "kind"), F.struct("ts", "event_id")).alias("e")
-    bursts = events.groupBy("handler", F.session_window("ts", gap).alias("w")).agg(last, F.count("*").alias("n_events"))
-    return bursts.select("handler", F.col("w.start").alias("started"), F.col("w.end").alias("fires"), "e.event_id", "e.file_path", "e.kind", "n_events")
+    dealt = parted(bursts, "handler", "started", "e.event_id")
+    own, upto = Window.partitionBy("_part", "handler").orderBy("started", "_at"), (Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("handler").orderBy("_part").rowsBetween(*upto)
+
+    def with_before(df: DataFrame, value: str, name: str) -> DataFrame:
+        """df with the largest value of the handler's ranges before; a row for each range and handler is looked up."""
+        each = df.groupBy("_part", "handler").agg(F.max(value).alias("_v")).select("_part", F.col("handler").alias("_h"), F.max("_v").over(earlier).alias(name))
+        return df.join(each.withColumnRenamed("_part", "_p"), (F.col("_part") == F.col("_p")) & F.col("handler").eqNullSafe(F.col("_h")), "left").drop("_p", "_h")
+
+    waits = with_before(dealt, "fires", "_before").withColumn("_waits", F.greatest("_before", F.max("fires").over(own.rowsBetween(*upto))))
+    began = waits.withColumn("_began", F.when(F.col("_waits").isNull() | (F.col("started") >= F.col("_waits")), F.col("started"))).drop("_before", "_waits")
+    found = with_before(began, "_began", "_open").withColumn("_began", F.coalesce(F.max("_began").over(own.rowsBetween(Window.unboundedPreceding, 0)), "_open"))
+    return found.groupBy("handler", F.col("_began").alias("started")).agg(F.max("fires").alias("fires"), F.max("e").alias("e"), F.sum("n_events").alias("n_events"))
+
+
+def _opened(bursts: DataFrame) -> DataFrame:
+    return bursts.select("handler", "started", "fires", "e.event_id", "e.file_path", "e.kind", "n_events")
 
 
 def route(events: DataFrame) -> DataFrame:
