@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tremor.operators import intent, report
-from tremor.plans import cache_queries, intent_queries as Q, report_queries
+from tremor.plans import cache_queries, change_queries, intent_queries as Q, report_queries
 from tremor.sources import scripts
 from tremor.sources.workspaces import Workspace
 from tremor.streaming import events as E
@@ -91,3 +91,24 @@ def test_bursts_of_one_handler_are_many_tasks(spark):
         assert E.debounce(events.filter("handler = 'h'"), "60 seconds").select(F.spark_partition_id().alias("p")).distinct().count() > 1
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_streamed_bursts_of_one_handler_are_many_tasks_and_keep_late_events(spark, tmp_path):
+    source, kept = str(tmp_path / "in"), str(tmp_path / "kept")
+    df = spark.range(300).selectExpr("id AS event_id", "timestamp_seconds(1704067200 + id * 7 + (id div 10) * 100) AS ts", "concat('f', id) AS file_path", "'edit' AS kind", "'h' AS handler")
+    for part in ("event_id >= 95", "event_id < 95"):  # a burst is cut in two, the earlier part comes later
+        df.filter(part).coalesce(1).write.mode("append").parquet(source)
+        E.debounce_stream(spark.readStream.schema(df.schema).parquet(source), "60 seconds", kept, str(tmp_path / "cp")).awaitTermination(240)
+    assert sorted((r.event_id, r.n_events) for r in E.stored_bursts(spark, kept).collect()) == [(k * 10 + 9, 10) for k in range(30)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert E.stored_bursts(spark, kept).select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_no_burst_of_a_stream_is_kept_by_the_driver(spark, monkeypatch):
+    from pyspark.sql.streaming import DataStreamWriter
+
+    monkeypatch.setattr(DataStreamWriter, "queryName", None)  # a memory sink needs a name
+    assert change_queries.stream_debounce(Workspace(spark, SF)).count() > 100

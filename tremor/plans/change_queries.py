@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, functions as F
 
 from tremor import engine
@@ -275,14 +273,12 @@ def debounce_by_handler(w: Workspace) -> DataFrame:
 
 @query(oracle(_BURSTS.format(gap=60), "file_events"))
 def stream_debounce(w: Workspace) -> DataFrame:
-    """The same through a stream: all files at hand, complete mode (append mode would hold back the last burst)."""
-    spark, name = w.spark, f"bursts_{uuid.uuid4().hex}"
+    """The same through a stream: all files at hand."""
+    spark, kept = w.spark, lineage.folder(w.spark)
     schema = w.table("events").schema
     raw = spark.readStream.schema(schema).parquet(f"{w.sf_dir}/events.parque[t]")  # a pattern: a stream takes no single file
-    events = w.file_events(raw).withWatermark("ts", "1 minute")
-    query = E.debounce(events, "60 seconds").writeStream.format("memory").queryName(name).outputMode("complete")
-    query.option("checkpointLocation", lineage.folder(spark)).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).select("event_id", "file_path", "kind", "n_events")
+    E.debounce_stream(w.file_events(raw), "60 seconds", kept, lineage.folder(spark)).awaitTermination()
+    return E.stored_bursts(spark, kept).select("event_id", "file_path", "kind", "n_events")
 
 
 _ROUTED = "CASE kind WHEN 'edit' THEN 'change' WHEN 'save' THEN 'note-save' WHEN 'create' THEN 'create' WHEN 'delete' THEN 'delete' ELSE 'create' END"

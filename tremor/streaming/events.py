@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tremor.operators.numbering import parted
 
@@ -37,9 +37,14 @@ def debounce(events: DataFrame, gap: str | Column) -> DataFrame:
         last = F.max_by(F.struct("event_id", "file_path", "kind"), F.struct("ts", "event_id")).alias("e")
         bursts = events.groupBy("handler", F.session_window("ts", gap).alias("w")).agg(last, F.count("*").alias("n_events"))
         return bursts.select("handler", F.col("w.start").alias("started"), F.col("w.end").alias("fires"), "e.event_id", "e.file_path", "e.kind", "n_events")
+    return _opened(_joined(_single(events, gap)))
+
+
+def _single(events: DataFrame, gap: str | Column) -> DataFrame:
+    """Each event as a burst of its own."""
     fires = F.col("ts") + (F.lit(gap) if isinstance(gap, str) else gap).cast("interval")
     own = events.select("handler", F.col("ts").alias("started"), fires.alias("fires"), F.struct("ts", "event_id", "file_path", "kind").alias("e"), F.lit(1).cast("long").alias("n_events"))
-    return _opened(_joined(own.filter("fires > started")))
+    return own.filter("fires > started")
 
 
 def _joined(bursts: DataFrame) -> DataFrame:
@@ -66,6 +71,24 @@ def _opened(bursts: DataFrame) -> DataFrame:
     return bursts.select("handler", "started", "fires", "e.event_id", "e.file_path", "e.kind", "n_events")
 
 
+def debounce_stream(events: DataFrame, gap: str | Column, folder: str, checkpoint: str, **trigger):
+    """Bursts of a stream, kept in ``folder``; ``stored_bursts`` gives them.
+
+    A micro-batch writes its own bursts and holds no state, so that late events count and a handler is many tasks.  A batch
+    that runs again takes the place of its first run.
+    """
+
+    def batch(df: DataFrame, number: int) -> None:
+        _joined(_single(df, gap)).write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+    return events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def stored_bursts(spark: SparkSession, folder: str) -> DataFrame:
+    """The bursts of all micro-batches so far, as ``debounce`` gives them."""
+    return _opened(_joined(spark.read.parquet(folder).drop("batch")))
+
+
 def route(events: DataFrame) -> DataFrame:
     """Events with their action; kinds without one are dropped."""
     out = F.lit(None).cast("string")
