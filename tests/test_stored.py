@@ -43,3 +43,10 @@ def test_lookups_read_few_files(spark, tmp_path):
         assert {tuple(x) for x in down.collect()} == {tuple(x) for x in edges.filter(F.col("src").isin([i.replace("d", "s") for i in ids])).collect()}
         assert len(up.inputFiles()) <= 2 * len(ids) and len(down.inputFiles()) <= 2 * len(ids)
     assert adjacency.store(edges.limit(0), str(tmp_path / "none")).dependents(["a"]).count() == 0
+
+
+def test_filters_of_small_folders_are_small(spark, tmp_path):
+    edges = spark.range(4000).select(F.concat(F.lit("s"), "id").alias("src"), F.concat(F.lit("d"), "id").alias("dst"))
+    adjacency.store(edges, str(tmp_path), 500)
+    sizes = [f.stat().st_size for f in tmp_path.rglob("*.parquet")]
+    assert len(sizes) >= 16 and max(sizes) < 50_000  # a filter of the default size has a megabyte

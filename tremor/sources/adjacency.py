@@ -10,6 +10,8 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tremor.plans.lineage import cut
+
 #: Edges of a folder; a hub with more of them makes its folder larger, in several files.
 ROWS = 1_000_000
 _DDL = "src string, dst string"
@@ -52,11 +54,12 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def store(edges: DataFrame, folder: str, rows: int = ROWS) -> Stored:
-    """Write distinct edges in both directions."""
-    spark, kept = edges.sparkSession, edges.select("src", "dst").filter("src is not null and dst is not null").distinct()
+    """Write distinct edges in both directions; a file's Bloom filter is sized by the edges that it may hold."""
+    spark, kept = edges.sparkSession, cut(edges.select("src", "dst").filter("src is not null and dst is not null").distinct())
     buckets = max(1, -(-kept.count() // rows))
     for key in ("src", "dst"):
         dealt = kept.withColumn("bucket", _bucket(F.col(key), buckets)).repartition("bucket", F.pmod(F.xxhash64(F.lit(1), "src", "dst"), F.lit(2)))
         out = dealt.sortWithinPartitions("bucket", key).write.mode("overwrite").option(f"parquet.bloom.filter.enabled#{key}", "true")
+        out = out.option(f"parquet.bloom.filter.expected.ndv#{key}", str(rows))
         out.option("maxRecordsPerFile", rows).partitionBy("bucket").parquet(f"{folder}/{key}")
     return Stored(spark, folder, buckets)
