@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tremor.operators import intent, report
+from tremor.operators import incremental, intent, report
 from tremor.plans import cache_queries, change_queries, intent_queries as Q, report_queries
 from tremor.sources import scripts
 from tremor.sources.workspaces import Workspace
@@ -112,3 +112,19 @@ def test_no_burst_of_a_stream_is_kept_by_the_driver(spark, monkeypatch):
 
     monkeypatch.setattr(DataStreamWriter, "queryName", None)  # a memory sink needs a name
     assert change_queries.stream_debounce(Workspace(spark, SF)).count() > 100
+
+
+def test_symbols_of_changed_files_are_found_without_a_shuffle_by_path(spark, monkeypatch):
+    w = Workspace(spark, SF)
+    state = change_queries._state(w)
+    files = state.symbols.filter(F.col("file_path") == change_queries._FILE)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables of some size
+    try:
+        few = incremental.remove_files(state, files)
+        assert "hashpartitioning(file_path" not in few.symbols._jdf.queryExecution().executedPlan().toString()
+        monkeypatch.setattr(incremental, "FEW", 0)
+        many = incremental.remove_files(state, files)
+        for a, b in zip(few, many, strict=True):
+            assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -13,6 +13,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from tremor.operators import diff
 from tremor.operators.index import build_index, upsert_edges
+from tremor.plans.lineage import cut
+
+#: Paths that are sent to all executors; more of them meet the symbols by a shuffle.
+FEW = 10_000
 
 
 class State(NamedTuple):
@@ -20,13 +24,20 @@ class State(NamedTuple):
     edges: DataFrame
 
 
+def _paths(files: DataFrame) -> DataFrame:
+    """The files' paths, once each; few of them are sent to the symbols, which a shuffle by path would put in as many tasks
+    as there are large files."""
+    paths = cut(files.select("file_path").distinct())
+    return F.broadcast(paths) if paths.count() <= FEW else paths
+
+
 def remove_files(state: State, files: DataFrame, keep_incoming: DataFrame | None = None) -> State:
     """The state without the files' symbols and every edge that touches one.
 
     keep_incoming: ids (column id) to which edges from other files stay.
     """
-    paths = files.select("file_path").distinct()
-    dead = state.symbols.join(paths, "file_path", "left_semi").select("id")
+    paths = _paths(files)
+    dead = cut(state.symbols.join(paths, "file_path", "left_semi").select("id"))  # asked for by both ends of edges
     left = state.symbols.join(paths, "file_path", "left_anti").select(*state.symbols.columns)
     owned = state.edges.select("src", "dst").join(dead.withColumnRenamed("id", "src"), "src", "left_anti")
     gone = dead if keep_incoming is None else dead.join(keep_incoming.select("id"), "id", "left_anti")
@@ -48,13 +59,13 @@ class Changed(NamedTuple):
 
 def change_files(state: State, files: DataFrame, symbols: DataFrame, edges: DataFrame, strict: bool = False) -> Changed:
     """Replace files by their new symbols and edges; with the signature changes and the dependents of removed symbols."""
-    paths = files.select("file_path").distinct()
+    paths = _paths(files)
     old = state.symbols.join(paths, "file_path", "left_semi")
     bare = remove_files(state, paths, None if strict else symbols)
     new = add_files(bare, symbols, edges)
-    changes = diff.signature_diff(old, symbols, everywhere=new.symbols)
+    changes = cut(diff.signature_diff(old, symbols, everywhere=new.symbols))  # a row for each symbol of the files, asked for again and again
     removed = changes.filter("change = 'removed'").select(F.col("symbol_id").alias("id"))
-    return Changed(new, changes, diff.dependents_before(state.edges, removed))
+    return Changed(new, changes, cut(diff.dependents_before(state.edges, removed)))
 
 
 def rename_file(state: State, old_path: str, symbols: DataFrame, edges: DataFrame) -> State:
