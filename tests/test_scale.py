@@ -2,6 +2,7 @@
 
 import datetime
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -128,3 +129,16 @@ def test_symbols_of_changed_files_are_found_without_a_shuffle_by_path(spark, mon
             assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("few", [intent.FEW, 0])
+def test_symbols_that_an_intent_deletes_are_no_single_task(spark, monkeypatch, few):
+    monkeypatch.setattr(intent, "FEW", few)
+    w = Workspace(spark, SF)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables of some size
+    try:
+        found = cache_queries.shadow_index(w)
+        assert ("hashpartitioning(intent_id#" in re.sub(r"intent_id#\d+L?, id", "both", found._jdf.queryExecution().executedPlan().toString())) == (few == 0)
+        assert found.count() == w.star_symbols().filter("not (tbl = 'orders' and k % 4 = 1)").count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -162,7 +162,7 @@ def predict(intents: DataFrame, resolved: DataFrame, edges: DataFrame) -> DataFr
     known = known.withColumn("role", traversal.role_of(F.col("depth")))
     level = F.coalesce("rank", F.lit(0)) - F.when(F.col("depth") > 1, 1).otherwise(0)
     listed = known.select(F.col("run").alias("intent_id"), "symbol_id", "depth", "role", X.rank_confidence(F.greatest(level, F.lit(0))).alias("confidence"))
-    scope = resolved.join(intents.filter("change_type = 'delete'").select("intent_id"), "intent_id", "left_semi").select("intent_id", X.file_of_last(F.col("symbol_id")).alias("file")).distinct()
+    scope = resolved.join(_deleting(intents), "intent_id", "left_semi").select("intent_id", X.file_of_last(F.col("symbol_id")).alias("file")).distinct()
     return listed.withColumn("file", X.file_of_last(F.col("symbol_id"))).join(scope, ["intent_id", "file"], "left_anti").drop("file")
 
 
@@ -170,14 +170,22 @@ def confidence_histogram(predicted: DataFrame) -> DataFrame:
     return predicted.groupBy("confidence").agg(F.count("*").alias("n"))
 
 
+def _deleting(intents: DataFrame) -> DataFrame:
+    """Ids of intents that delete. Few of them are sent to the resolved symbols, as a shuffle by intent would put all symbols
+    of one in one task."""
+    ids = cut(intents.filter("change_type = 'delete'").select("intent_id").distinct())
+    return F.broadcast(ids) if ids.count() <= FEW else ids
+
+
 def deletions(intents: DataFrame, resolved: DataFrame) -> DataFrame:
     """What each intent that deletes takes from the index (intent_id, id)."""
-    return resolved.join(intents.filter("change_type = 'delete'").select("intent_id"), "intent_id", "left_semi").select("intent_id", F.col("symbol_id").alias("id")).distinct()
+    return resolved.join(_deleting(intents), "intent_id", "left_semi").select("intent_id", F.col("symbol_id").alias("id")).distinct()
 
 
 def without_deleted(intents: DataFrame, resolved: DataFrame, symbols: DataFrame, intent_id: int) -> DataFrame:
     """The index as one intent's deletion would leave it; the graph stays as it is."""
-    return symbols.join(deletions(intents, resolved).filter(F.col("intent_id") == intent_id).select("id"), "id", "left_anti").select(*symbols.columns)
+    own = F.col("intent_id") == intent_id
+    return symbols.join(deletions(intents.filter(own), resolved.filter(own)).select("id"), "id", "left_anti").select(*symbols.columns)
 
 
 # Text for a language model, and its answer.
