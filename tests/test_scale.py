@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tremor.operators import incremental, intent, report
+from tremor.operators import incremental, intent, report, traversal
 from tremor.plans import cache_queries, change_queries, intent_queries as Q, report_queries
 from tremor.sources import scripts
 from tremor.sources.workspaces import Workspace
@@ -142,3 +142,23 @@ def test_symbols_that_an_intent_deletes_are_no_single_task(spark, monkeypatch, f
         assert found.count() == w.star_symbols().filter("not (tbl = 'orders' and k % 4 = 1)").count()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_types_of_a_small_file_are_worked_out_by_all_tasks(spark):
+    w = Workspace(spark, SF)
+    for found in (change_queries.canonical_members(w), change_queries.signatures(w)):
+        assert w.table("part").rdd.getNumPartitions() == 1 < found.rdd.getNumPartitions()
+
+
+def test_edges_are_made_once_for_a_search(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(rows):
+        for r in rows:
+            made.add(1)
+            yield r
+
+    rows = [(f"s{i}", f"s{i // 3}") for i in range(1, 40)]
+    edges = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2).mapPartitions(counted), "src string, dst string")
+    roots = spark.createDataFrame([("s0", "deep", 0)], "symbol_id string, mode string, ord long")
+    assert traversal.explain(edges, roots).count() == 39 and made.value == 39

@@ -351,7 +351,7 @@ array_to_string(list_sort(['[' || p_brand || ' & ' || p_name || ']', p_name || p
 '{ ' || array_to_string(list_sort(['size: ' || p_size, 'name?: ' || p_name, 'of(x: { b: 1; a: 2 }): ' || p_brand]), '; ') || ' }' AS members FROM part"""
 )
 def canonical_members(w: Workspace) -> DataFrame:
-    p = w.table("part")
+    p = Y.dealt(w.table("part"))
     cat = lambda *xs: Y.canonical_type(F.concat(*(F.col(x) if x.startswith("p_") else F.lit(x) for x in xs)))
     return p.select(
         F.col("p_partkey").alias("k"), cat("Map<", "p_name", " | ", "p_brand", "> |\n", "p_type", "  | ", "p_brand").alias("anyof"), cat("Z & ", "[", "p_brand", " & ", "p_name", "] & ", "p_name", "p_size").alias("allof"),
@@ -365,7 +365,7 @@ def canonical_members(w: Workspace) -> DataFrame:
 CASE WHEN 'B=' || p_size < 'A=' THEN 'B=' || p_size || ',A=' ELSE 'A=,B=' || p_size END AS enum_sig FROM part"""
 )
 def signatures(w: Workspace) -> DataFrame:
-    p = w.table("part")
+    p = Y.dealt(w.table("part"))
     names, kinds = F.array(F.col("p_name"), F.lit("n")), F.array(F.concat("p_type", F.lit(" | "), "p_brand"), F.lit("number"))
     members = F.array(F.lit("B"), F.lit("A"))
     return p.select(
