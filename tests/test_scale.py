@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tremor.operators import incremental, intent, report, traversal
-from tremor.plans import cache_queries, change_queries, intent_queries as Q, report_queries
+from tremor.plans import cache_queries, change_queries, intent_queries as Q, lineage, report_queries
 from tremor.sources import scripts
 from tremor.sources.workspaces import Workspace
 from tremor.streaming import events as E
@@ -162,3 +162,17 @@ def test_edges_are_made_once_for_a_search(spark):
     edges = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2).mapPartitions(counted), "src string, dst string")
     roots = spark.createDataFrame([("s0", "deep", 0)], "symbol_id string, mode string, ord long")
     assert traversal.explain(edges, roots).count() == 39 and made.value == 39
+
+
+@pytest.mark.parametrize("hub", [traversal.HUB, 5])
+def test_a_level_shuffles_its_frontier_and_no_edges(spark, monkeypatch, hub):
+    monkeypatch.setattr(traversal, "HUB", hub)
+    edges = traversal._Edges(spark.range(2000).selectExpr("concat('s', id) AS src", "concat('d', id % 100) AS dst"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables of some size
+    try:
+        level = edges.out_of(lineage.cut(spark.range(3).selectExpr("concat('d', id) AS node")))
+        lines = level._jdf.queryExecution().executedPlan().toString().splitlines()
+        at = [i for i, x in enumerate(lines) if "Scan ExistingRDD" in x and "src#" in x]
+        assert len(at) == 1 and "Filter" in lines[at[0] - 1] and "Join" in "".join(lines[:at[0]]) and not any(k in x for x in lines[at[0] - 2 : at[0]] for k in ("Exchange", "Sort [")) and level.count() == 60
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tremor.operators.numbering import numbered
-from tremor.plans.lineage import cut
+from tremor.plans.lineage import cut, cut_dealt
 
 #: Levels after which the search gives up with an error; it never stops early in silence.
 MOST = 10_000
@@ -46,14 +46,14 @@ class _Edges:
     """
 
     def __init__(self, edges: DataFrame, *columns):
-        n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        kept = edges.select("src", "dst", *columns).distinct()
+        self.parts = n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        kept = cut(edges.select("src", "dst", *columns).distinct())  # asked for twice
         self.hubs = cut(kept.groupBy("dst").agg(F.count("*").alias("n")).filter(F.col("n") > HUB).select("dst", F.ceil(F.col("n") / HUB).cast("int").alias("slices")))
         self.sliced = not self.hubs.isEmpty()
         if self.sliced:  # hubs are at most one for every HUB edges; Spark checks their size before it broadcasts
             salt = F.pmod(F.xxhash64("src"), F.coalesce("slices", F.lit(1))).cast("int")
             kept = kept.join(self.hubs, "dst", "left").withColumn("slice", salt).drop("slices")
-        self.table = cut(kept.repartition(n, "dst", *(["slice"] if self.sliced else [])))
+        self.table = cut_dealt(kept, n, "dst", *(["slice"] if self.sliced else []))
 
     def out_of(self, frontier: DataFrame, node: str = "node") -> DataFrame:
         """Rows of the frontier with each edge into their node."""
@@ -61,6 +61,7 @@ class _Edges:
             return frontier.join(self.table, F.col(node) == F.col("dst"))
         wide = frontier.join(self.hubs.select(F.col("dst").alias("_hub"), "slices"), F.col(node) == F.col("_hub"), "left")
         wide = wide.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.coalesce("slices", F.lit(1)) - 1))).drop("_hub", "slices")
+        wide = wide.repartition(self.parts, node, "_slice")  # as the edges are, else they would be dealt as the hubs' join deals the frontier
         return wide.join(self.table, (F.col(node) == F.col("dst")) & (F.col("_slice") == F.col("slice"))).drop("_slice", "slice")
 
 

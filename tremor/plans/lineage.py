@@ -26,3 +26,17 @@ def cut(df: DataFrame) -> DataFrame:
     if not context.getCheckpointDir():
         context.setCheckpointDir(_top(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def cut_dealt(df: DataFrame, parts: int, *keys: str) -> DataFrame:
+    """df computed once, dealt by the keys and sorted by them, and kept so that joins by them neither shuffle nor sort it.
+
+    A plan that adapts itself does not say how its rows are dealt, so this step, a shuffle that is counted out, does not adapt.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.adaptive.enabled"
+    was = conf.get(name)
+    conf.set(name, "false")
+    try:
+        return cut(df.repartition(parts, *keys).sortWithinPartitions(*keys))
+    finally:
+        conf.set(name, was)
