@@ -1,11 +1,14 @@
 """Carried values, diffs as tables of lines, and edges stored in both directions."""
 
+import json
 import random
 
 from pyspark.sql import functions as F
 
 from tremor.operators.numbering import carried
+from tremor.plans import cache_queries
 from tremor.sources import adjacency, formats
+from tremor.sources.workspaces import Workspace
 
 
 def test_values_are_carried_over_the_borders_of_ranges(spark):
@@ -50,3 +53,21 @@ def test_filters_of_small_folders_are_small(spark, tmp_path):
     adjacency.store(edges, str(tmp_path), 500)
     sizes = [f.stat().st_size for f in tmp_path.rglob("*.parquet")]
     assert len(sizes) >= 16 and max(sizes) < 50_000  # a filter of the default size has a megabyte
+
+
+def test_a_symbol_cache_is_one_object_in_several_files(spark, tmp_path):
+    rows = spark.range(50).select(F.concat(F.lit('s"\n,{}'), F.format_string("%02d", "id")).alias("id"), "id").toDF("id", "k").repartition(3)
+    entries = rows.select("id", F.struct("id", F.concat(F.lit("}\r\n"), "k").alias("name"), F.col("k").cast("int").alias("startLine")).alias("entry"))
+    formats.write_symbol_lines(entries, str(tmp_path / "c"))
+    files = sorted((tmp_path / "c").glob("part-*"))
+    whole = json.loads("".join(f.read_text() for f in files))
+    assert sum(f.stat().st_size > 0 for f in files) > 1 and list(whole) == sorted(whole) and len(whole) == 50
+    got = formats.read_symbol_lines(spark, str(tmp_path / "c")).orderBy("ord").collect()
+    assert [(r.ord, r.id, r.name, r.start_line) for r in got] == [(i, k, v["name"], v["startLine"]) for i, (k, v) in enumerate(whole.items())]
+    formats.write_symbol_lines(entries.limit(0), str(tmp_path / "none"))
+    assert formats.read_symbol_lines(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_a_symbol_cache_is_no_single_row(spark, monkeypatch):
+    monkeypatch.setattr(formats, "read_json_text", None)  # a file as one value
+    assert cache_queries.symbol_cache(Workspace(spark, "/root/testdata/sf0.001")).count() == spark.read.parquet("/root/testdata/sf0.001/customer.parquet").count()

@@ -35,8 +35,9 @@ _CACHED = "id, name, kind, file_path, start_line, end_line, start_pos, end_pos,
 def symbol_cache(w: Workspace) -> DataFrame:
     camel = {"filePath": "file_path", "startLine": "start_line", "endLine": "end_line", "startPos": "start_pos", "endPos": "end_pos", "isExported": "is_exported", "signatureHash": "signature_hash"}
     entry = F.struct("id", "name", "kind", *(F.col(c).alias(n) for n, c in camel.items()))
-    rows = _customers(w).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("id").alias("k"), entry.alias("v"))))).alias("m"))
-    return formats.read_symbols(w.spark, _text_file(rows, F.to_json("m"), lineage.folder(w.spark)))
+    folder = lineage.folder(w.spark)
+    formats.write_symbol_lines(_customers(w).select("id", entry.alias("entry")), folder)
+    return formats.read_symbol_lines(w.spark, folder)
 
 
 @query(oracle(" SELECT src, dst FROM star_edges WHERE dst LIKE '%#Nation%' UNION ALL SELECT 'flat ' || src, dst FROM star_edges WHERE dst LIKE '%#Region%'", "star_edges"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
-from tremor.operators.numbering import carried
+from tremor.operators.numbering import carried, numbered
 
 
 def _schema(**fields: T.DataType) -> T.StructType:
@@ -85,6 +85,10 @@ _ENTRY = (
 def read_symbols(spark: SparkSession, path: str) -> DataFrame:
     """Symbols of a JSON object keyed by id, in its order."""
     entries = read_json_text(spark, path).select(F.posexplode(F.map_entries(F.from_json("v", f"map<string, {_ENTRY}>"))).alias("ord", "e"))
+    return _symbols(entries)
+
+
+def _symbols(entries: DataFrame) -> DataFrame:
     v = lambda n: F.col(f"e.value.{n}")
     return entries.select(
         F.col("e.key").alias("id"), v("name"), v("kind"), v("filePath").alias("file_path"), v("startLine").alias("start_line"), v("endLine").alias("end_line"), v("startPos").alias("start_pos"), v("endPos").alias("end_pos"),
@@ -92,6 +96,23 @@ def read_symbols(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def write_symbol_lines(entries: DataFrame, folder: str) -> None:
+    """Entries (id, entry: a struct) as one JSON object in the order of ids, a line for each; its files are its parts in order."""
+    whole = numbered(entries, "_n", "id")
+    pair = F.to_json(F.create_map("id", "entry"))
+    body = F.substring(pair, F.lit(2), F.length(pair) - 2)
+    text = F.concat(F.when(F.col("_n") == 0, "{").otherwise(","), body, F.when(F.col("_n") == entries.count() - 1, "\n}").otherwise(""))
+    whole.select(text.alias("value")).write.text(folder)
+
+
+def read_symbol_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Symbols of an object written by ``write_symbol_lines``, in its order; no task reads all of it."""
+    lines = spark.read.text(folder).select("value", F.col("_metadata.file_name").alias("_f"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_i"))
+    text = F.concat(F.lit("{"), F.substring("value", 2, 1 << 30), F.lit("}"))
+    entries = lines.filter("value <> '}'").select("_f", "_b", "_i", F.explode(F.from_json(text, f"map<string, {_ENTRY}>")).alias("key", "value"))
+    return _symbols(numbered(entries, "ord", "_f", "_b", "_i").select(F.struct("key", "value").alias("e"), "ord"))
+
+
 def read_edges(spark: SparkSession, path: str, section: str = "present") -> DataFrame:
     """Edges of a sectioned or flat graph file, from its forward lists."""
     lists = "map<string, array<string>>"
