@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tremor.operators import incremental, intent, report, traversal
+from tremor.operators import incremental, index, intent, report, traversal
 from tremor.plans import cache_queries, change_queries, intent_queries as Q, lineage, report_queries
 from tremor.sources import scripts
 from tremor.sources.workspaces import Workspace
@@ -176,3 +176,18 @@ def test_a_level_shuffles_its_frontier_and_no_edges(spark, monkeypatch, hub):
         assert len(at) == 1 and "Filter" in lines[at[0] - 1] and "Join" in "".join(lines[:at[0]]) and not any(k in x for x in lines[at[0] - 2 : at[0]] for k in ("Exchange", "Sort [")) and level.count() == 60
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_edges_are_made_once_for_a_drawing(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(rows):
+        for r in rows:
+            made.add(1)
+            yield r
+
+    edges = spark.createDataFrame(spark.sparkContext.parallelize([(f"s{i}", "s0") for i in range(1, 40)], 2).mapPartitions(counted), "src string, dst string")
+    symbols = spark.createDataFrame([("s0", "s0")], "id string, name string")
+    none = spark.createDataFrame([], "symbol_id string, role string")
+    nodes, arrows = index.graph_elements(edges, symbols, none, none)
+    assert (nodes.count(), arrows.count(), made.value) == (40, 39, 39)

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tremor.functions.text import name_of_first, normal_path, units16
 from tremor.operators import intervals
 from tremor.operators.numbering import numbered
+from tremor.plans.lineage import cut
 
 #: Symbol kinds that an extractor may emit.
 KINDS = ("function", "class", "method", "property", "interface", "type", "enum", "variable")
@@ -166,6 +167,7 @@ def graph_elements(edges: DataFrame, symbols: DataFrame, roots: DataFrame, impac
 
     Nodes are all ends of edges and all roots and impacted symbols; dense ids follow symbol ids, edge ids follow ends.
     """
+    edges = cut(edges.select("src", "dst"))  # asked for by ends, degrees and arrows, as nodes are by both ends of arrows
     ends = edges.select(F.col("src").alias("symbol_id")).union(edges.select(F.col("dst").alias("symbol_id")))
     every = ends.union(roots.select("symbol_id")).union(impact.select("symbol_id")).distinct()
     role = F.when(F.col("is_root"), "root").when(F.col("role").isNotNull(), F.col("role")).otherwise("other")
@@ -174,7 +176,8 @@ def graph_elements(edges: DataFrame, symbols: DataFrame, roots: DataFrame, impac
     known = known.join(roots.select("symbol_id").distinct().withColumn("is_root", F.lit(True)), "symbol_id", "left").join(impact.select("symbol_id", "role"), "symbol_id", "left")
     degree = ends.groupBy("symbol_id").agg(F.count("*").alias("degree"))
     nodes = numbered(known.join(degree, "symbol_id", "left"), "at", "symbol_id").select(F.concat(F.lit("n"), "at").alias("id"), "symbol_id", label.alias("label"), role.alias("role"), F.coalesce("degree", F.lit(0)).alias("degree"))
-    arrows = numbered(edges.select("src", "dst"), "at", "src", "dst").select("src", "dst", F.concat(F.lit("e"), "at").alias("id"))
+    nodes = cut(nodes)
+    arrows = numbered(edges, "at", "src", "dst").select("src", "dst", F.concat(F.lit("e"), "at").alias("id"))
     a, b = nodes.select(F.col("symbol_id").alias("src"), F.col("id").alias("source")), nodes.select(F.col("symbol_id").alias("dst"), F.col("id").alias("target"))
     return nodes, arrows.join(a, "src").join(b, "dst").select("id", "source", "target")
 
