@@ -11,7 +11,7 @@ from tremor.operators import incremental, index, intent, report, traversal
 from tremor.plans import cache_queries, change_queries, intent_queries as Q, lineage, report_queries
 from tremor.sources import scripts
 from tremor.sources.workspaces import Workspace
-from tremor.streaming import events as E
+from tremor.streaming import events as E, latest
 
 SF = "/root/testdata/sf0.001"
 
@@ -191,3 +191,63 @@ def test_edges_are_made_once_for_a_drawing(spark):
     none = spark.createDataFrame([], "symbol_id string, role string")
     nodes, arrows = index.graph_elements(edges, symbols, none, none)
     assert (nodes.count(), arrows.count(), made.value) == (40, 39, 39)
+
+
+def test_latest_wins_of_a_stream_calls_no_python_for_a_key(spark, monkeypatch):
+    from pyspark.sql import GroupedData
+
+    monkeypatch.setattr(GroupedData, "applyInPandasWithState", None)
+    w = Workspace(spark, SF)
+    got = sorted((x.run_id, x.key) for x in change_queries.stream_latest_wins(w).collect())
+    assert got == sorted((x.run_id, x.key) for x in change_queries.latest_wins(w).collect()) and len(got) > 100
+
+
+RUN = "run_id long, key string, started timestamp, ended timestamp"
+
+
+def _run_rows(spark, rows):
+    at = lambda s: datetime.datetime(2024, 1, 1, tzinfo=datetime.UTC) + datetime.timedelta(seconds=s)
+    return spark.createDataFrame([(i, k, at(s), at(e)) for i, k, s, e in rows], RUN).coalesce(1)
+
+
+def _decided(spark, source, folder):
+    latest.latest_wins_batches(spark.readStream.schema(RUN).parquet(source), f"{folder}/kept", f"{folder}/cp", "1 hour").awaitTermination(240)
+    return sorted((x.key, x.run_id) for x in latest.shown_runs(spark, f"{folder}/kept").collect())
+
+
+def test_latest_wins_in_batches_equals_the_table_whatever_the_order(spark, tmp_path):
+    r = random.Random(5)
+    rows = [(i, f"k{r.randrange(5)}", s := r.randrange(0, 600, 2), s + r.choice([0, 1, 2, 20, 200])) for i in range(150)]
+    want = sorted((x.key, x.run_id) for x in E.latest_wins(_run_rows(spark, rows)).collect())
+    r.shuffle(rows)
+    for part in (rows[:60], rows[60:110], rows[110:] + rows[:5] + rows[110:115], [(1000, "end", 90_000, 90_001)]):  # runs are read twice, in one micro-batch too
+        _run_rows(spark, part).write.mode("append").parquet(str(tmp_path / "in"))
+        got = _decided(spark, str(tmp_path / "in"), tmp_path)
+    assert got == want
+
+
+def test_latest_wins_in_batches_waits_drops_late_runs_and_holds_no_more_than_it_needs(spark, tmp_path):
+    source, got = str(tmp_path / "in"), []
+    for part in (
+        [(1, "k", 0, 10), (2, None, 0, 1), (3, "k", 5, 7), (4, "long", 0, 9_000)],  # nothing is decided within the hour
+        [(5, "z", 10_000, 10_000)],  # moves the watermark to 6,400: k is decided, long has not ended
+        [(6, "k", 6_400, 6_401), (7, "long", 6_401, 6_402), (8, "k", 8_000, 8_001)],  # 6 is late; 7 isn't and overtakes 4
+        [(9, "z", 20_000, 20_000)],
+    ):
+        _run_rows(spark, part).write.mode("append").parquet(source)
+        got.append(_decided(spark, source, tmp_path))
+    assert got == [[], [("k", 3)], [("k", 3)], [("k", 3), ("k", 8), ("long", 7), ("z", 5)]]
+    held = [sorted(x.run_id for x in spark.read.parquet(str(tmp_path / "kept" / f"seen-{k}")).collect()) for k in (0, 1)]
+    assert held == [[4, 5, 7, 8], [5, 7, 8, 9]]  # what the third and the fourth micro-batch wrote
+
+
+def test_a_batch_of_latest_wins_that_runs_again_takes_the_place_of_its_first_run(spark, tmp_path):
+    source = str(tmp_path / "in")
+    for part in ([(1, "k", 0, 10), (2, "k", 20, 30)], [(3, "k", 25, 26), (4, "z", 9_000, 9_001)], [(5, "z", 90_000, 90_001)]):
+        _run_rows(spark, part).write.mode("append").parquet(source)
+        first = _decided(spark, source, tmp_path)
+        last = max((tmp_path / "cp" / "commits").glob("[0-9]*"), key=lambda x: int(x.name))
+        for f in (last, last.with_name(f".{last.name}.crc")):
+            f.unlink()  # as if it had failed at its end
+        assert _decided(spark, source, tmp_path) == first
+    assert first == [("k", 1), ("k", 3), ("z", 4)]

@@ -12,7 +12,7 @@ from tremor.plans.registry import query
 from tremor.sources import formats
 from tremor.sources.workspaces import Workspace, oracle
 from tremor.streaming import events as E
-from tremor.streaming.latest import latest_wins_stream
+from tremor.streaming.latest import latest_wins_batches, shown_runs
 
 
 def _signatures(docs: DataFrame) -> DataFrame:
@@ -320,16 +320,16 @@ def latest_wins(w: Workspace) -> DataFrame:
 
 @query(_LATEST)
 def stream_latest_wins(w: Workspace) -> DataFrame:
-    """The same through a stateful stream; a run far in the future moves the watermark past all others."""
-    spark, source, out = w.spark, lineage.folder(w.spark), lineage.folder(w.spark)
+    """The same through a stream with its state in a table; a run far in the future moves the watermark past all others."""
+    spark, source, kept, state = w.spark, lineage.folder(w.spark), lineage.folder(w.spark), lineage.folder(w.spark)
     rows = _file_runs(w.file_events())
     rows.write.parquet(source)
     end = rows.agg(F.lit(-1).cast("long").alias("run_id"), F.lit("end").alias("key"), (F.max("ended") + F.expr("interval 2 days")).alias("started"), (F.max("ended") + F.expr("interval 2 days")).alias("ended"))
-    found = lambda: latest_wins_stream(spark.readStream.schema(rows.schema).parquet(source), "1 day").writeStream.format("parquet").option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start(out).awaitTermination()
+    found = lambda: latest_wins_batches(spark.readStream.schema(rows.schema).parquet(source), kept, state, "1 day").awaitTermination()
     found()
     end.write.mode("append").parquet(source)
     found()
-    return spark.read.schema("run_id long, key string").parquet(out)
+    return shown_runs(spark, kept).select("run_id", "key")
 
 
 # Types and signatures, on literal declarations.
